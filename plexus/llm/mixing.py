@@ -41,16 +41,22 @@ TOLERANCE = 1e-7
 #: Shares of all tokens that each language should have after mixing.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
-_WORDS = r"[ \t\n\x0B\f\r]+"
-
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), _WORDS), "")
+    """The text between ASCII white space; each kind becomes a blank first, as a split at one plain
+    character needs no pattern matching."""
+    blanked = F.coalesce(text.cast("string"), F.lit(""))
+    for space in "\t\n\x0b\f\r":
+        blanked = F.replace(blanked, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(blanked, " "), "")
 
 
 def membership_table(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, label_col: str,
                      max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> tuple[DataFrame, list[str], list[float]]:
-    """The table ``(word, w0, w1, ...)``, its domains in order and their log priors.
+    """The table ``(word, ends, w0, w1, ...)``, its domains in order and their log priors.
+
+    Words are 64-bit hashes, which join faster than strings.  The hash of the empty word marks the
+    end of a text: ``ends`` is 1 there and its weights are 0.
 
     ``labelled`` names the ids whose ``label_col`` in ``docs`` may be learnt from.
     """
@@ -70,21 +76,25 @@ def membership_table(docs: DataFrame, labelled: DataFrame, id_col: str, text_col
         F.log((F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)) + SMOOTH) / (n + SMOOTH * vocabulary)).alias(f"w{k}")
         for k, (d, n) in enumerate(totals)
     ]
-    table = counts.groupBy("word").agg(F.sum("n").alias("n"), *weights).orderBy(F.desc("n"), "word").limit(vocabulary).drop("n")
-    return table, domains, [math.log(n / every) for _, n in totals]
+    ranked = counts.groupBy("word").agg(F.sum("n").alias("n"), *weights).orderBy(F.desc("n"), "word").limit(vocabulary)
+    table = ranked.select(F.xxhash64("word").alias("word"), F.lit(0).alias("ends"), *[f"w{k}" for k in range(len(domains))])
+    end = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("word"), F.lit(1).alias("ends"), *[F.lit(0.0).alias(f"w{k}") for k in range(len(domains))])
+    return table.union(end), domains, [math.log(n / every) for _, n in totals]
 
 
 def memberships(docs: DataFrame, table: DataFrame, priors: list[float], id_col: str, text_col: str) -> DataFrame:
     """``(id, key, copies, tokens, p0, p1, ...)`` per distinct id and text; tokens of one copy."""
     size = len(priors)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.posexplode_outer(_words(F.col(text_col))).alias("at", "word"))
-    met = rows.join(F.broadcast(table), "word", "left").groupBy("id", "key").agg(
-        F.sum(F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, 1).otherwise(0)).alias("copies"),
-        F.count("word").alias("words"), F.count("w0").alias("met"), *[F.sum(f"w{k}").alias(f"s{k}") for k in range(size)],
-    )
+    words = _words(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words.alias("words")).select(
+        "id", "key", F.size("words").cast("long").alias("tokens"), F.explode(F.array_append("words", F.lit(""))).alias("word")
+    ).withColumn("word", F.xxhash64("word"))
+    met = rows.join(F.broadcast(table), "word").groupBy("id", "key", "tokens").agg(
+        F.sum("ends").alias("copies"), F.count("*").alias("met"), *[F.sum(f"w{k}").alias(f"s{k}") for k in range(size)],
+    ).withColumn("met", F.col("met") - F.col("copies"))
     worth = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("met"), F.lit(1)) * F.col("copies")) / F.col("copies")
-    scores = [F.coalesce(F.col(f"s{k}") * worth, F.lit(0.0)) + F.lit(priors[k]) for k in range(size)]
-    scored = met.select("id", "key", "copies", (F.col("words") / F.col("copies")).cast("long").alias("tokens"), *[s.alias(f"l{k}") for k, s in enumerate(scores)])
+    scores = [F.col(f"s{k}") * worth + F.lit(priors[k]) for k in range(size)]
+    scored = met.select("id", "key", "copies", "tokens", *[s.alias(f"l{k}") for k, s in enumerate(scores)])
     top = F.greatest(*[F.col(f"l{k}") for k in range(size)]) if size > 1 else F.col("l0")
     raised = scored.select("id", "key", "copies", "tokens", *[F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in range(size)])
     total = reduce(lambda a, b: a + b, [F.col(f"e{k}") for k in range(size)])
