@@ -29,7 +29,7 @@ WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 #: Bytes of text that one segment indexes; a longer document is a segment of its own.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 
 #: Byte to byte: A-Z to a-z, separators to a space.
@@ -172,8 +172,11 @@ _HITS = f"{SEGMENT}, terms_size long, marks binary, found array<struct<doc:int,i
 _HITS_ARROW = pa.schema([*_SEGMENT_ARROW, ("marks", pa.binary()), ("found", pa.list_(pa.struct([("doc", pa.int32()), ("item", pa.string())])))])
 
 
-def _search(shared):
-    """Add one block's hits to each segment: a bit per position, and the items by document."""
+def _search(shared, last: bool):
+    """Add one block's hits to each segment: a bit per position, and the items by document.
+
+    The last block's pass reports the documents at once.
+    """
 
     def run(batches):
         block = shared.value
@@ -191,7 +194,7 @@ def _search(shared):
                 if row["marks"]:
                     marks |= np.frombuffer(row["marks"], np.uint8)
                 row |= {"marks": marks.tobytes(), "found": [{"doc": d, "item": i} for d, i in sorted(found)]}
-                yield pa.RecordBatch.from_pylist([row], schema=_HITS_ARROW)
+                yield _report(row) if last else pa.RecordBatch.from_pylist([row], schema=_HITS_ARROW)
 
     return run
 
@@ -203,36 +206,34 @@ _FOUND_ARROW = pa.schema([
 ])
 
 
-def _report(batches):
-    """A row per document: its hit words, the items it holds and the hit spans of words."""
-    for b in batches:
-        cols = b.select(["ids", "keys", "n_words", "marks", "found"]).to_pylist()
-        for row in cols:
-            n = np.array(row["n_words"], np.int64)
-            first = np.cumsum(n + 1) - n - 1
-            marks = np.unpackbits(np.frombuffer(row["marks"], np.uint8)) if row["marks"] else np.zeros(int((n + 1).sum()), np.uint8)
-            items: dict[int, list[str]] = {}
-            for f in row["found"]:
-                items.setdefault(f["doc"], []).append(f["item"])
-            out = []
-            for d, (i, k, size) in enumerate(zip(row["ids"], row["keys"], n.tolist(), strict=True)):
-                spans, hit = [], 0
-                if d in items:
-                    edge = np.flatnonzero(np.diff(marks[first[d] : first[d] + size].astype(np.int8), prepend=0, append=0))
-                    spans = [{"start": s, "stop": e} for s, e in edge.reshape(-1, 2).tolist()]
-                    hit = sum(s["stop"] - s["start"] for s in spans)
-                out.append({"doc_id": i, "text_key": k, "n_words": size, "n_hit": hit, "items": sorted(set(items.get(d, []))), "spans": spans})
-            yield pa.RecordBatch.from_pylist(out, schema=_FOUND_ARROW)
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The benchmark in blocks of bounded size, each brought to the driver on its own."""
+def _report(row: dict) -> pa.RecordBatch:
+    """A row per document of a segment: its hit words, the items it holds and the hit spans of words."""
+    n = np.array(row["n_words"], np.int64)
+    first = np.cumsum(n + 1) - n - 1
+    marks = np.unpackbits(np.frombuffer(row["marks"], np.uint8)).astype(np.int8)
+    items: dict[int, list[str]] = {}
+    for f in row["found"]:
+        items.setdefault(f["doc"], []).append(f["item"])
+    out = []
+    for d, (i, k, size) in enumerate(zip(row["ids"], row["keys"], n.tolist(), strict=True)):
+        spans = []
+        if d in items:
+            edge = np.flatnonzero(np.diff(marks[first[d] : first[d] + size], prepend=0, append=0))
+            spans = [{"start": s, "stop": e} for s, e in edge.reshape(-1, 2).tolist()]
+        hit = sum(s["stop"] - s["start"] for s in spans)
+        out.append({"doc_id": i, "text_key": k, "n_words": size, "n_hit": hit, "items": sorted(set(items.get(d, []))), "spans": spans})
+    return pa.RecordBatch.from_pylist(out, schema=_FOUND_ARROW)
+
+
+def _block_count(benchmark: DataFrame, text_col: str, block_bytes: int) -> int:
+    total = benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 16)).first()[0] or 0
+    return 1 if total <= block_bytes else -(-2 * int(total) // block_bytes)
+
+
+def _block(benchmark: DataFrame, id_col: str, text_col: str, k: int, blocks: int) -> Phrases:
+    """One block of the benchmark, dealt by hash; only its own bounded rows come to the driver."""
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-2 * int(total) // block_bytes) or 1
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield Phrases([(r["id"], r["text"]) for r in part.collect()])
+    return Phrases([(r["id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -240,9 +241,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document ``doc_id, text_key, n_words, n_hit, items, spans, contaminated``."""
     index = build_index(docs, id_col, text_col)
     found = index.withColumn("marks", F.lit(None).cast("binary")).withColumn("found", F.expr("cast(array() as array<struct<doc:int,item:string>>)"))
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        found = found.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block)), _HITS)
-    return found.mapInArrow(_report, _FOUND).withColumn("contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words"))
+    blocks = _block_count(benchmark, item_text_col, block_bytes)
+    for k in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(_block(benchmark, item_col, item_text_col, k, blocks))
+        found = found.mapInArrow(_search(shared, k == blocks - 1), _FOUND if k == blocks - 1 else _HITS)
+    return found.withColumn("contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words"))
 
 
 def proximity(docs: DataFrame, queries: list[tuple[str, str]], slop: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

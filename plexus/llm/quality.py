@@ -33,6 +33,9 @@ THRESHOLD = 0.7
 #: Weight of a text's n-gram shares; large, since shares of long texts are small.
 GAIN = 8.0
 
+#: Bytes of text whose n-grams are held at once, unless a single text has more.
+CHUNK_BYTES = 1 << 18
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CLASS = np.full(256, 4, np.uint64)
@@ -87,6 +90,20 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(buckets), np.concatenate(values), np.concatenate(owners)
 
 
+def chunks(texts, limit: int = CHUNK_BYTES):
+    """Encoded texts of an Arrow array, in runs of about ``limit`` bytes, with the first's position."""
+    held, size, first = [], 0, 0
+    for at, text in enumerate(texts):
+        data = (text.as_py() or "").encode()
+        if held and size + len(data) > limit:
+            yield first, held
+            held, size, first = [], 0, at
+        held.append(data)
+        size += len(data)
+    if held:
+        yield first, held
+
+
 class Ftrl:
     """FTRL-proximal logistic regression; the last coordinate is the intercept."""
 
@@ -125,17 +142,18 @@ def _sparse(bits: int):
 
     def run(batches):
         for b in batches:
-            at, x, owner = features([(t or "").encode() for t in b["text"].to_pylist()], bits)
-            code, inverse = np.unique(owner * (1 << bits) + at, return_inverse=True)
-            value = np.bincount(inverse, x, len(code)).astype(np.float32)
-            bucket, cut = (code % (1 << bits)).astype(np.int32), np.searchsorted(code >> bits, np.arange(b.num_rows + 1))
-            tail, one = np.array([1 << bits], np.int32), np.ones(1, np.float32)
-            spans = list(zip(cut[:-1], cut[1:], strict=True))
-            yield pa.RecordBatch.from_pydict({
-                "rank": b["rank"], "label": b["label"],
-                "at": [np.concatenate((bucket[s:e], tail)).tobytes() for s, e in spans],
-                "x": [np.concatenate((value[s:e], one)).tobytes() for s, e in spans],
-            })
+            for first, texts in chunks(b["text"]):
+                at, x, owner = features(texts, bits)
+                code, inverse = np.unique(owner * (1 << bits) + at, return_inverse=True)
+                value = np.bincount(inverse, x, len(code)).astype(np.float32)
+                bucket, cut = (code % (1 << bits)).astype(np.int32), np.searchsorted(code >> bits, np.arange(len(texts) + 1))
+                tail, one = np.array([1 << bits], np.int32), np.ones(1, np.float32)
+                spans = list(zip(cut[:-1], cut[1:], strict=True))
+                yield pa.RecordBatch.from_pydict({
+                    "rank": b["rank"].slice(first, len(texts)), "label": b["label"].slice(first, len(texts)),
+                    "at": [np.concatenate((bucket[s:e], tail)).tobytes() for s, e in spans],
+                    "x": [np.concatenate((value[s:e], one)).tobytes() for s, e in spans],
+                })
 
     return run
 
@@ -172,10 +190,9 @@ def score_column(spark, weights: np.ndarray, text: Column) -> Column:
     def score(texts: pa.Array) -> pa.Array:
         w, n = shared.value.astype(np.float64), len(texts)
         out = np.full(n, w[-1])
-        for start in range(0, n, 256):
-            part = [(t or "").encode() for t in texts.slice(start, 256).to_pylist()]
+        for first, part in chunks(texts):
             at, x, owner = features(part, bits)
-            out[start : start + len(part)] += np.bincount(owner, x * w[at], len(part))
+            out[first : first + len(part)] += np.bincount(owner, x * w[at], len(part))
         return pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
     return arrow_udf(score, DoubleType())(text.cast("string"))
