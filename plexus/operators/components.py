@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +31,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _in_one_task(batches):
+    """Smallest labels over all rows at once, by hooking and pointer jumping."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("a", "b"))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_pydict({"node": nodes, "root": nodes[label]})
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 64, one_task: int = 0) -> DataFrame:
     """Label every node that occurs in ``edges(a, b)`` with the smallest node of its component.
 
     Returns ``(node, root)``.  Rows with a null end and self loops are ignored, repeated and
     reversed edges count once, and an empty edge list gives an empty result.  The work per round
-    is two pre-aggregated minima and two joins; the number of rounds is logarithmic.
+    is two pre-aggregated minima and two joins; the number of rounds is logarithmic.  At most
+    ``one_task`` edges are labelled in a single task instead, which has no rounds.
     """
     state = materialize(
         edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "cc",
     )
+    if one_task and state.count() <= one_task:
+        return state.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_in_one_task, "node long, root long")
     last = None
     for _ in range(max_rounds):
         step = materialize(_small_star(_large_star(state)), "cc")

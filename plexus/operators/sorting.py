@@ -54,11 +54,12 @@ def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, str], inc
 def is_sorted(rows: DataFrame, seq: str, key: str) -> bool:
     """Whether ``key`` never falls along ``seq``; compares neighbours, then the seams of ranges."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(rows.select(seq, key).repartitionByRange(parts, seq).withColumn("p", F.spark_partition_id()), "ranges")
-    fall = F.lag(key).over(Window.partitionBy("p").orderBy(seq)) > F.col(key)
+    pairs = rows.select(F.col(seq).alias("s"), F.col(key).alias("k"))
+    dealt = materialize(pairs.repartitionByRange(parts, "s").withColumn("p", F.spark_partition_id()), "ranges")
+    fall = F.lag("k").over(Window.partitionBy("p").orderBy("s")) > F.col("k")
     if not dealt.select(fall.alias("fall")).filter("fall").isEmpty():
         return False
-    ends = dealt.groupBy("p").agg(F.min_by(key, seq).alias("first"), F.max_by(key, seq).alias("last"))
+    ends = dealt.groupBy("p").agg(F.min_by("k", "s").alias("first"), F.max_by("k", "s").alias("last"))
     seam = F.lag("last").over(Window.orderBy("p")) > F.col("first")
     return ends.select(seam.alias("fall")).filter("fall").isEmpty()
 

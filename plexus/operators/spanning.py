@@ -18,6 +18,10 @@ from plexus.plans.loops import Levels
 from plexus.plans.tables import materialize, release
 
 
+#: Hooking edges of a round that one task labels; more are contracted in rounds.
+HOOKS_IN_ONE_TASK = 500_000
+
+
 class UnionFind:
     """Disjoint sets by rank with path halving."""
 
@@ -62,7 +66,7 @@ def _boruvka(edges: DataFrame, contract: bool) -> DataFrame:
         least = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
         picked = chosen.append(least.select("u", "v", "w"))
         ends_of = state.join(picked.select("u", "v"), ["u", "v"], "left_semi").select("a", "b")
-        root = materialize(connected_components(ends_of), "roots")
+        root = materialize(connected_components(ends_of, one_task=HOOKS_IN_ONE_TASK), "roots")
         named = (
             state.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
             .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
@@ -160,7 +164,7 @@ def _by_strata(edges: DataFrame, batch: int = 8) -> DataFrame:
     for low in range(0, n, batch):
         part = cut.filter((F.col("stratum") >= low) & (F.col("stratum") < low + batch)).select("u", "v", "w")
         if forest is not None:
-            root = materialize(connected_components(forest.select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
+            root = materialize(connected_components(forest.select(F.col("u").alias("a"), F.col("v").alias("b")), one_task=HOOKS_IN_ONE_TASK), "roots")
             part = (
                 part.join(root.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left")
                 .join(root.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")

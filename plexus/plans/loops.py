@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plexus.plans.tables import materialize, release, shared_root
 
@@ -20,7 +21,7 @@ class Levels:
     def append(self, rows: DataFrame) -> DataFrame:
         """Write the rows as the next level and return a scan of that level alone."""
         path = f"{self.root}/{self.n}"
-        rows.select(*self.schema.names).write.parquet(path)
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(path)
         self.n += 1
         return self.spark.read.schema(self.schema).parquet(path)
 
