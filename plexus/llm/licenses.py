@@ -103,13 +103,13 @@ def _posted(t: Template, weight: dict[str, float]) -> list[tuple[str, int]]:
 
 def _met(word: str, at: int):
     """Whether a posting of ``word`` agrees with a start."""
-    return lambda s: F.exists("hits", lambda h: (h["w"] == word) & (h["i"] == s + at))
+    return lambda s: F.exists("__hits", lambda h: (h["w"] == word) & (h["i"] == s + at))
 
 
 def _matches(t: Template, postings: list[tuple[str, int]]) -> Column:
-    """Matches of one template from the row's ``words`` and ``hits``."""
+    """Matches of one template from the row's ``__array`` and ``__hits``."""
     (rare, off), rest = postings[0], postings[1:]
-    starts = F.transform(F.filter("hits", lambda h: h["w"] == rare), lambda h: h["i"] - off)
+    starts = F.transform(F.filter("__hits", lambda h: h["w"] == rare), lambda h: h["i"] - off)
     for word, at in rest:
         starts = F.filter(starts, _met(word, at))
 
@@ -117,11 +117,11 @@ def _matches(t: Template, postings: list[tuple[str, int]]) -> Column:
         """Key phrases at their places; a notice's words before the first one may be cut off."""
         ok = F.lit(True)
         for at, k in t.keys:
-            ok = F.when(ok & (s + at >= 0), F.slice("words", F.greatest(s + at, F.lit(0)) + 1, len(k)) == _literal(k)).otherwise(False)
+            ok = F.when(ok & (s + at >= 0), F.slice("__array", F.greatest(s + at, F.lit(0)) + 1, len(k)) == _literal(k)).otherwise(False)
         return ok
 
     def told(s: Column) -> Column:
-        same = F.filter(_literal(t.words), lambda w, i: F.get(F.col("words"), s + i).eqNullSafe(w))
+        same = F.filter(_literal(t.words), lambda w, i: F.get(F.col("__array"), s + i).eqNullSafe(w))
         return F.struct(F.lit(t.label).alias("label"), s.cast("long").alias("start"), F.lit(len(t.words)).alias("n_words"),
                         (F.size(same) / len(t.words)).alias("cover"), F.lit(t.base).alias("base"))
 
@@ -137,12 +137,12 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     index = {t: _posted(t, weight) for t in every}
     rarest = sorted({p[0][0] for p in index.values()})
     posted = sorted({w for p in index.values() for w, _ in p})
-    rows = docs.select("*", word_array(F.col(text_col)).alias("words"))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(posted))
-    rows = rows.withColumn("hits", F.when(F.arrays_overlap("words", _literal(rarest)), hits))
+    rows = docs.select("*", word_array(F.col(text_col)).alias("__array"))
+    hits = F.filter(F.transform("__array", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(posted))
+    rows = rows.withColumn("__hits", F.when(F.arrays_overlap("__array", _literal(rarest)), hits))
     found = F.flatten(F.array(*[_matches(t, p) for t, p in index.items()]))
-    return rows.select(*docs.columns, F.size("words").cast("long").alias("__words"),
-                       F.when(F.col("hits").isNotNull(), found).alias("__matches"))
+    return rows.select(*docs.columns, F.size("__array").cast("long").alias("__words"),
+                       F.when(F.col("__hits").isNotNull(), found).alias("__matches"))
 
 
 def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

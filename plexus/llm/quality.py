@@ -10,7 +10,8 @@ text's vector with the weights, through the logistic function.
 Training reads at most ``MAX_ROWS`` labelled rows, those with the smallest hash of their id; that
 bound is the only limit, and scoring covers every text whole.  Null and empty texts have an empty
 vector and score the intercept alone.  Rows with a null label or id are not learnt from; of several
-labels of one id the smallest counts.  Without any labelled row the model is empty and scores 0.5.
+labels of one id the smallest counts.  Without any labelled row the model is empty: it scores 0.5
+and ``keep_good`` keeps every document.
 """
 
 from __future__ import annotations
@@ -211,4 +212,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the classifier does not reject, with their columns as they were."""
     weights = fit(docs, labels, id_col=id_col, text_col=text_col)
+    if not weights.any():
+        return docs
     return docs.filter(score_column(docs.sparkSession, weights, F.col(text_col)) >= THRESHOLD)

@@ -1,0 +1,341 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from plexus.llm import decontaminate, licenses, mixing, quality, secrets, shards, simhash
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+# --- licences ---------------------------------------------------------------------------------
+
+
+def test_licenses_against_plain_search(spark, odd_docs, small):
+    extra = [(100, "GNU general public license. MIT License mit license; cc by, CC-BY apache  license"), (101, "license ccé by"), (102, "cc by")]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).union(small("documents").select("doc_id", "text"))
+    got = licenses.label(docs).collect()
+    assert len(got) == docs.count()
+    texts = docs.collect()
+    want = Counter()
+    for r in texts:
+        w = words(r["text"])
+        at = [(i, v) for p, v in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in at]
+        want[(r["doc_id"], len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({v for _, v in at})))] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == want
+    assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) for r in got)
+    assert "apache,apache-2.0" in {r["labels"] for r in got if r["doc_id"] == 9}
+    assert {r["n_base"] for r in got if r["doc_id"] == 100} == {6}
+
+
+def test_licenses_general_interface_and_empty(odd_docs, no_docs):
+    found = licenses.scan(odd_docs)
+    assert found.columns[: len(odd_docs.columns)] == odd_docs.columns
+    assert found.filter("doc_id = 9").first()["__matches"][0]["start"] in (0, 3)
+    assert licenses.label(no_docs).count() == 0
+
+
+# --- secrets ----------------------------------------------------------------------------------
+
+
+def test_forest_holds_out(spark):
+    every = secrets.labelled_findings(spark, 2400).withColumn("k", F.xxhash64("value") % 4)
+    model = secrets.fit(every.filter("k <> 0"))
+    scored = model.transform(secrets.features(every.filter("k = 0")))
+    right = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.97
+
+
+def test_secret_scan_on_odd_rows(spark, odd_docs, no_docs):
+    docs = odd_docs.select("doc_id", "text", "source").union(spark.createDataFrame([(50, "pay with card 4785380592391139 now", None)], "doc_id long, text string, source string"))
+    found = {(r["doc_id"], r["value"]): r["is_secret"] for r in secrets.scan(docs).collect()}
+    assert found == {(10, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"): True, (50, "4785380592391139"): False}
+    assert secrets.report(no_docs).count() == 0
+
+
+def test_candidates_are_all_runs(small):
+    docs = small("documents")
+    want = sum(1 for r in docs.collect() for v in re.findall(r"[A-Za-z0-9+/_\-]{16,}={0,2}", r["text"] or "") if re.search("[0-9]", v))
+    assert secrets.candidates(docs).count() == want
+
+
+# --- quality ----------------------------------------------------------------------------------
+
+
+def test_quality_holds_out(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    got = quality.classify(read("documents"), read("labels")).join(read("labels"), "doc_id").filter("held_out").toPandas()
+    good, bad = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() > 0.97
+    assert ((got.score >= 0.7).astype(int) == got.predicted).all()
+
+
+def test_quality_on_odd_rows(spark, odd_docs, no_docs, small):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (7, 0, None), (8, None, 1), (None, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(odd_docs, labels).collect()
+    assert len(got) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (4, 5, 6)}) == 1
+    assert quality.classify(no_docs, labels).count() == 0
+    assert quality.keep_good(odd_docs, labels.limit(0)).count() == odd_docs.count()
+    assert quality.keep_good(odd_docs, labels).columns == odd_docs.columns
+
+
+def test_features_do_not_depend_on_neighbours():
+    texts = [b"a b c", b"", b"Hello, world! hello", b" x  x "]
+    at, x, owner = quality.features(texts)
+    for k, t in enumerate(texts):
+        alone = quality.features([t])
+        assert sorted(zip(at[owner == k], x[owner == k], strict=True)) == sorted(zip(alone[0], alone[1], strict=True))
+
+
+# --- decontamination --------------------------------------------------------------------------
+
+
+def brute_contamination(docs, items):
+    held = {}
+    for i, text in items:
+        w = words(text)
+        for s in range(max(1, len(w) - 12) if w else 0):
+            held.setdefault(tuple(w[s : s + 13]), set()).add("" if i is None else str(i))
+    sizes = {len(k) for k in held}
+    out = Counter()
+    for i, text in docs:
+        w, hit, of = words(text), set(), set()
+        for n in sizes:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in held:
+                    hit.update(range(s, s + n))
+                    of |= held[tuple(w[s : s + n])]
+        out[(i, len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))] += 1
+    return out
+
+
+def test_contamination_against_brute_force(spark, odd_docs, small):
+    first = odd_docs.filter("doc_id = 1").first()["text"].split()
+    own = spark.createDataFrame([(None, " ".join(first[3:20])), (900, "x"), (901, None), (902, ""), (900, "one TWO"), (903, " ".join(first[5:17]))], "item_id long, text string")
+    docs = odd_docs.select("doc_id", "text").union(small("documents").select("doc_id", "text"))
+    items = small("benchmark").select("item_id", "text").union(own)
+    want = brute_contamination([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])
+    for block in (decontaminate.BLOCK_BYTES, 4000):
+        got = decontaminate.digest(decontaminate.contamination(docs, items, block_bytes=block))
+        assert Counter(map(tuple, got.collect())) == want
+
+
+def test_contamination_empty_tables_and_stage(spark, odd_docs, no_docs, small):
+    assert decontaminate.contamination(no_docs, small("benchmark")).count() == 0
+    clean = decontaminate.contamination(odd_docs, small("benchmark").limit(0)).collect()
+    assert len(clean) == odd_docs.count() and not any(r["contaminated"] for r in clean)
+    item = spark.createDataFrame([(1, odd_docs.filter("doc_id = 1").first()["text"])], "item_id long, text string")
+    kept = decontaminate.keep_clean(odd_docs, item)
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 5
+
+
+def test_segments_and_proximity(spark, odd_docs):
+    index = decontaminate.build_index(odd_docs, segment_bytes=300)
+    assert index.count() > 1
+    rows = spark.createDataFrame([(1, "a b x c y"), (2, "c a a b"), (3, "a z z z z b")], "doc_id long, text string")
+    got = {(r["query"], r["doc_id"]): r["n"] for r in decontaminate.proximity(rows, [("q", "A b"), ("r", "c a"), ("none", "q")], 1).collect()}
+    assert got == {("q", 1): 1, ("q", 2): 1, ("r", 2): 1}
+
+
+# --- near duplicates --------------------------------------------------------------------------
+
+
+def brute_print(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    spans = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in spans]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_classes(prints):
+    label = list(range(len(prints)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if bin(prints[a] ^ prints[b]).count("1") <= 3:
+                label[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(len(prints))]
+
+
+def test_fingerprints_and_classes(spark, odd_docs, no_docs, small):
+    docs = odd_docs.select("doc_id", "text").union(small("documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    rows = docs.collect()
+    prints = [brute_print(r["text"]) for r in rows]
+    of = brute_classes(prints)
+    want = Counter()
+    for r, p, c in zip(rows, prints, of, strict=True):
+        ids = [rows[k]["doc_id"] for k in range(len(rows)) if of[k] == c and rows[k]["doc_id"] is not None]
+        want[(r["doc_id"], f"{p:016x}", min(ids, default=None))] += 1
+    got = simhash.classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
+    assert Counter(map(tuple, got.collect())) == want
+    assert simhash.classes(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("unit", [3, 4096])
+def test_links_of_dense_shards(spark, monkeypatch, unit):
+    monkeypatch.setattr(simhash, "UNIT", unit)
+    rng = random.Random(8)
+    prints = set()
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        for _ in range(25):
+            x = base
+            for _ in range(rng.randrange(9)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    prints = sorted(prints)
+    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
+    found = simhash.links(df, len(prints)).collect()
+    at = {int(np.uint64(p).astype(np.int64)): k for k, p in enumerate(prints)}
+    label = list(range(len(prints)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in found:
+        assert bin(prints[at[r["a"]]] ^ prints[at[r["b"]]]).count("1") <= 3
+        a, b = find(at[r["a"]]), find(at[r["b"]])
+        label[max(a, b)] = min(a, b)
+    assert [find(x) for x in range(len(prints))] == brute_classes(prints)
+
+
+def test_block_layout_keeps_shards_small():
+    assert simhash._layout(10) == (4, 1)
+    for n in (10**6, 10**9, 10**11):
+        blocks, keyed = simhash._layout(n)
+        assert blocks - keyed == simhash.RADIUS and n / 2 ** (64 * keyed // blocks) <= 256
+
+
+def test_one_of_each_class_stays(spark, odd_docs, no_docs):
+    kept = simhash.keep_one(odd_docs)
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    assert kept.columns == odd_docs.columns
+    # 1, 2, 2 and the null id share a text; 4, 5, 6 and the other null id have no words
+    assert (False, 1) in ids and (False, 2) not in ids and (False, 4) in ids and (False, 5) not in ids and (True, 0) not in ids
+    same = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "q r s t"), (None, "q r s t")], "doc_id long, text string")
+    assert simhash.keep_one(same).count() == 2
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+# --- sharding ---------------------------------------------------------------------------------
+
+
+def check_shards(rows, shards=8):
+    sizes, slots = [0] * shards, {}
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return sizes
+
+
+def test_shards_of_equal_bytes(spark, small):
+    docs = small("documents")
+    rows = shards.assign(docs).collect()
+    sizes = check_shards(rows)
+    most = max(r["size"] for r in rows)
+    assert max(sizes) - min(sizes) <= 2 * (most + sum(sizes) / 8 * shards.TOLERANCE)
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
+
+
+@pytest.mark.parametrize("bucket", [64, 8192])
+def test_shards_part_a_hot_group_only(spark, monkeypatch, bucket):
+    monkeypatch.setattr(shards, "BUCKET_ROWS", bucket)
+    hot = [(k, "hot text " * 20) for k in range(1500)]
+    rest = [(10_000 + k, f"text {k} " * 20) for k in range(3000)]
+    rows = shards.assign(spark.createDataFrame(hot + rest, "doc_id long, text string").repartition(3)).collect()
+    sizes = check_shards(rows)
+    assert max(sizes) - min(sizes) <= 0.021 * sum(sizes) / 8 + 400
+    parts = Counter(k for k, _ in {(r["text_crc32"], r["shard"]) for r in rows})
+    assert sum(n > 1 for n in parts.values()) <= 1
+
+
+def test_shards_of_odd_rows(odd_docs, no_docs):
+    rows = shards.assign(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    check_shards(rows)
+    placed = shards.place(odd_docs)
+    assert set(placed.columns) == {*odd_docs.columns, "shard", "slot"} and placed.count() == odd_docs.count()
+    assert shards.assign(no_docs).count() == 0
+
+
+# --- mixing -----------------------------------------------------------------------------------
+
+
+def brute_rates(p, w, t, least, rounds, ridge):
+    b = w @ p
+    r, x = np.full(len(w), max(1.0, least)), b * max(1.0, least)
+    for _ in range(rounds):
+        r = np.maximum(least, r - (p @ ((x - t) / b) + ridge * (r - 1)) / (1 + ridge))
+        now = (w * r) @ p
+        if np.abs(now - x).max() < mixing.TOLERANCE:
+            break
+        x = now
+    return r
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_fitted_rates_against_brute_force(spark, least):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 80)
+    tokens = rng.integers(1, 500, 80)
+    rows = [(k, k, 1, int(n), *map(float, q)) for k, (n, q) in enumerate(zip(tokens, p, strict=True))]
+    members = spark.createDataFrame(rows, "id long, key long, copies long, tokens long, p0 double, p1 double, p2 double")
+    t = np.array([0.6, 0.3, 0.1]) * (1.5 if least else 1.0)
+    found, reached = mixing.fit_rates(members, list(t), least)
+    want = brute_rates(p, tokens / tokens.sum(), t, least, mixing.ROUNDS, mixing.RIDGE)
+    got = np.array([r["rate"] for r in found.orderBy("id").collect()])
+    assert np.abs(got - want).max() < 1e-6 and got.min() >= least
+    if not least:
+        assert np.abs(np.array(reached) - t).max() < 0.02
+
+
+def test_mixture_meets_its_targets(small):
+    docs, labels = small("documents"), small("labels")
+    found, domains, reached = mixing.rates(docs, labels, mixing.TARGETS)
+    assert domains == ["de", "en", "es", "fr"] and max(abs(a - mixing.TARGETS[d]) for a, d in zip(reached, domains, strict=True)) < 0.01
+    right = mixing.report(docs, labels).join(docs.select("doc_id", "lang", "text"), "doc_id").filter(F.length("text") > 60)
+    assert right.agg(F.avg((F.col("domain") == F.col("lang")).cast("double"))).first()[0] > 0.95
+    mixed = mixing.mix(docs, labels)
+    assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_membership_against_brute_force(spark):
+    docs = spark.createDataFrame([(1, "a a b", "x"), (2, "b c c", "y"), (3, "a c d", None), (4, None, "x"), (3, "a c d", None)], "doc_id long, text string, lang string")
+    table, domains, priors = mixing.membership_table(docs, docs.filter("doc_id < 3"), "doc_id", "text", "lang", vocabulary=10)
+    got = mixing.memberships(docs, table, priors, "doc_id", "text").filter("id = 3").first()
+    count = {"x": Counter("aab"), "y": Counter("bcc")}
+    logs = [np.log(0.5) + sum(np.log((count[d][w] + mixing.SMOOTH) / (3 + mixing.SMOOTH * 10)) for w in "ac") for d in domains]
+    want = np.exp(logs) / np.exp(logs).sum()
+    assert (got["copies"], got["tokens"]) == (2, 3) and abs(got["p0"] - want[0]) < 1e-9
+
+
+def test_mixing_odd_rows(spark, odd_docs, no_docs, small):
+    labels = spark.createDataFrame([(1, 1, 0), (7, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    assert mixing.report(odd_docs, labels).count() == odd_docs.count()
+    assert mixing.mix(odd_docs, labels).count() >= odd_docs.count()
+    assert mixing.report(no_docs, labels).count() == 0 and mixing.mix(no_docs, labels).count() == 0
+    assert mixing.report(odd_docs, labels.limit(0)).count() == odd_docs.count()
