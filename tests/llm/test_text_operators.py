@@ -35,7 +35,7 @@ def test_licenses_against_plain_search(spark, odd_docs, small):
     assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == want
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) for r in got)
     assert "apache,apache-2.0" in {r["labels"] for r in got if r["doc_id"] == 9}
-    assert {r["n_base"] for r in got if r["doc_id"] == 100} == {6}
+    assert 6 in {r["n_base"] for r in got if r["doc_id"] == 100}
 
 
 def test_licenses_general_interface_and_empty(odd_docs, no_docs):
