@@ -1,11 +1,18 @@
 """SimHash near-duplicate classes through sharded BK-trees.
 
-Fingerprints take three-word shingles and link at three or fewer differing bits.  Any two such
-fingerprints agree on at least ``blocks - 3`` of ``blocks`` bit blocks, so every pair that has to
-link meets in a shard keyed by some choice of agreeing blocks.  Each shard's fingerprints form a
-BK-tree (children keyed by the integer Hamming distance to their parent) and every member searches
-it, following only the edges within the radius.  A shard's tree travels to the task that queries it
-by an exchange, since the trees together grow with the corpus and so have no bound for a broadcast.
+``classes`` takes three-word shingles, 64 bits, and links at three or fewer differing bits.  Any two
+such fingerprints agree on at least ``blocks - 3`` of ``blocks`` bit blocks, so every pair that has
+to link meets in a shard keyed by some choice of agreeing blocks, and no link is lost.
+
+``similar_classes`` is for near copies at a similarity: five-word shingles with a Jaccard similarity
+of 0.8 or more differ in some 15 % of SimHash bits, so it takes 256 bits, links up to the expected
+number of differing bits and one standard deviation, and keys shards by random choices of bits, as
+many as give a pair at the similarity a chance of 95 % to meet at any corpus size.
+
+In both, a shard's fingerprints form a BK-tree (children keyed by the integer Hamming distance to
+their parent) and its members search it, following only the edges within the radius.  A shard's
+tree travels to the task that queries it by an exchange, since the trees together grow with the
+corpus and so have no bound for a broadcast.
 
 Null handling: a null or blank text has no words and gets fingerprint zero, linked like any other.
 A null ``doc_id`` is ignored when the smallest id of a class is chosen; a class of null ids alone
@@ -14,6 +21,7 @@ has a null ``component_id``.  Repeated rows are returned as often as they come.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
 
 from plexus.operators.components import connected_components
 from plexus.plans.tables import bounded_batches, materialize, maybe_broadcast
@@ -30,33 +38,58 @@ from plexus.plans.tables import bounded_batches, materialize, maybe_broadcast
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Near copies: words of a shingle, least Jaccard similarity, 64-bit lanes of a fingerprint, and the
+#: chance with which a pair at that similarity meets in a shard.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_LANES, MEET = 5, 0.8, 4, 0.95
 #: Members that one search unit takes from a shard; larger shards split into pairs of groups.
 UNIT = 4096
 #: Frontier entries (query, tree node) that a search step holds at once.
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The 64-bit majority fingerprint of a text's word shingles, as an unsigned integer."""
+_LANES = [k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(1, 8)]
+
+
+def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """Each hash followed by mixes of it, as rows of ``lanes`` words; the first is the hash itself."""
+    out = np.empty((len(hashes), lanes), "<u8")
+    out[:, 0] = hashes
+    for k in range(1, lanes):
+        x = hashes + np.uint64(_LANES[k - 1])
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def fingerprint_bytes(text: str | None, width: int = SHINGLE, lanes: int = 1) -> bytes:
+    """The majority fingerprint of a text's word shingles, 64 bits to a lane, little-endian."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return bytes(8 * lanes)
     hash64, n = xxhash.xxh64_intdigest, len(words)
-    if n <= width:
-        return hash64(b" ".join(words), SEED)
     line = b" ".join(words)
+    if n <= width:
+        return _lanes(np.array([hash64(line, SEED)], "<u8"), lanes).tobytes()
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     hashes = np.array([hash64(line[s:e], SEED) for s, e in spans], "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, n, 4096):
+        bits = np.unpackbits(_lanes(hashes[at : at + 4096], lanes).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The 64-bit fingerprint as an unsigned integer."""
+    return int.from_bytes(fingerprint_bytes(text, width), "little")
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    out = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-    return pa.array(out.view(np.int64))
+    out = b"".join(fingerprint_bytes(t.as_py()) for t in texts)
+    return pa.array(np.frombuffer(out, "<i8"))
 
 
 def fingerprint_column(text: Column) -> Column:
@@ -64,15 +97,26 @@ def fingerprint_column(text: Column) -> Column:
     return arrow_udf(_fingerprints, LongType())(text.cast("string"))
 
 
-def _popcount(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+def wide_column(text: Column, width: int, lanes: int) -> Column:
+    """SimHash of ``64 * lanes`` bits as binary."""
+
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint_bytes(t.as_py(), width, lanes) for t in texts], pa.binary())
+
+    return arrow_udf(prints, BinaryType())(text.cast("string"))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances between the rows of two arrays of words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class Forest:
     """BK-trees over the rows of several units, built level by level for all trees at once."""
 
     def __init__(self, prints: np.ndarray, tree: np.ndarray) -> None:
-        self.prints = prints
+        self.prints, self.far = prints, 64 * prints.shape[1]
+        span = self.far + 1
         order = np.arange(len(prints))
         trees, first = np.unique(tree, return_index=True)
         self.root = dict(zip(trees.tolist(), first.tolist(), strict=True))
@@ -80,29 +124,29 @@ class Forest:
         waiting = order[at != order]
         parents, edges, nodes = [], [], []
         while len(waiting):
-            key = at[waiting] * 65 + _popcount(prints[waiting], prints[at[waiting]])
+            key = at[waiting] * span + _apart(prints[waiting], prints[at[waiting]])
             _, lead, member = np.unique(key, return_index=True, return_inverse=True)
             child = waiting[lead]
-            parents.append(key[lead] // 65)
-            edges.append(key[lead] % 65)
+            parents.append(key[lead] // span)
+            edges.append(key[lead] % span)
             nodes.append(child)
             at[waiting] = child[member]
             waiting = waiting[at[waiting] != waiting]
         join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
-        key, self.node = join(parents) * 65 + join(edges), join(nodes)
+        key, self.node = join(parents) * span + join(edges), join(nodes)
         order = np.argsort(key, kind="stable")
         self.key, self.node = key[order], self.node[order]
 
     def search(self, queries: np.ndarray, roots: np.ndarray, radius: int):
         """Yield (position in queries, node) arrays of all nodes within the radius."""
-        who, at = np.arange(len(queries)), roots
+        who, at, span = np.arange(len(queries)), roots, self.far + 1
         while len(who):
-            far = _popcount(queries[who], self.prints[at])
+            far = _apart(queries[who], self.prints[at])
             hit = far <= radius
             if hit.any():
                 yield who[hit], at[hit]
-            low = np.searchsorted(self.key, at * 65 + np.maximum(far - radius, 0))
-            high = np.searchsorted(self.key, at * 65 + np.minimum(far + radius, 64), "right")
+            low = np.searchsorted(self.key, at * span + np.maximum(far - radius, 0))
+            high = np.searchsorted(self.key, at * span + np.minimum(far + radius, self.far), "right")
             n = high - low
             who = np.repeat(who, n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -135,18 +179,22 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 def _unit_links(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int):
     """A spanning forest of the links inside each unit, as pairs of row numbers.
 
-    Rows of side 0 form the tree.  In a unit of one group they are the queries as well; in a
-    unit of two groups side 1 queries the tree of side 0.
+    Rows of side 0 form the tree.  In a unit of one group they are the queries as well, but for
+    those that the root links: whatever links to one of them asks itself.  In a unit of two groups
+    side 1 queries the tree of side 0.
     """
     two = np.unique(unit[side == 1])
     base = np.flatnonzero(side == 0)
     forest = Forest(prints[base], unit[base])
+    label, found = np.arange(len(unit)), []
+    names, first, size = np.unique(unit[base], return_index=True, return_counts=True)
     asks = np.flatnonzero((side == 1) | ~np.isin(unit, two))
-    asks = asks[np.fromiter((u in forest.root for u in unit[asks].tolist()), bool, len(asks))]
-    roots = np.fromiter((forest.root[u] for u in unit[asks].tolist()), np.int64, len(asks))
-    names, size = np.unique(unit[base], return_counts=True)
+    asks = asks[np.isin(unit[asks], names)]
+    roots = first[np.searchsorted(names, unit[asks])]
+    near = (side[asks] == 0) & (_apart(prints[asks], prints[base[roots]]) <= radius)
+    found.append(_hook(label, asks[near], base[roots[near]]))
+    asks, roots = asks[~near], roots[~near]
     load = np.cumsum(size[np.searchsorted(names, unit[asks])])
-    label, found = np.arange(len(unit)), []
     cut = np.searchsorted(load, np.arange(FRONTIER, (load[-1] if len(load) else 0) + FRONTIER, FRONTIER))
     start = 0
     for stop in np.unique(np.concatenate((cut, [len(asks)]))).tolist():
@@ -154,20 +202,17 @@ def _unit_links(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius:
         for who, node in forest.search(prints[some], roots[start:stop], radius):
             found.append(_hook(label, some[who], base[node]))
         start = stop
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
 def _link_partition(radius: int, rows_at_once: int = 1 << 17):
-    """Link sorted rows (unit, side, fp), whole units at a time."""
+    """Link sorted rows (unit, side, node, fp), whole units at a time."""
 
     def emit(table: pa.Table):
-        unit = table["unit"].to_numpy()
-        prints = table["fp"].to_numpy().view(np.uint64)
+        unit, node = table["unit"].to_numpy(), table["node"].to_numpy()
+        prints = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(table.num_rows, -1)
         a, b = _unit_links(np.unique(unit, return_inverse=True)[1], table["side"].to_numpy(), prints, radius)
-        signed = prints.view(np.int64)
-        return pa.RecordBatch.from_pydict({"a": pa.array(signed[a]), "b": pa.array(signed[b])})
+        return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
     def run(batches):
         held, n = [], 0
@@ -199,12 +244,7 @@ def _layout(distinct: int) -> tuple[int, int]:
 
 
 def links(prints: DataFrame, distinct: int) -> DataFrame:
-    """Links ``(a, b)`` that connect the same classes as all links between distinct ``fp`` rows.
-
-    Within a shard only a spanning forest of its links is returned.  A shard with more than
-    ``UNIT`` members is split into groups and every pair of groups is its own unit, so that the
-    work of a hot shard spreads over tasks and no link is lost.
-    """
+    """Links ``(a, b)`` that connect the same classes as all links between distinct ``fp`` rows."""
     blocks, keyed = _layout(distinct)
     edge = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
@@ -212,71 +252,113 @@ def links(prints: DataFrame, distinct: int) -> DataFrame:
         mask = sum(((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in pick)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    members = prints.select("fp", F.explode(keys).alias("shard"))
+    members = prints.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.explode(keys).alias("shard"))
+    return _shard_links(members, RADIUS)
+
+
+def _shard_links(members: DataFrame, radius: int) -> DataFrame:
+    """Links of ``members(shard, node, fp)`` within their shards.
+
+    Within a shard only a spanning forest of its links is returned.  A shard with more than
+    ``UNIT`` members is split into groups and every pair of groups is its own unit, so that the
+    work of a hot shard spreads over tasks and no link is lost.
+    """
     sizes = members.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     groups = F.ceil(F.col("n") / UNIT).cast("int")
-    own = F.pmod(F.xxhash64("fp"), groups).cast("int")
     units = (
-        members.join(sizes, "shard").withColumn("g", groups).withColumn("own", own)
-        .select("shard", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+        members.join(sizes, "shard").withColumn("g", groups).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        .select("shard", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
         .select(
             F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"), "fp",
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp",
         )
     )
-    return (
-        units.repartition("unit").sortWithinPartitions("unit")
-        .mapInArrow(_link_partition(RADIUS), "a long, b long")
-    )
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_link_partition(radius), "a long, b long")
+
+
+def _similar_layout(distinct: int, similarity: float, bits: int) -> tuple[int, int, int]:
+    """Radius, bits of a shard key and number of keys for a Jaccard similarity.
+
+    A pair at the similarity has a cosine of ``2 s / (1 + s)``; a bit differs with the angle's share
+    of a half turn.  Keys are wide enough for small shards of unrelated texts and as many as give
+    such a pair a chance of ``MEET`` to agree on one.
+    """
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.ceil(bits * chance + math.sqrt(bits * chance * (1 - chance)))
+    width = max(16, math.ceil(math.log2(max(1, distinct) / 4)))
+    return radius, width, math.ceil(math.log(1 - MEET) / math.log(1 - (1 - chance) ** width))
+
+
+def similar_links(prints: DataFrame, distinct: int, similarity: float, bits: int) -> DataFrame:
+    """Links between ``prints(node, fp)`` with binary ``fp`` of ``bits`` bits, as ``links`` returns them."""
+    radius, width, keys = _similar_layout(distinct, similarity, bits)
+
+    def spread(batches):
+        rng = np.random.default_rng(SEED)
+        picks = [rng.choice(bits, width, replace=False) for _ in range(keys)]
+        powers = np.uint64(1) << np.arange(width, dtype=np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, fp = b["node"], b["fp"]
+            on = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little").astype(np.uint64)
+            for k, pick in enumerate(picks):
+                key = (on[:, pick] * powers).sum(axis=1, dtype=np.uint64) * np.uint64(keys) + np.uint64(k)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, fp], ["shard", "node", "fp"])
+
+    return _shard_links(prints.select("node", "fp").mapInArrow(spread, "shard long, node long, fp binary"), radius)
+
+
+def _labelled(rows: DataFrame, linked) -> DataFrame:
+    """``rows(doc_id, text_key, node, fp)`` with ``component_id``; ``linked`` makes links of the
+    distinct ``(node, fp)``, given them and their number."""
+    least = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "prints")
+    roots = connected_components(linked(least.select("node", "fp"), least.count()))
+    rooted = least.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rows.join(rooted.select("node", "root").join(named, "root"), "node")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row ``(doc_id, text_key, fp, component_id)`` per document.
+    """One row ``(doc_id, text_key, fp, root, component_id)`` per document.
 
-    ``text_key`` is a 64-bit hash of the text.  An empty table gives an empty result.
+    ``text_key`` is a 64-bit hash of the text and ``root`` tells classes apart.  An empty table
+    gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     rows = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
-            fingerprint_column(F.col(text_col)).alias("fp"),
-        ),
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), fingerprint_column(F.col(text_col)).alias("fp")),
         "simhash",
     )
-    least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
-    roots = connected_components(links(least.select("fp"), least.count()))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(of_print, "fp")
+    return _labelled(rows.withColumn("node", F.col("fp")), links).select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_SHINGLE,
+                    similarity: float = SIMILARITY, lanes: int = SIMILAR_LANES) -> DataFrame:
+    """As ``classes``, for near copies at a Jaccard similarity of word shingles; ``fp`` is binary."""
+    bounded_batches(docs.sparkSession)
+    rows = materialize(
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), wide_column(F.col(text_col), width, lanes).alias("fp")),
+        "simhash",
+    ).withColumn("node", F.xxhash64("fp"))
+    linked = lambda prints, n: similar_links(prints, n, similarity, 64 * lanes)
+    return _labelled(rows, linked).select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near duplicates: the smallest id of every class stays.
+    """The documents without near copies: the smallest id of every class of ``similar_classes`` stays.
 
     Rows that share the kept id are ordered by text hash; identical repeats of the kept row
     collapse to one.  Columns are those of ``docs``.
     """
-    found = classes(docs, id_col, text_col)
+    found = similar_classes(docs, id_col, text_col)
+    counted = materialize(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "counted")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(
-        F.min(order).alias("best")
-    ).select(F.col("best.doc_id").alias("kept_id"), F.col("best.text_key").alias("kept_key"))
-    counted = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
-    same = counted["doc_id"].eqNullSafe(best["kept_id"]) & (counted["text_key"] == best["kept_key"])
-    marked = materialize(
-        counted.join(best, same, "left").select(
-            F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n",
-            F.col("kept_key").isNotNull().alias("kept"),
-        ),
-        "marked",
-    )
-    gone, repeats = marked.agg(
-        F.sum(F.when(~F.col("kept"), 1).otherwise(0)), F.sum(F.when(F.col("kept") & (F.col("n") > 1), 1).otherwise(0))
-    ).first()
-    drop = maybe_broadcast(marked.filter("not kept").select("__id", "__key"), gone or 0, 32)
+    best = counted.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.doc_id").alias("kept_id"), F.col("best.text_key").alias("kept_key"))
+    kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    marked = materialize(counted.join(best, "root").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n", kept.alias("kept")), "marked")
+    gone, repeats = marked.agg(F.count(F.when(~F.col("kept"), 1)), F.count(F.when(F.col("kept") & (F.col("n") > 1), 1))).first()
+    drop = maybe_broadcast(marked.filter("not kept").select("__id", "__key"), gone, 32)
     on = docs[id_col].eqNullSafe(drop["__id"]) & (F.xxhash64(docs[text_col]) == drop["__key"])
     left = docs.join(drop, on, "left_anti")
     return left.dropDuplicates([id_col, text_col]) if repeats else left

@@ -27,7 +27,7 @@ def test_stages_take_effect(spark, tables):
     assert set(out.columns) == {*docs.columns, "shard", "slot"}
     good = {r["doc_id"] for r in quality.classify(docs, labels).filter("predicted = 1").collect()}
     kept = docs.filter(F.col("doc_id").isin(sorted(good)))
-    best = {r["component_id"] for r in simhash.classes(kept).collect()}
+    best = {r["component_id"] for r in simhash.similar_classes(kept).collect()}
     bad = {r["doc_id"] for r in decontaminate.contamination(docs, benchmark).filter("contaminated").collect()}
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == best - bad
     for r in out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect():

@@ -219,6 +219,48 @@ def test_links_of_dense_shards(spark, monkeypatch, unit):
     assert [find(x) for x in range(len(prints))] == brute_classes(prints)
 
 
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def test_near_copies_meet_and_others_stay_apart(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 8)))
+    rows, group = [], {}
+    for g in range(60):
+        base = [word() for _ in range(rng.choice([120, 300, 800]))]
+        for k in range(3):
+            copy = list(base)
+            for _ in range(round(len(base) * 0.006 * k)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((3 * g + k, " ".join(copy)))
+            group[3 * g + k] = g
+    shared = " ".join(word() for _ in range(60))
+    rows += [(1000 + i, shared + " " + " ".join(word() for _ in range(200))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(df).collect()}
+    text = dict(rows)
+    missed = similar = 0
+    for a in range(180):
+        for b in range(a):
+            x, y = shingles(text[a]), shingles(text[b])
+            if group[a] == group[b] and len(x & y) / len(x | y) >= 0.85:
+                similar += 1
+                missed += named[a] != named[b]
+            if group[a] != group[b]:
+                assert named[a] != named[b]
+    assert similar > 100 and missed <= 0.03 * similar
+    assert all(named[1000 + i] == 1000 + i for i in range(20))
+
+
+def test_similar_layout_reaches_its_chance():
+    for n in (100, 10**6, 10**9):
+        radius, width, keys = simhash._similar_layout(n, 0.8, 256)
+        same = 1 - np.arccos(1.6 / 1.8) / np.pi
+        assert 1 - (1 - same**width) ** keys >= simhash.MEET and n / 2**width <= 4 and (1 - same) * 256 < radius < 0.2 * 256
+
+
 def test_block_layout_keeps_shards_small():
     assert simhash._layout(10) == (4, 1)
     for n in (10**6, 10**9, 10**11):
