@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexus.plans.tables import bounded_batches, materialize, maybe_broadcast
+from plexus.plans.workers import tidy
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -90,7 +91,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Index every word of every text; one row per segment, stored in the shared folder."""
     bounded_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_index(segment_bytes), f"{SEGMENT}, terms_size long"), "postings")
+    return materialize(rows.mapInArrow(tidy(_index(segment_bytes)), f"{SEGMENT}, terms_size long"), "postings")
 
 
 class Segment:
@@ -244,7 +245,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = _block_count(benchmark, item_text_col, block_bytes)
     for k in range(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(_block(benchmark, item_col, item_text_col, k, blocks))
-        found = found.mapInArrow(_search(shared, k == blocks - 1), _FOUND if k == blocks - 1 else _HITS)
+        found = found.mapInArrow(tidy(_search(shared, k == blocks - 1)), _FOUND if k == blocks - 1 else _HITS)
     return found.withColumn("contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words"))
 
 

@@ -24,6 +24,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 from plexus.plans.tables import bounded_batches
+from plexus.plans.workers import give_back, tidy
 
 BITS = 18
 #: Most labelled rows that a model is fitted on.
@@ -178,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         .withColumn("rank", F.xxhash64("__id")).orderBy("rank", "__id").limit(max_rows)
     )
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
-    sparse = rows.select("rank", "label", "text").mapInArrow(_sparse(bits), "rank long, label int, at binary, x binary")
-    found = sparse.repartition(1).mapInArrow(_train(bits, epochs), "w binary").first()
+    sparse = rows.select("rank", "label", "text").mapInArrow(tidy(_sparse(bits)), "rank long, label int, at binary, x binary")
+    found = sparse.repartition(1).mapInArrow(tidy(_train(bits, epochs)), "w binary").first()
     return np.frombuffer(found["w"], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -194,6 +195,7 @@ def score_column(spark, weights: np.ndarray, text: Column) -> Column:
         for first, part in chunks(texts):
             at, x, owner = features(part, bits)
             out[first : first + len(part)] += np.bincount(owner, x * w[at], len(part))
+        give_back()
         return pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
     return arrow_udf(score, DoubleType())(text.cast("string"))

@@ -34,6 +34,7 @@ from pyspark.sql.types import BinaryType, LongType
 
 from plexus.operators.components import connected_components
 from plexus.plans.tables import bounded_batches, materialize, maybe_broadcast
+from plexus.plans.workers import tidy
 
 RADIUS = 3
 SHINGLE = 3
@@ -273,7 +274,7 @@ def _shard_links(members: DataFrame, radius: int) -> DataFrame:
             (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp",
         )
     )
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_link_partition(radius), "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(_link_partition(radius)), "a long, b long")
 
 
 def _similar_layout(distinct: int, similarity: float, bits: int) -> tuple[int, int, int]:
@@ -306,7 +307,7 @@ def similar_links(prints: DataFrame, distinct: int, similarity: float, bits: int
                 key = (on[:, pick] * powers).sum(axis=1, dtype=np.uint64) * np.uint64(keys) + np.uint64(k)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, fp], ["shard", "node", "fp"])
 
-    return _shard_links(prints.select("node", "fp").mapInArrow(spread, "shard long, node long, fp binary"), radius)
+    return _shard_links(prints.select("node", "fp").mapInArrow(tidy(spread), "shard long, node long, fp binary"), radius)
 
 
 def _labelled(rows: DataFrame, linked) -> DataFrame:
@@ -315,7 +316,8 @@ def _labelled(rows: DataFrame, linked) -> DataFrame:
     least = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "prints")
     roots = connected_components(linked(least.select("node", "fp"), least.count()))
     rooted = least.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # a table of its own, so that a large class joins by a skew join that Spark can split
+    named = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
     return rows.join(rooted.select("node", "root").join(named, "root"), "node")
 
 
@@ -355,6 +357,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counted = materialize(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "counted")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     best = counted.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.doc_id").alias("kept_id"), F.col("best.text_key").alias("kept_key"))
+    best = materialize(best, "best")
     kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
     marked = materialize(counted.join(best, "root").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n", kept.alias("kept")), "marked")
     gone, repeats = marked.agg(F.count(F.when(~F.col("kept"), 1)), F.count(F.when(F.col("kept") & (F.col("n") > 1), 1))).first()

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexus.plans.tables import bounded_batches, materialize, maybe_broadcast
+from plexus.plans.workers import tidy
 
 ARCHIVE_BYTES = 8 << 20
 RECORDS, INDEX, PACKAGE = "archive/data.warc", "indexes/index.cdx", "datapackage.json"
@@ -220,7 +221,7 @@ def write_archives(pages: DataFrame, revisit_from: int = 0, compress: bool = Fal
         "page_id", "url", "html",
         F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")).alias("refers_to"),
     )
-    return materialize(told.mapInArrow(_pack(archive_bytes, compress), "content binary"), "archives")
+    return materialize(told.mapInArrow(tidy(_pack(archive_bytes, compress)), "content binary"), "archives")
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -256,7 +257,7 @@ def _unpack(payloads: bool):
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of archives given as rows with a binary column ``content``."""
     bounded_batches(archives.sparkSession, 4)
-    return archives.select("content").mapInArrow(_unpack(payloads), _READ)
+    return archives.select("content").mapInArrow(tidy(_unpack(payloads)), _READ)
 
 
 def read_archive_files(spark, path: str, payloads: bool = True) -> DataFrame:
