@@ -10,25 +10,23 @@ from pyspark.sql import functions as F
 from plexus.plans.tables import materialize, release
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hook every larger neighbour of a node to the smallest node it sees."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return (
-        both.filter("b > a").join(least, "a")
-        .select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-    )
-
+def _round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star contraction of edges with a < b.
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hook a node and its smaller neighbours to the smallest of them; edges have a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    hooked = edges.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y"))
-    roots = least.select(F.col("m").alias("x"), F.col("b").alias("y"))
-    return (
-        hooked.union(roots).filter("x <> y")
-        .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    )
+    The minima are tables of their own: a node with very many edges then joins its one row by a
+    join between two plain scans, whose skewed side Spark splits.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc")
+    # every larger neighbour of a node hooks to the smallest node that it sees
+    large = materialize(both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), "cc")
+    first = materialize(large.groupBy("b").agg(F.min("a").alias("m")), "cc")
+    # a node and its smaller neighbours hook to the smallest of them
+    hooked = large.join(first, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a <> b")
+    out = materialize(hooked.union(first.select(F.col("m").alias("a"), "b")).distinct(), "cc")
+    for done in (least, large, first):
+        release(done)
+    return out
 
 
 def _in_one_task(batches):
@@ -66,7 +64,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64, one_task: int =
         return state.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_in_one_task, "node long, root long")
     last = None
     for _ in range(max_rounds):
-        step = materialize(_small_star(_large_star(state)), "cc")
+        step = _round(state)
         mark = step.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
         release(state)
         state = step
