@@ -4,10 +4,13 @@
 such fingerprints agree on at least ``blocks - 3`` of ``blocks`` bit blocks, so every pair that has
 to link meets in a shard keyed by some choice of agreeing blocks, and no link is lost.
 
-``similar_classes`` is for near copies at a similarity: five-word shingles with a Jaccard similarity
-of 0.8 or more differ in some 15 % of SimHash bits, so it takes 256 bits, links up to the expected
-number of differing bits and one standard deviation, and keys shards by random choices of bits, as
-many as give a pair at the similarity a chance of 95 % to meet at any corpus size.
+``similar_classes`` is for near copies at a similarity: sets of five-word shingles with a Jaccard
+similarity of 0.8 differ in some 15 % of SimHash bits, so it takes 256 bits and keys shards by random
+choices of bits, as many as give a pair at the similarity a chance of ``MEET`` to meet at any corpus
+size.  Pairs four standard deviations below the expected number of differing bits are links; pairs
+up to ``SLACK`` above it are candidates, nearest first, and those between texts that no link joins
+already are kept by an exact check of their shingle sets.  A candidate is left out only where nearer
+ones of its shard join its ends.
 
 In both, a shard's fingerprints form a BK-tree (children keyed by the integer Hamming distance to
 their parent) and its members search it, following only the edges within the radius.  A shard's
@@ -39,9 +42,12 @@ from plexus.plans.workers import tidy
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Near copies: words of a shingle, least Jaccard similarity, 64-bit lanes of a fingerprint, and the
-#: chance with which a pair at that similarity meets in a shard.
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_LANES, MEET = 5, 0.8, 4, 0.95
+#: Near copies: words of a shingle, least Jaccard similarity, 64-bit lanes of a fingerprint, the
+#: chance with which a pair at that similarity meets in a shard, and the standard deviations by
+#: which a candidate may have more differing bits than expected.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_LANES, MEET, SLACK = 5, 0.8, 4, 0.98, 2.5
+#: Bands of differing bits in which candidates are taken, nearest first.
+BANDS = 6
 #: Members that one search unit takes from a shard; larger shards split into pairs of groups.
 UNIT = 4096
 #: Frontier entries (query, tree node) that a search step holds at once.
@@ -63,26 +69,38 @@ def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-def fingerprint_bytes(text: str | None, width: int = SHINGLE, lanes: int = 1) -> bytes:
-    """The majority fingerprint of a text's word shingles, 64 bits to a lane, little-endian."""
+def _shingles(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every shingle of a text in order, repeats included; none for a text without words."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(8 * lanes)
     hash64, n = xxhash.xxh64_intdigest, len(words)
     line = b" ".join(words)
     if n <= width:
-        return _lanes(np.array([hash64(line, SEED)], "<u8"), lanes).tobytes()
+        return np.array([hash64(line, SEED)] if n else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([hash64(line[s:e], SEED) for s, e in spans], "<u8")
+    return np.array([hash64(line[s:e], SEED) for s, e in spans], "<u8")
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> bytes:
+    """The bits set in over half of the hashes, 64 to a lane, little-endian; zero without hashes."""
     ones = np.zeros(64 * lanes, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(_lanes(hashes[at : at + 4096], lanes).view(np.uint8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
+def fingerprint_bytes(text: str | None, width: int = SHINGLE, lanes: int = 1) -> bytes:
+    """The majority fingerprint of a text's word shingles, repeats included."""
+    return _majority(_shingles(text, width), lanes)
+
+
+def set_fingerprint_bytes(text: str | None, width: int = SIMILAR_SHINGLE, lanes: int = SIMILAR_LANES) -> bytes:
+    """The majority fingerprint of a text's set of word shingles."""
+    return _majority(np.unique(_shingles(text, width)), lanes)
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint as an unsigned integer."""
     return int.from_bytes(fingerprint_bytes(text, width), "little")
@@ -99,10 +117,10 @@ def fingerprint_column(text: Column) -> Column:
 
 
 def wide_column(text: Column, width: int, lanes: int) -> Column:
-    """SimHash of ``64 * lanes`` bits as binary."""
+    """SimHash of ``64 * lanes`` bits of a text's shingle set as binary."""
 
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_bytes(t.as_py(), width, lanes) for t in texts], pa.binary())
+        return pa.array([set_fingerprint_bytes(t.as_py(), width, lanes) for t in texts], pa.binary())
 
     return arrow_udf(prints, BinaryType())(text.cast("string"))
 
@@ -177,12 +195,13 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return (np.concatenate(used_a), np.concatenate(used_b)) if used_a else (empty, empty)
 
 
-def _unit_links(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int):
+def _unit_links(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radii: list[int]):
     """A spanning forest of the links inside each unit, as pairs of row numbers.
 
+    Pairs are taken by rising radius, so that a far pair joins only what nearer ones leave apart.
     Rows of side 0 form the tree.  In a unit of one group they are the queries as well, but for
-    those that the root links: whatever links to one of them asks itself.  In a unit of two groups
-    side 1 queries the tree of side 0.
+    those within the least radius of the root: whatever links to one of them asks itself.  In a
+    unit of two groups side 1 queries the tree of side 0.
     """
     two = np.unique(unit[side == 1])
     base = np.flatnonzero(side == 0)
@@ -192,28 +211,40 @@ def _unit_links(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radius:
     asks = np.flatnonzero((side == 1) | ~np.isin(unit, two))
     asks = asks[np.isin(unit[asks], names)]
     roots = first[np.searchsorted(names, unit[asks])]
-    near = (side[asks] == 0) & (_apart(prints[asks], prints[base[roots]]) <= radius)
+    near = (side[asks] == 0) & (_apart(prints[asks], prints[base[roots]]) <= radii[0])
     found.append(_hook(label, asks[near], base[roots[near]]))
     asks, roots = asks[~near], roots[~near]
     load = np.cumsum(size[np.searchsorted(names, unit[asks])])
     cut = np.searchsorted(load, np.arange(FRONTIER, (load[-1] if len(load) else 0) + FRONTIER, FRONTIER))
     start = 0
     for stop in np.unique(np.concatenate((cut, [len(asks)]))).tolist():
-        some = asks[start:stop]
-        for who, node in forest.search(prints[some], roots[start:stop], radius):
-            found.append(_hook(label, some[who], base[node]))
+        some, late = asks[start:stop], []
+        for who, node in forest.search(prints[some], roots[start:stop], radii[-1]):
+            a, b = some[who], base[node]
+            far = _apart(prints[a], prints[b])
+            now = far <= radii[0]
+            found.append(_hook(label, a[now], b[now]))
+            if not now.all():
+                late.append(np.stack((a[~now], b[~now], far[~now])))
+        if late:
+            a, b, far = np.concatenate(late, axis=1)
+            for radius in radii[1:]:
+                now = far <= radius
+                found.append(_hook(label, a[now], b[now]))
+                a, b, far = a[~now], b[~now], far[~now]
         start = stop
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _link_partition(radius: int, rows_at_once: int = 1 << 17):
+def _link_partition(radii: list[int], rows_at_once: int = 1 << 17):
     """Link sorted rows (unit, side, node, fp), whole units at a time."""
 
     def emit(table: pa.Table):
         unit, node = table["unit"].to_numpy(), table["node"].to_numpy()
         prints = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(table.num_rows, -1)
-        a, b = _unit_links(np.unique(unit, return_inverse=True)[1], table["side"].to_numpy(), prints, radius)
-        return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
+        a, b = _unit_links(np.unique(unit, return_inverse=True)[1], table["side"].to_numpy(), prints, radii)
+        sure = _apart(prints[a], prints[b]) <= radii[0]
+        return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b]), "sure": pa.array(sure)})
 
     def run(batches):
         held, n = [], 0
@@ -254,11 +285,13 @@ def links(prints: DataFrame, distinct: int) -> DataFrame:
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     members = prints.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.explode(keys).alias("shard"))
-    return _shard_links(members, RADIUS)
+    return _shard_links(members, [RADIUS]).select("a", "b")
+
 
+def _shard_links(members: DataFrame, radii: list[int]) -> DataFrame:
+    """Pairs ``(a, b, sure)`` of ``members(shard, node, fp)`` within their shards and the last radius.
 
-def _shard_links(members: DataFrame, radius: int) -> DataFrame:
-    """Links of ``members(shard, node, fp)`` within their shards.
+    ``sure`` pairs are within the first.
 
     Within a shard only a spanning forest of its links is returned.  A shard with more than
     ``UNIT`` members is split into groups and every pair of groups is its own unit, so that the
@@ -274,25 +307,27 @@ def _shard_links(members: DataFrame, radius: int) -> DataFrame:
             (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp",
         )
     )
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(_link_partition(radius)), "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(_link_partition(radii)), "a long, b long, sure boolean")
 
 
-def _similar_layout(distinct: int, similarity: float, bits: int) -> tuple[int, int, int]:
-    """Radius, bits of a shard key and number of keys for a Jaccard similarity.
+def _similar_layout(distinct: int, similarity: float, bits: int) -> tuple[list[int], int, int]:
+    """Radii, bits of a shard key and number of keys for a Jaccard similarity.
 
     A pair at the similarity has a cosine of ``2 s / (1 + s)``; a bit differs with the angle's share
     of a half turn.  Keys are wide enough for small shards of unrelated texts and as many as give
     such a pair a chance of ``MEET`` to agree on one.
     """
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.ceil(bits * chance + math.sqrt(bits * chance * (1 - chance)))
+    spread = math.sqrt(bits * chance * (1 - chance))
+    low, high = math.floor(bits * chance - 4 * spread), math.ceil(bits * chance + SLACK * spread)
+    radii = [low + math.ceil((high - low) * k / BANDS) for k in range(BANDS + 1)]
     width = max(16, math.ceil(math.log2(max(1, distinct) / 4)))
-    return radius, width, math.ceil(math.log(1 - MEET) / math.log(1 - (1 - chance) ** width))
+    return radii, width, math.ceil(math.log(1 - MEET) / math.log(1 - (1 - chance) ** width))
 
 
-def similar_links(prints: DataFrame, distinct: int, similarity: float, bits: int) -> DataFrame:
-    """Links between ``prints(node, fp)`` with binary ``fp`` of ``bits`` bits, as ``links`` returns them."""
-    radius, width, keys = _similar_layout(distinct, similarity, bits)
+def similar_pairs(prints: DataFrame, distinct: int, similarity: float, bits: int) -> DataFrame:
+    """Links and candidates ``(a, b, sure)`` between ``prints(node, fp)`` with binary ``fp`` of ``bits`` bits."""
+    radii, width, keys = _similar_layout(distinct, similarity, bits)
 
     def spread(batches):
         rng = np.random.default_rng(SEED)
@@ -307,7 +342,53 @@ def similar_links(prints: DataFrame, distinct: int, similarity: float, bits: int
                 key = (on[:, pick] * powers).sum(axis=1, dtype=np.uint64) * np.uint64(keys) + np.uint64(k)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, fp], ["shard", "node", "fp"])
 
-    return _shard_links(prints.select("node", "fp").mapInArrow(tidy(spread), "shard long, node long, fp binary"), radius)
+    return _shard_links(prints.select("node", "fp").mapInArrow(tidy(spread), "shard long, node long, fp binary"), radii)
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(node, shingles)`` of ``(node, text)``: the sorted distinct shingle hashes, cut to 32 bits."""
+
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(_shingles(t.as_py(), width).astype("<u4")).tobytes() for t in texts], pa.binary())
+
+    return texts.select("node", arrow_udf(cut, BinaryType())(F.col("text")).alias("shingles"))
+
+
+def _checked(similarity: float):
+    """Keep the rows ``(a, b, x, y)`` whose shingle sets reach the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
+                low, high = sorted((len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if low >= similarity * high else 0
+                keep.append(both >= similarity * (low + high - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _similar_links(docs: DataFrame, rows: DataFrame, prints: DataFrame, distinct: int, width: int, similarity: float, bits: int) -> DataFrame:
+    """Links between nodes: the sure pairs, and the candidates between them that the texts confirm."""
+    ends = lambda c: (F.least("a", "b") if c == "a" else F.greatest("a", "b")).alias(c)
+    pairs = materialize(similar_pairs(prints, distinct, similarity, bits).groupBy(ends("a"), ends("b")).agg(F.max("sure").alias("sure")), "pairs")
+    sure = pairs.filter("sure").select("a", "b")
+    roots = materialize(connected_components(sure), "roots")
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    maybe = pairs.filter("not sure").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    maybe = materialize(maybe.filter("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"), "maybe")
+    asked = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
+    # one row stands for all rows of a node: equal set fingerprints
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("one")
+    stand = materialize(rows.join(asked, "node").groupBy("node").agg(one).select("node", F.col("one.doc_id").alias("__id"), F.col("one.text_key").alias("__key")), "stand")
+    of = maybe_broadcast(stand, stand.count(), 40)
+    texts = docs.join(of, docs["doc_id"].eqNullSafe(of["__id"]) & (F.xxhash64(docs["text"]) == of["__key"]))
+    sets = materialize(_sets(texts.select("node", F.col("text").cast("string").alias("text")), width).dropDuplicates(["node"]), "sets")
+    side = lambda c, v: sets.select(F.col("node").alias(c), F.col("shingles").alias(v))
+    met = maybe.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return sure.union(met.mapInArrow(tidy(_checked(similarity)), "a long, b long"))
 
 
 def _labelled(rows: DataFrame, linked) -> DataFrame:
@@ -339,11 +420,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     similarity: float = SIMILARITY, lanes: int = SIMILAR_LANES) -> DataFrame:
     """As ``classes``, for near copies at a Jaccard similarity of word shingles; ``fp`` is binary."""
     bounded_batches(docs.sparkSession)
-    rows = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), wide_column(F.col(text_col), width, lanes).alias("fp")),
-        "simhash",
-    ).withColumn("node", F.xxhash64("fp"))
-    linked = lambda prints, n: similar_links(prints, n, similarity, 64 * lanes)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_key"), wide_column(F.col("text"), width, lanes).alias("fp")), "simhash")
+    rows = rows.withColumn("node", F.xxhash64("fp"))
+    linked = lambda prints, n: _similar_links(docs, rows, prints, n, width, similarity, 64 * lanes)
     return _labelled(rows, linked).select("doc_id", "text_key", "fp", "root", "component_id")
 
 
