@@ -4,15 +4,17 @@
 such fingerprints agree on at least ``blocks - 3`` of ``blocks`` bit blocks, so every pair that has
 to link meets in a shard keyed by some choice of agreeing blocks, and no link is lost.
 
-``similar_classes`` is for near copies at a similarity: sets of five-word shingles with a Jaccard
-similarity of 0.8 differ in some 15 % of SimHash bits, so it takes 256 bits and keys shards by random
-choices of bits, as many as give a pair at the similarity a chance of ``MEET`` to meet at any corpus
-size.  Pairs four standard deviations below the expected number of differing bits are links; pairs
-up to ``SLACK`` above it are candidates, nearest first, and those between texts that no link joins
-already are kept by an exact check of their shingle sets.  A candidate is left out only where nearer
-ones of its shard join its ends.
-
-In both, a shard's fingerprints form a BK-tree (children keyed by the integer Hamming distance to
+``similar_classes`` is for near copies at a similarity: classes of the pairs whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more.  Fingerprints of 256 bits, in shards keyed by
+random choices of bits, give the nearest pairs (four standard deviations below the expected number
+of differing bits), which are links.  An exact join of the sets then finds every other pair.  Two
+sets at the similarity share one of the first ``n - ceil(0.8 n) + 1`` of their ``n`` shingles in any
+fixed order, so all texts that hold a shingle so early form a shard.  Each shard checks its members
+against one of them, which joins most large groups; where more than one class is left, all pairs
+of different classes are checked.  The order puts shingles frequent in a sample last; the sample
+decides the work, never the result.
+
+A shard's fingerprints form a BK-tree (children keyed by the integer Hamming distance to
 their parent) and its members search it, following only the edges within the radius.  A shard's
 tree travels to the task that queries it by an exchange, since the trees together grow with the
 corpus and so have no bound for a broadcast.
@@ -43,11 +45,20 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Near copies: words of a shingle, least Jaccard similarity, 64-bit lanes of a fingerprint, the
-#: chance with which a pair at that similarity meets in a shard, and the standard deviations by
-#: which a candidate may have more differing bits than expected.
+#: chance with which a pair at that similarity meets in a shard of fingerprints, and the standard
+#: deviations of the last radius above the expected number of differing bits.
 SIMILAR_SHINGLE, SIMILARITY, SIMILAR_LANES, MEET, SLACK = 5, 0.8, 4, 0.98, 2.5
-#: Bands of differing bits in which candidates are taken, nearest first.
+#: Bands of differing bits up to the last radius.
 BANDS = 6
+#: Documents sampled to order shingles by frequency, and shingles of the sample that are ranked.
+SAMPLE, RANKED = 20_000, 1 << 18
+#: Parities in the sketch of a set, and bytes of the sketch with the set's size.
+ODD = 1024
+SKETCH = 8 + ODD // 8
+#: Shingles of prefixes that a bucket of the exact join holds on average.
+BUCKET = 1 << 19
+#: Members up to which a shard of the exact join lists its pairs; larger ones are checked as units.
+LISTED = 32
 #: Members that one search unit takes from a shard; larger shards split into pairs of groups.
 UNIT = 4096
 #: Frontier entries (query, tree node) that a search step holds at once.
@@ -236,15 +247,8 @@ def _unit_links(unit: np.ndarray, side: np.ndarray, prints: np.ndarray, radii: l
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _link_partition(radii: list[int], rows_at_once: int = 1 << 17):
-    """Link sorted rows (unit, side, node, fp), whole units at a time."""
-
-    def emit(table: pa.Table):
-        unit, node = table["unit"].to_numpy(), table["node"].to_numpy()
-        prints = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(table.num_rows, -1)
-        a, b = _unit_links(np.unique(unit, return_inverse=True)[1], table["side"].to_numpy(), prints, radii)
-        sure = _apart(prints[a], prints[b]) <= radii[0]
-        return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b]), "sure": pa.array(sure)})
+def _whole_units(emit, rows_at_once: int):
+    """Apply ``emit`` to sorted rows with a ``unit``, whole units at a time."""
 
     def run(batches):
         held, n = [], 0
@@ -266,6 +270,18 @@ def _link_partition(radii: list[int], rows_at_once: int = 1 << 17):
     return run
 
 
+def _link_partition(radii: list[int], rows_at_once: int = 1 << 17):
+    """Link sorted rows (unit, side, node, fp), whole units at a time."""
+
+    def emit(table: pa.Table):
+        unit, node = table["unit"].to_numpy(), table["node"].to_numpy()
+        prints = np.frombuffer(b"".join(table["fp"].to_pylist()), "<u8").reshape(table.num_rows, -1)
+        a, b = _unit_links(np.unique(unit, return_inverse=True)[1], table["side"].to_numpy(), prints, radii)
+        return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    return _whole_units(emit, rows_at_once)
+
+
 def _layout(distinct: int) -> tuple[int, int]:
     """Bit blocks and how many of them key a shard, so that an average shard stays small."""
     for blocks in (4, 5, 6, 7):
@@ -285,29 +301,31 @@ def links(prints: DataFrame, distinct: int) -> DataFrame:
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     members = prints.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.explode(keys).alias("shard"))
-    return _shard_links(members, [RADIUS]).select("a", "b")
+    return _shard_links(members, [RADIUS])
 
 
 def _shard_links(members: DataFrame, radii: list[int]) -> DataFrame:
-    """Pairs ``(a, b, sure)`` of ``members(shard, node, fp)`` within their shards and the last radius.
-
-    ``sure`` pairs are within the first.
+    """Pairs ``(a, b)`` of ``members(shard, node, fp)`` within their shards and the last radius.
 
     Within a shard only a spanning forest of its links is returned.  A shard with more than
     ``UNIT`` members is split into groups and every pair of groups is its own unit, so that the
     work of a hot shard spreads over tasks and no link is lost.
     """
     sizes = members.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    groups = F.ceil(F.col("n") / UNIT).cast("int")
-    units = (
-        members.join(sizes, "shard").withColumn("g", groups).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        .select("shard", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    units = _units(members.join(sizes, "shard"), F.ceil(F.col("n") / UNIT), "fp")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(_link_partition(radii)), "a long, b long")
+
+
+def _units(members: DataFrame, groups: Column, *more: str) -> DataFrame:
+    """``(unit, side, node, *more)``: a shard's members in so many groups, each pair of groups a unit."""
+    return (
+        members.withColumn("g", groups.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        .select("shard", "node", *more, "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
         .select(
             F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp",
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "node", *more,
         )
     )
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(_link_partition(radii)), "a long, b long, sure boolean")
 
 
 def _similar_layout(distinct: int, similarity: float, bits: int) -> tuple[list[int], int, int]:
@@ -326,8 +344,10 @@ def _similar_layout(distinct: int, similarity: float, bits: int) -> tuple[list[i
 
 
 def similar_pairs(prints: DataFrame, distinct: int, similarity: float, bits: int) -> DataFrame:
-    """Links and candidates ``(a, b, sure)`` between ``prints(node, fp)`` with binary ``fp`` of ``bits`` bits."""
-    radii, width, keys = _similar_layout(distinct, similarity, bits)
+    """Links ``(a, b)`` within the first radius between ``prints(node, fp)`` with binary ``fp`` of ``bits`` bits."""
+    radii, width, _ = _similar_layout(distinct, similarity, bits)
+    # enough keys for pairs within the first radius; the exact join finds what they miss
+    keys = math.ceil(math.log(1 - MEET) / math.log(1 - (1 - radii[0] / bits) ** width))
 
     def spread(batches):
         rng = np.random.default_rng(SEED)
@@ -342,7 +362,7 @@ def similar_pairs(prints: DataFrame, distinct: int, similarity: float, bits: int
                 key = (on[:, pick] * powers).sum(axis=1, dtype=np.uint64) * np.uint64(keys) + np.uint64(k)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, fp], ["shard", "node", "fp"])
 
-    return _shard_links(prints.select("node", "fp").mapInArrow(tidy(spread), "shard long, node long, fp binary"), radii)
+    return _shard_links(prints.select("node", "fp").mapInArrow(tidy(spread), "shard long, node long, fp binary"), radii[:1])
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -370,25 +390,192 @@ def _checked(similarity: float):
     return run
 
 
-def _similar_links(docs: DataFrame, rows: DataFrame, prints: DataFrame, distinct: int, width: int, similarity: float, bits: int) -> DataFrame:
-    """Links between nodes: the sure pairs, and the candidates between them that the texts confirm."""
-    ends = lambda c: (F.least("a", "b") if c == "a" else F.greatest("a", "b")).alias(c)
-    pairs = materialize(similar_pairs(prints, distinct, similarity, bits).groupBy(ends("a"), ends("b")).agg(F.max("sure").alias("sure")), "pairs")
-    sure = pairs.filter("sure").select("a", "b")
-    roots = materialize(connected_components(sure), "roots")
-    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    maybe = pairs.filter("not sure").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    maybe = materialize(maybe.filter("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b"), "maybe")
-    asked = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
+def _unit_matches(table: pa.Table, similarity: float) -> pa.RecordBatch:
+    """Links of rows (unit, side, node, root, shingles) of different roots, found by counting shared shingles.
+
+    A pair whose ends the links found before have joined is left out.
+    """
+    unit, side, node = (table[c].to_numpy() for c in ("unit", "side", "node"))
+    sets = [np.frombuffer(v.as_buffer(), "<u4") for c in table["shingles"].chunks for v in c]
+    label = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+    out = []
+    cuts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
+    for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        rows = np.arange(start, stop)
+        base, asks = rows[side[rows] == 0], rows[side[rows] == 1]
+        if not len(base):
+            continue
+        size = np.array([len(sets[i]) for i in base])
+        first = np.cumsum(size) - size
+        words, at = np.unique(np.concatenate([sets[i] for i in base]), return_inverse=True)
+        held = np.zeros(len(words) + 1, np.int32)
+        _, name = np.unique(label[rows], return_inverse=True)
+        for i in (asks if len(asks) else base).tolist():
+            n = len(sets[i])
+            low, high = np.minimum(size, n), np.maximum(size, n)
+            open_ = (name[base - start] != name[i - start]) & (low >= similarity * high)
+            if not open_.any():
+                continue
+            place = np.minimum(np.searchsorted(words, sets[i]), len(words) - 1)
+            place = place[words[place] == sets[i]]
+            held[place] = 1
+            both = np.add.reduceat(held[at], first)
+            held[place] = 0
+            for j in base[open_ & (both >= similarity * (size + n - both))].tolist():
+                x, y = name[i - start], name[j - start]
+                if x != y:
+                    name[name == y] = x
+                    out.append((node[i], node[j]))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _ranks(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a bounded sample of the documents, ascending, and how often."""
+    part = min(1 << 20, math.ceil((SAMPLE << 20) / max(1, docs.count())))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < part).select(F.col("text").cast("string").alias("text"))
+
+    def each(batches):
+        for b in batches:
+            found = [np.unique(_shingles(t.as_py(), width)) for t in b["text"]]
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([np.empty(0, "<u8"), *found]).view("<i8"))})
+
+    seen = sample.mapInArrow(tidy(each), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    top = seen.orderBy(F.desc("n"), "shingle").limit(RANKED).collect()
+    names, counts = np.array([r[0] for r in top], "<i8").view("<u8"), np.array([r[1] for r in top], np.int64)
+    order = np.argsort(names)
+    return names[order], counts[order]
+
+
+def _prefix(hashes: np.ndarray, names: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set of which any set at the similarity shares one as early, rarest first."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    often = np.zeros(n, np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        often = np.where(names[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def _shapes(text: Column, shared, width: int, similarity: float) -> Column:
+    """A shingle set's sketch, in ``SKETCH`` bytes, and then its prefix as binary.
+
+    The sketch is the set's size and, for each bucket of hashes, whether it holds an odd number.
+    Every shingle that only one of two sets has changes one such bit.
+    """
+
+    def cut(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            hashes = np.unique(_shingles(t.as_py(), width))
+            odd = np.bincount((hashes % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1
+            size, prefix = np.int64(len(hashes)), _prefix(hashes, *shared.value, similarity)
+            out.append(size.tobytes() + np.packbits(odd.astype(np.uint8)).tobytes() + prefix.tobytes())
+        return pa.array(out, pa.binary())
+
+    return arrow_udf(cut, BinaryType())(text.cast("string"))
+
+
+def _possible(similarity: float):
+    """Keep the rows ``(a, b, x, y)`` whose sketches do not exclude the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u8").reshape(-1, SKETCH // 8) for c in ("x", "y"))
+            m, n = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+            fits = _apart(x[:, 1:], y[:, 1:]) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(fits & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6)))
+
+    return run
+
+
+def _early(shapes: DataFrame) -> DataFrame:
+    """``(shard, node, n, hub)`` of ``(node, shape)``: shingles in two or more prefixes, their nodes and one node of each.
+
+    Nodes and shingles travel packed by bucket; a bucket keeps 32 bits of a shingle, and what collides is only checked in vain.
+    """
+    every = shapes.agg(F.sum((F.octet_length("shape") - SKETCH) / 8)).first()[0] or 0
+    buckets = max(8, math.ceil(every / BUCKET))
+
+    def pack(batches):
+        for b in batches:
+            early = [v[SKETCH:] for v in b["shape"].to_pylist()]
+            shingles = np.frombuffer(b"".join(early), "<u8")
+            node = np.repeat(b["node"].to_numpy(), [len(v) // 8 for v in early])
+            bucket = (shingles >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            cut = [*first.tolist(), len(order)]
+            low, node = shingles[order].astype("<u4"), node[order].astype("<i8")
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            yield pa.RecordBatch.from_pydict({
+                "unit": pa.array(names.astype(np.int64)), "low": pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()),
+                "node": pa.array([node[i:j].tobytes() for i, j in spans], pa.binary()),
+            })
+
+    def meet(table: pa.Table):
+        size = np.array([len(v) for v in table["low"].to_pylist()]) // 4
+        low = np.frombuffer(b"".join(table["low"].to_pylist()), "<u4")
+        node = np.frombuffer(b"".join(table["node"].to_pylist()), "<i8")
+        shard = (np.repeat(table["unit"].to_numpy(), size) << 32) | low
+        order = np.lexsort((node * np.int64(0x9E3779B97F4A7C1) ^ shard, shard))
+        shard, node = shard[order], node[order]
+        _, first, n = np.unique(shard, return_index=True, return_counts=True)
+        hub, n = np.repeat(node[first], n), np.repeat(n, n)
+        keep = n > 1
+        return pa.RecordBatch.from_pydict({"shard": shard[keep], "node": node[keep], "n": n[keep], "hub": hub[keep]})
+
+    packed = shapes.mapInArrow(tidy(pack), "unit long, low binary, node binary").repartition("unit").sortWithinPartitions("unit")
+    return packed.mapInArrow(tidy(_whole_units(meet, 512)), "shard long, node long, n long, hub long")
+
+
+def _exact_links(docs: DataFrame, rows: DataFrame, sure: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``sure`` with links that join all nodes whose shingle sets reach the similarity."""
     # one row stands for all rows of a node: equal set fingerprints
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("one")
-    stand = materialize(rows.join(asked, "node").groupBy("node").agg(one).select("node", F.col("one.doc_id").alias("__id"), F.col("one.text_key").alias("__key")), "stand")
-    of = maybe_broadcast(stand, stand.count(), 40)
-    texts = docs.join(of, docs["doc_id"].eqNullSafe(of["__id"]) & (F.xxhash64(docs["text"]) == of["__key"]))
-    sets = materialize(_sets(texts.select("node", F.col("text").cast("string").alias("text")), width).dropDuplicates(["node"]), "sets")
-    side = lambda c, v: sets.select(F.col("node").alias(c), F.col("shingles").alias(v))
-    met = maybe.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return sure.union(met.mapInArrow(tidy(_checked(similarity)), "a long, b long"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key", "shape")).alias("one")
+    stand = materialize(rows.groupBy("node").agg(one).select("node", F.col("one.doc_id").alias("__id"), F.col("one.text_key").alias("__key"), F.col("one.shape").alias("shape")), "stand")
+    members = materialize(_early(stand.select("node", "shape")), "members")
+    sketches = stand.select("node", F.substring("shape", 1, SKETCH).alias("sketch"))
+
+    def sets(asked: DataFrame) -> DataFrame:
+        named = stand.join(asked.distinct(), "node").select("node", "__id", "__key")
+        named = maybe_broadcast(materialize(named, "named"), asked.distinct().count(), 40)
+        texts = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"]) & (F.xxhash64(docs["text"]) == named["__key"]))
+        return materialize(_sets(texts.select("node", F.col("text").cast("string").alias("text")), width).dropDuplicates(["node"]), "sets")
+
+    def sided(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        side = lambda c, v: table.select(F.col("node").alias(c), F.col(value).alias(v))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        maybe = materialize(sided(pairs, sketches, "sketch").mapInArrow(tidy(_possible(similarity)), "a long, b long"), "maybe")
+        held = sets(maybe.select(F.col("a").alias("node")).union(maybe.select("b")))
+        return materialize(sided(maybe, held, "shingles").mapInArrow(tidy(_checked(similarity)), "a long, b long"), "met")
+
+    def rooted(table: DataFrame, links: DataFrame) -> DataFrame:
+        roots = materialize(connected_components(links), "roots")
+        return table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    near = rooted(members, sure)
+    hubs = near.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shard")
+    links = sure.union(confirmed(members.join(hubs, "shard").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    # a shard's pairs with its hub are checked; others may link where more than one class is left
+    left = materialize(rooted(members.filter("n > 2").select("shard", "node", "n"), links), "left")
+    open_ = left.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shard")
+    left = materialize(left.join(open_, "shard"), "open")
+    few = left.filter(F.col("n") <= LISTED)
+    pairs = few.alias("p").join(few.alias("q"), "shard").filter("p.node < q.node and p.root <> q.root").select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    many = left.filter(F.col("n") > LISTED)
+    units = _units(many, F.ceil(F.col("n") / UNIT), "root").join(sets(many.select("node")), "node")
+    matched = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(
+        tidy(_whole_units(lambda t: _unit_matches(t, similarity), 2 * UNIT)), "a long, b long"
+    )
+    return links.union(confirmed(pairs)).union(matched)
 
 
 def _labelled(rows: DataFrame, linked) -> DataFrame:
@@ -421,10 +608,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """As ``classes``, for near copies at a Jaccard similarity of word shingles; ``fp`` is binary."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_key"), wide_column(F.col("text"), width, lanes).alias("fp")), "simhash")
-    rows = rows.withColumn("node", F.xxhash64("fp"))
-    linked = lambda prints, n: _similar_links(docs, rows, prints, n, width, similarity, 64 * lanes)
-    return _labelled(rows, linked).select("doc_id", "text_key", "fp", "root", "component_id")
+    shared = docs.sparkSession.sparkContext.broadcast(_ranks(docs, width))
+    shape = [wide_column(F.col("text"), width, lanes).alias("fp"), _shapes(F.col("text"), shared, width, similarity).alias("shape")]
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_key"), *shape), "simhash").withColumn("node", F.xxhash64("fp"))
+
+    def linked(prints: DataFrame, n: int) -> DataFrame:
+        sure = materialize(similar_pairs(prints, n, similarity, 64 * lanes), "sure")
+        return _exact_links(docs, rows, sure, width, similarity)
+
+    return _labelled(rows.drop("shape"), linked).select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -291,6 +291,36 @@ def test_near_copies_of_tables_against_brute_force(spark, small):
     assert named == {i: find(i) for i, _ in docs}
 
 
+def brute_similar(docs):
+    docs = [(i, frozenset(map(hash, shingles(t)))) for i, t in docs]
+    root = {i: i for i, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (a, x) in enumerate(docs):
+        for b, y in docs[:k]:
+            if find(a) != find(b) and len(x & y) >= 0.8 * len(x | y):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i, _ in docs}
+
+
+def test_star_of_edited_copies_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(204)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 1501):
+        copy = list(base)
+        for at in rng.sample(range(8, 196), 4):
+            copy[at] = word()
+        docs.append((i, " ".join(copy)))
+    named = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert named == brute_similar(docs)
+
+
 def test_block_layout_keeps_shards_small():
     assert simhash._layout(10) == (4, 1)
     for n in (10**6, 10**9, 10**11):
