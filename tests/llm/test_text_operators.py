@@ -321,6 +321,19 @@ def test_star_of_edited_copies_against_brute_force(spark):
     assert named == brute_similar(docs)
 
 
+def test_short_near_copies_all_meet(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    docs = []
+    for i in range(400):
+        # sets of n and n + n // 4 shingles with n shared
+        n = rng.choice([4, 8, 12, 80])
+        base = [word() for _ in range(n + 4 + n // 4)]
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: n + 4]))]
+    named = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert named == {i: i - i % 2 for i, _ in docs}
+
+
 def test_block_layout_keeps_shards_small():
     assert simhash._layout(10) == (4, 1)
     for n in (10**6, 10**9, 10**11):
