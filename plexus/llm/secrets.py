@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives, in DataFrame operations alone.
 
-Candidates are runs of at least ``SHORTEST`` characters out of ``[A-Za-z0-9+/_-]`` that hold a
-digit, wherever they stand in a text.  Each gets features of its length, the transitions between
+Candidates are runs of at least ``SHORTEST`` characters out of ``[A-Za-z0-9+/_-]`` wherever they
+stand in a text, and shorter runs that begin like an issued key or stand behind a keyword and an
+assignment sign.  Each gets features of its length, the transitions between
 its characters' classes, how much of it dictionary words cover, the path it was found under and
 the words beside it; a random forest trained on labelled findings gives the probability that it
 is a secret, and findings below ``THRESHOLD`` are false positives.
@@ -29,7 +30,6 @@ THRESHOLD = 0.5
 TREES, DEPTH, SEED = 32, 8, 11
 FINDINGS = 6_000
 
-_RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 # Words that mark what stands beside a candidate, or a candidate that is no secret.
 _KEYWORDS = r"password|passwd|pwd|secret|token|api_?key|apikey|auth|credential|private|access|bearer"
 _INNOCENT = r"commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|card|order|phone|tracking|revision|image|isbn|etag|ref"
@@ -39,7 +39,12 @@ _DICTIONARY = (
     "the and for with that this from have abc xxx lorem ipsum foo bar"
 )
 _PATHS = r"(?i)test|example|sample|mock|fixture|doc|vendor|lock"
-_ISSUED = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|AIza|glpat-)"
+_PREFIXES = r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|AIza|glpat-)"
+_ISSUED = "^" + _PREFIXES
+# The nearer lookbehinds rule out most places before the one with the keywords is tried.
+_NAMED = rf"""(?<=[=:\s"'`])(?<=[=:]\s{{0,4}}["'`]?)(?<=(?i:{_KEYWORDS})[A-Za-z0-9_\-]{{0,24}}["'`\]]{{0,2}}\s{{0,4}}[=:]\s{{0,4}}["'`]?)"""
+_LONG = rf"[A-Za-z0-9+/_\-]{{{SHORTEST},}}={{0,2}}"
+_RUN = rf"(?:[A-Za-z0-9+/_\-]{{{SHORTEST},}}|{_NAMED}[A-Za-z0-9+/_\-]+|(?<![A-Za-z0-9+/_\-]){_PREFIXES}[A-Za-z0-9+/_\-]+)={{0,2}}"
 
 FEATURES = [
     "length", "digits", "uppers", "lowers", "marks", "transitions", "distinct", "vowels", "hexadecimal", "digits_only", "coverage",
@@ -76,6 +81,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     pick = lambda k, options: F.get(F.array(*[F.lit(o) for o in options]), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(options))).cast("int"))
     hexes = lambda k, size: F.substring(salt(k), 1, size)
     base64 = lambda k: F.regexp_replace(F.base64(F.unhex(salt(k))), "=", "")
+    letters = lambda k, size, up=False: F.substring(F.translate(F.upper(salt(k)) if up else F.regexp_replace(base64(k), "[+/]", "q"), "0123456789", "GKMPRTVXYZ" if up else "gKmPrTvXyZ"), 1, size)
     upper = F.translate(F.upper(hexes("u", 32)), "01289", "QWXYZ")
     word = lambda k: pick(k, ["the", "value", "in", "erble", "set", "thand", "de", "schen", "config", "of", "une", "que", "with", "line"])
     key = lambda k: pick(k, ["token", "password", "secret", "api_key", "auth_token", "client_secret", "passwd", "access_key", "credential"])
@@ -97,6 +103,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
          F.concat(key("k2"), sign("s"))),
         (0, F.concat(word("w"), word("w2"), F.lit("ation"), word("w3"), F.lit("ment"), F.substring(F.translate(salt("j"), "abcdef", "123456"), 1, 1)), plain),
         (0, F.concat(F.lit("docs/release-"), word("w"), F.lit("/version-"), F.substring(F.translate(salt("l"), "abcdef", "123456"), 1, 4)), plain),
+        # without digits, and short: secrets, then look-alikes
+        (1, F.concat(F.lit("AKIA"), letters("m", 16, True)), plain),
+        (1, letters("n", 24), F.concat(word("w"), F.lit(" "), key("k"), sign("s"))),
+        (1, F.substring(F.regexp_replace(base64("o"), "[+/]", "7"), 1, 10), F.concat(word("w"), F.lit(" "), key("k"), sign("s"))),
+        (1, F.substring(F.translate(salt("r"), "abcdef", "123456"), 1, 6), F.concat(word("w"), F.lit(" "), key("k"), sign("s"))),
+        (0, F.concat(word("w"), word("w2"), F.lit("ation"), word("w3"), F.lit("ment"), word("w4")), plain),
+        (0, F.concat(pick("p", ["docs/", "src/", "lib/"]), word("w"), F.lit("/"), word("w2"), F.lit("/version-"), word("w3")), plain),
+        (0, pick("v", ["string", "none", "required", "null", "true", "false", "value", "example", "optional", "changeme", "your-password", "default"]),
+         F.concat(word("w"), F.lit(" "), key("k"), sign("s"))),
+        (0, F.concat(pick("v", ["the", "your", "user", "config"]), F.lit("_"), key("k2")), F.concat(key("k"), sign("s"))),
     ]
     of = F.pmod(F.col("id"), F.lit(len(kinds)))
     choose = lambda at: F.coalesce(*[F.when(of == k, F.lit(x[at]) if at == 0 else x[at]) for k, x in enumerate(kinds)])
@@ -115,28 +131,33 @@ def fit(findings: DataFrame) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(features(findings))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", every: bool = False) -> DataFrame:
     """``(doc_id, nth, value, before, after, path)``: candidates with the text beside them.
 
-    The text is split at the candidates, so that the pieces between them are what stands beside.
+    All of them with ``every``, as the scan takes them; else the long ones that hold a digit.
+
+    The text is split at the candidates; what stands beside one is the piece up to the next and that one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    holds = text.rlike(_RUN)
+    run = _RUN if every else _LONG
+    holds = text.rlike(run)
     runs = docs.filter(holds).select(
         F.col(id_col).alias("doc_id"), (F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")).alias("path"),
-        F.regexp_extract_all(text, F.lit(f"({_RUN})")).alias("runs"), F.split(text, _RUN).alias("between"),
+        F.regexp_extract_all(text, F.lit(f"({run})")).alias("runs"), F.split(text, run).alias("between"),
     )
+    piece = lambda name, i: F.coalesce(F.get(name, i), F.lit(""))
     found = F.transform("runs", lambda v, i: F.struct(
-        i.alias("nth"), v.alias("value"), F.substring(F.get("between", i), -40, 40).alias("before"), F.substring(F.get("between", i + 1), 1, 40).alias("after"),
+        i.alias("nth"), v.alias("value"), F.substring(F.concat(piece("runs", i - 1), piece("between", i)), -40, 40).alias("before"),
+        F.substring(F.concat(piece("between", i + 1), piece("runs", i + 1)), 1, 40).alias("after"),
     ))
-    each = F.explode(F.filter(found, lambda c: c["value"].rlike("[0-9]")))
+    each = F.explode(found if every else F.filter(found, lambda c: c["value"].rlike("[0-9]")))
     return runs.select("doc_id", "path", each.alias("c")).select("doc_id", "path", "c.*")
 
 
 def scan(docs: DataFrame, model: PipelineModel | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """Every candidate with ``probability`` and ``is_secret``; rows as of ``candidates``."""
     model = model or fit(labelled_findings(docs.sparkSession))
-    scored = model.transform(features(candidates(docs, id_col, text_col, path_col)))
+    scored = model.transform(features(candidates(docs, id_col, text_col, path_col, every=True)))
     chance = F.round(vector_to_array("probability")[1], 9)
     return scored.select("doc_id", "nth", "value", "before", "after", "path", chance.alias("probability"), (chance >= THRESHOLD).alias("is_secret"))
 
