@@ -29,8 +29,9 @@ DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 112
 ALPHA = 1.2
-#: Shards: at least so many, and more once a shard would exceed the rows.
-SHARDS, SHARD_ROWS = 12, 200_000
+#: Shards: at least so many, and more once a shard would exceed the rows, up to which the beam
+#: reaches its recall.
+SHARDS, SHARD_ROWS = 12, 10_000
 #: Queries that a broadcast block holds.
 BLOCK = 16_384
 #: Queries that walk a graph together.

@@ -67,6 +67,17 @@ def test_pruning_keeps_diverse_edges():
 # --- archives ---------------------------------------------------------------------------------
 
 
+def test_recall_of_a_full_shard():
+    x = np.random.default_rng(3).normal(size=(ann.SHARD_ROWS, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    edges, start = ann.build_graph(x)
+    met, _ = ann.beam_search(x, edges, start, x[:150], ann.SEARCH_BEAM)
+    # the first is the query itself
+    true = np.argsort(-(x[:150] @ x.T), axis=1)[:, 1:21]
+    assert np.mean([len(set(m[:21].tolist()) & set(t.tolist())) / 20 for m, t in zip(met, true, strict=True)]) >= 0.95
+
+
+
 def test_archive_round_trip(spark, small):
     own = spark.createDataFrame(
         [(9001, "u\r\nX: y", "same"), (9002, None, "same"), (9003, "v", None), (9004, "w", ""), (None, "n", "same"), (9002, "again", "same"), (None, None, "alone"),
