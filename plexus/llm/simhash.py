@@ -11,8 +11,10 @@ of differing bits), which are links.  An exact join of the sets then finds every
 sets at the similarity share one of the first ``n - ceil(0.8 n) + 1`` of their ``n`` shingles in any
 fixed order, so all texts that hold a shingle so early form a shard.  Each shard checks its members
 against one of them, which joins most large groups; where more than one class is left, all pairs
-of different classes are checked.  The order puts shingles frequent in a sample last; the sample
-decides the work, never the result.
+of different classes are checked, but for those that their sizes and the places of the shingle in
+either order exclude.  The order puts shingles frequent in a sample last; the sample decides the
+work, never the result.  A shingle that is frequent within a task gets a member of its own there,
+which alone goes on to the shingle's shard, so that no task gathers all members of a hot shingle.
 
 A shard's fingerprints form a BK-tree (children keyed by the integer Hamming distance to
 their parent) and its members search it, following only the edges within the radius.  A shard's
@@ -38,8 +40,8 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, LongType
 
 from plexus.operators.components import connected_components
-from plexus.plans.tables import bounded_batches, materialize, maybe_broadcast
-from plexus.plans.workers import tidy
+from plexus.plans.tables import materialize, maybe_broadcast, release
+from plexus.plans.workers import give_back, tidy
 
 RADIUS = 3
 SHINGLE = 3
@@ -55,8 +57,15 @@ SAMPLE, RANKED = 20_000, 1 << 18
 #: Parities in the sketch of a set, and bytes of the sketch with the set's size.
 ODD = 1024
 SKETCH = 8 + ODD // 8
-#: Shingles of prefixes that a bucket of the exact join holds on average.
-BUCKET = 1 << 19
+#: Shingles of prefixes that a bucket of the exact join holds on average, and that a task gathers
+#: before it sends them out.
+BUCKET, FLUSH = 1 << 19, 1 << 20
+#: Members of a shingle in one such gathering, above which only one of them goes to the shard.
+LOCAL = 16
+#: Steps of a set's size on a logarithmic scale, and of a shingle's place in its set.
+SIZE_STEPS, PLACE_STEPS = 1500, 1 << 12
+#: Links up to which components are labelled in one task.
+FEW_LINKS = 1 << 18
 #: Members up to which a shard of the exact join lists its pairs; larger ones are checked as units.
 LISTED = 32
 #: Members that one search unit takes from a shard; larger shards split into pairs of groups.
@@ -107,11 +116,6 @@ def fingerprint_bytes(text: str | None, width: int = SHINGLE, lanes: int = 1) ->
     return _majority(_shingles(text, width), lanes)
 
 
-def set_fingerprint_bytes(text: str | None, width: int = SIMILAR_SHINGLE, lanes: int = SIMILAR_LANES) -> bytes:
-    """The majority fingerprint of a text's set of word shingles."""
-    return _majority(np.unique(_shingles(text, width)), lanes)
-
-
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint as an unsigned integer."""
     return int.from_bytes(fingerprint_bytes(text, width), "little")
@@ -127,15 +131,6 @@ def fingerprint_column(text: Column) -> Column:
     return arrow_udf(_fingerprints, LongType())(text.cast("string"))
 
 
-def wide_column(text: Column, width: int, lanes: int) -> Column:
-    """SimHash of ``64 * lanes`` bits of a text's shingle set as binary."""
-
-    def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([set_fingerprint_bytes(t.as_py(), width, lanes) for t in texts], pa.binary())
-
-    return arrow_udf(prints, BinaryType())(text.cast("string"))
-
-
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances between the rows of two arrays of words."""
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
@@ -366,10 +361,10 @@ def similar_pairs(prints: DataFrame, distinct: int, similarity: float, bits: int
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """``(node, shingles)`` of ``(node, text)``: the sorted distinct shingle hashes, cut to 32 bits."""
+    """``(node, shingles)`` of ``(node, text)``: the sorted distinct shingle hashes."""
 
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(_shingles(t.as_py(), width).astype("<u4")).tobytes() for t in texts], pa.binary())
+        return pa.array([np.unique(_shingles(t.as_py(), width)).tobytes() for t in texts], pa.binary())
 
     return texts.select("node", arrow_udf(cut, BinaryType())(F.col("text")).alias("shingles"))
 
@@ -381,7 +376,7 @@ def _checked(similarity: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
                 low, high = sorted((len(x), len(y)))
                 both = len(np.intersect1d(x, y, assume_unique=True)) if low >= similarity * high else 0
                 keep.append(both >= similarity * (low + high - both))
@@ -396,7 +391,7 @@ def _unit_matches(table: pa.Table, similarity: float) -> pa.RecordBatch:
     A pair whose ends the links found before have joined is left out.
     """
     unit, side, node = (table[c].to_numpy() for c in ("unit", "side", "node"))
-    sets = [np.frombuffer(v.as_buffer(), "<u4") for c in table["shingles"].chunks for v in c]
+    sets = [np.frombuffer(v.as_buffer(), "<u8") for c in table["shingles"].chunks for v in c]
     label = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
     out = []
     cuts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1], [True])))
@@ -459,23 +454,28 @@ def _prefix(hashes: np.ndarray, names: np.ndarray, counts: np.ndarray, similarit
     return hashes[np.lexsort((hashes, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
-def _shapes(text: Column, shared, width: int, similarity: float) -> Column:
-    """A shingle set's sketch, in ``SKETCH`` bytes, and then its prefix as binary.
+_SHAPE = "struct<fp:binary,sketch:binary,early:binary>"
+
+
+def _shapes(text: Column, shared, width: int, similarity: float, lanes: int) -> Column:
+    """A text's shingle set as ``(fp, sketch, early)``: fingerprint, sketch and prefix.
 
     The sketch is the set's size and, for each bucket of hashes, whether it holds an odd number.
     Every shingle that only one of two sets has changes one such bit.
     """
 
     def cut(texts: pa.Array) -> pa.Array:
-        out = []
+        prints, sketches, early = [], [], []
         for t in texts:
             hashes = np.unique(_shingles(t.as_py(), width))
             odd = np.bincount((hashes % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1
-            size, prefix = np.int64(len(hashes)), _prefix(hashes, *shared.value, similarity)
-            out.append(size.tobytes() + np.packbits(odd.astype(np.uint8)).tobytes() + prefix.tobytes())
-        return pa.array(out, pa.binary())
+            prints.append(_majority(hashes, lanes))
+            sketches.append(np.int64(len(hashes)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes())
+            early.append(_prefix(hashes, *shared.value, similarity).tobytes())
+        give_back()
+        return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in (prints, sketches, early)], ["fp", "sketch", "early"])
 
-    return arrow_udf(cut, BinaryType())(text.cast("string"))
+    return arrow_udf(cut, _SHAPE)(text.cast("string"))
 
 
 def _possible(similarity: float):
@@ -493,59 +493,147 @@ def _possible(similarity: float):
     return run
 
 
-def _early(shapes: DataFrame) -> DataFrame:
-    """``(shard, node, n, hub)`` of ``(node, shape)``: shingles in two or more prefixes, their nodes and one node of each.
+#: A member of a shard: the low half of its shingle, its node, and codes of its set's size and of
+#: the shingle's place; the place's top bit marks a member that stands for others.
+_POST = np.dtype([("low", "<u4"), ("size", "<u2"), ("place", "<u2"), ("node", "<i8")])
+_STANDS = 1 << 15
 
-    Nodes and shingles travel packed by bucket; a bucket keeps 32 bits of a shingle, and what collides is only checked in vain.
+
+def _mixed(node: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """An order of nodes that differs from shingle to shingle."""
+    x = (node.view(np.uint64) ^ shingle) * np.uint64(_LANES[0])
+    return (x ^ (x >> np.uint64(31))) * np.uint64(_LANES[1])
+
+
+def _size_window(similarity: float) -> int:
+    """Steps by which the sizes of two sets at the similarity may differ, rounded codes included."""
+    return math.ceil(SIZE_STEPS * math.log(1 / similarity)) + 2
+
+
+def _early(shapes: DataFrame, similarity: float) -> DataFrame:
+    """``(shard, node, hub, size, place)`` of ``(node, sketch, early)``: shingles that recur in prefixes.
+
+    Members travel packed by bucket; a bucket keeps 32 bits of a shingle, and what collides is only
+    checked in vain.  Where many members of a task share a shingle, they take one of them as their
+    hub; that one goes to the shard, and the others travel dealt out evenly as they are.
     """
-    every = shapes.agg(F.sum((F.octet_length("shape") - SKETCH) / 8)).first()[0] or 0
-    buckets = max(8, math.ceil(every / BUCKET))
+    every = shapes.agg(F.sum(F.octet_length("early") / 8)).first()[0] or 0
+    buckets, window = max(8, math.ceil(every / BUCKET)), _size_window(similarity)
+
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        shingle, node, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((_mixed(node, shingle), shingle))
+        shingle, node, size, place = shingle[order], node[order], size[order], place[order]
+        bucket = (shingle >> np.uint64(32)) % np.uint64(buckets)
+        _, first, n = np.unique(shingle, return_index=True, return_counts=True)
+        hub, lead = np.repeat(node[first], n), np.zeros(len(node), bool)
+        lead[first] = True
+        many = np.repeat(n > LOCAL, n)
+        place[many & lead] |= _STANDS
+        stay = many & ~lead
+        apart = pa.RecordBatch.from_pydict({
+            "shard": (bucket[stay] << np.uint64(32) | shingle[stay] & np.uint64(0xFFFFFFFF)).view(np.int64), "node": node[stay], "hub": hub[stay],
+            "size": size[stay].astype(np.int32), "place": place[stay].astype(np.int32),
+        })
+        post = np.empty(int((~stay).sum()), _POST)
+        post["low"], post["size"], post["place"], post["node"] = (x[~stay] for x in (shingle.astype(np.uint32), size, place, node))
+        bucket = bucket[~stay]
+        order = np.argsort(bucket, kind="stable")
+        names, first = np.unique(bucket[order], return_index=True)
+        cut = [*first.tolist(), len(order)]
+        post = post[order]
+        packed = [post[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        units, data = names.astype(np.int64).tolist(), [None] * len(names)
+        for start in range(0, apart.num_rows, BUCKET):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, apart.schema) as out:
+                out.write_batch(apart.slice(start, BUCKET))
+            units.append(-1 - int(node[0]) % buckets)
+            packed.append(None)
+            data.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_pydict({"unit": pa.array(units, pa.int64()), "post": pa.array(packed, pa.binary()), "apart": pa.array(data, pa.binary())})
 
     def pack(batches):
+        held, n = [], 0
         for b in batches:
-            early = [v[SKETCH:] for v in b["shape"].to_pylist()]
-            shingles = np.frombuffer(b"".join(early), "<u8")
-            node = np.repeat(b["node"].to_numpy(), [len(v) // 8 for v in early])
-            bucket = (shingles >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            names, first = np.unique(bucket[order], return_index=True)
-            cut = [*first.tolist(), len(order)]
-            low, node = shingles[order].astype("<u4"), node[order].astype("<i8")
-            spans = list(zip(cut[:-1], cut[1:], strict=True))
-            yield pa.RecordBatch.from_pydict({
-                "unit": pa.array(names.astype(np.int64)), "low": pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()),
-                "node": pa.array([node[i:j].tobytes() for i, j in spans], pa.binary()),
-            })
+            early = b["early"].to_pylist()
+            size = np.array([len(v) // 8 for v in early], np.int64)
+            whole = np.array([int.from_bytes(v[:8], "little") for v in b["sketch"].to_pylist()], np.int64)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            code = np.rint(SIZE_STEPS * np.log(np.maximum(whole, 1))).astype(np.uint16)
+            held.append((np.frombuffer(b"".join(early), "<u8"), np.repeat(b["node"].to_numpy(), size), np.repeat(code, size),
+                         (at * PLACE_STEPS // np.repeat(np.maximum(whole, 1), size)).astype(np.uint16)))
+            n += int(size.sum())
+            if n >= FLUSH:
+                yield send(held)
+                held, n = [], 0
+        if n:
+            yield send(held)
 
     def meet(table: pa.Table):
-        size = np.array([len(v) for v in table["low"].to_pylist()]) // 4
-        low = np.frombuffer(b"".join(table["low"].to_pylist()), "<u4")
-        node = np.frombuffer(b"".join(table["node"].to_pylist()), "<i8")
-        shard = (np.repeat(table["unit"].to_numpy(), size) << 32) | low
-        order = np.lexsort((node * np.int64(0x9E3779B97F4A7C1) ^ shard, shard))
-        shard, node = shard[order], node[order]
-        _, first, n = np.unique(shard, return_index=True, return_counts=True)
-        hub, n = np.repeat(node[first], n), np.repeat(n, n)
-        keep = n > 1
-        return pa.RecordBatch.from_pydict({"shard": shard[keep], "node": node[keep], "n": n[keep], "hub": hub[keep]})
-
-    packed = shapes.mapInArrow(tidy(pack), "unit long, low binary, node binary").repartition("unit").sortWithinPartitions("unit")
-    return packed.mapInArrow(tidy(_whole_units(meet, 512)), "shard long, node long, n long, hub long")
-
-
-def _exact_links(docs: DataFrame, rows: DataFrame, sure: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``sure`` with links that join all nodes whose shingle sets reach the similarity."""
-    # one row stands for all rows of a node: equal set fingerprints
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key", "shape")).alias("one")
-    stand = materialize(rows.groupBy("node").agg(one).select("node", F.col("one.doc_id").alias("__id"), F.col("one.text_key").alias("__key"), F.col("one.shape").alias("shape")), "stand")
-    members = materialize(_early(stand.select("node", "shape")), "members")
-    sketches = stand.select("node", F.substring("shape", 1, SKETCH).alias("sketch"))
+        found = [pa.ipc.open_stream(v).read_all() for v in table["apart"].to_pylist() if v is not None]
+        packed = [(u, np.frombuffer(v, _POST)) for u, v in zip(table["unit"].to_pylist(), table["post"].to_pylist(), strict=True) if v is not None]
+        if packed:
+            post = np.concatenate([v for _, v in packed])
+            shard = np.repeat(np.array([u for u, _ in packed], np.int64), [len(v) for _, v in packed]) << 32 | post["low"]
+            found.append(pa.table(_members(shard, post, window)))
+        return pa.concat_tables(found).combine_chunks().to_batches()[0] if sum(t.num_rows for t in found) else pa.RecordBatch.from_pylist([], _MEMBER)
+
+    packed = shapes.mapInArrow(tidy(pack), "unit long, post binary, apart binary").repartition("unit").sortWithinPartitions("unit")
+    return packed.mapInArrow(tidy(_whole_units(meet, 512)), "shard long, node long, hub long, size int, place int")
+
+
+_MEMBER = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("hub", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+
+
+def _members(shard: np.ndarray, post: np.ndarray, window: int) -> dict:
+    """Columns of the members that have a partner of fitting size in their shard or one that stands for others."""
+    order = np.lexsort((post["node"], post["size"], shard))
+    shard, post = shard[order], post[order]
+    node, size, place = post["node"].astype(np.int64), post["size"].astype(np.int64), post["place"].astype(np.int64)
+    # the neighbour by size fits if any other member does
+    fits = (shard[1:] == shard[:-1]) & (size[1:] - size[:-1] <= window) & (node[1:] != node[:-1])
+    keep = np.zeros(len(shard), bool)
+    keep[1:] = fits
+    keep[:-1] |= fits
+    keep |= np.isin(shard, shard[place >= _STANDS])
+    shard, node, size, place = shard[keep], node[keep], size[keep], place[keep] & (_STANDS - 1)
+    order = np.lexsort((_mixed(node, shard.view(np.uint64)), shard))
+    shard, node, size, place = shard[order], node[order], size[order], place[order]
+    _, first, n = np.unique(shard, return_index=True, return_counts=True)
+    return {"shard": shard, "node": node, "hub": np.repeat(node[first], n), "size": size.astype(np.int32), "place": place.astype(np.int32)}
+
+
+def _fitting(similarity: float) -> Column:
+    """Whether the sizes of ``p`` and ``q`` and the places of the shingle that they share allow the similarity.
+
+    Their first shared shingle leaves at most what follows it in either set to share.
+    """
+    ratio = F.exp((F.col("q.size") - F.col("p.size")) / F.lit(float(SIZE_STEPS)))
+    least = (1 + ratio) * F.lit(similarity / (1 + similarity) * 0.998)
+    return (
+        (F.abs(F.col("q.size") - F.col("p.size")) <= _size_window(similarity))
+        & (1 - F.col("p.place") / F.lit(float(PLACE_STEPS)) >= least) & (ratio * (1 - F.col("q.place") / F.lit(float(PLACE_STEPS))) >= least)
+    )
+
+
+def _exact_links(docs: DataFrame, rows: DataFrame, stand: DataFrame, sure: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``sure`` with links that join all nodes whose shingle sets reach the similarity.
+
+    ``stand`` has one row ``(node, doc_id, text_key, sketch, early)`` for each node; ``docs`` the texts.
+    """
+    members = materialize(_early(stand.select("node", "sketch", "early"), similarity), "members")
+    sketches = stand.select("node", "sketch")
 
     def sets(asked: DataFrame) -> DataFrame:
-        named = stand.join(asked.distinct(), "node").select("node", "__id", "__key")
-        named = maybe_broadcast(materialize(named, "named"), asked.distinct().count(), 40)
-        texts = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"]) & (F.xxhash64(docs["text"]) == named["__key"]))
-        return materialize(_sets(texts.select("node", F.col("text").cast("string").alias("text")), width).dropDuplicates(["node"]), "sets")
+        asked = asked.distinct()
+        named = materialize(stand.select("node", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).join(asked, "node"), "named")
+        few = maybe_broadcast(named, named.count(), 40)
+        texts = docs.join(few, docs["doc_id"].eqNullSafe(few["__id"]) & (F.xxhash64(docs["text"]) == few["__key"]))
+        # repeated rows of a text come in as often as they stand there
+        out = materialize(_sets(texts.select("node", F.col("text").cast("string").alias("text")).dropDuplicates(["node"]), width), "sets")
+        release(named)
+        return out
 
     def sided(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         side = lambda c, v: table.select(F.col("node").alias(c), F.col(value).alias(v))
@@ -555,34 +643,45 @@ def _exact_links(docs: DataFrame, rows: DataFrame, sure: DataFrame, width: int,
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         maybe = materialize(sided(pairs, sketches, "sketch").mapInArrow(tidy(_possible(similarity)), "a long, b long"), "maybe")
         held = sets(maybe.select(F.col("a").alias("node")).union(maybe.select("b")))
-        return materialize(sided(maybe, held, "shingles").mapInArrow(tidy(_checked(similarity)), "a long, b long"), "met")
+        met = materialize(sided(maybe, held, "shingles").mapInArrow(tidy(_checked(similarity)), "a long, b long"), "met")
+        release(maybe)
+        release(held)
+        return met
 
     def rooted(table: DataFrame, links: DataFrame) -> DataFrame:
-        roots = materialize(connected_components(links), "roots")
-        return table.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = materialize(connected_components(links, one_task=FEW_LINKS), "roots")
+        return table.join(maybe_broadcast(roots, roots.count(), 40), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     near = rooted(members, sure)
     hubs = near.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shard")
     links = sure.union(confirmed(members.join(hubs, "shard").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     # a shard's pairs with its hub are checked; others may link where more than one class is left
-    left = materialize(rooted(members.filter("n > 2").select("shard", "node", "n"), links), "left")
-    open_ = left.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shard")
-    left = materialize(left.join(open_, "shard"), "open")
+    left = rooted(members, links)
+    open_ = left.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most and n > 2")
+    left = materialize(left.join(open_.select("shard", "n"), "shard").select("shard", "node", "root", "size", "place", "n"), "open")
+    release(members)
     few = left.filter(F.col("n") <= LISTED)
-    pairs = few.alias("p").join(few.alias("q"), "shard").filter("p.node < q.node and p.root <> q.root").select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    met = few.alias("p").join(few.alias("q"), (F.col("p.shard") == F.col("q.shard")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _fitting(similarity))
+    links = links.union(confirmed(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))))
     many = left.filter(F.col("n") > LISTED)
-    units = _units(many, F.ceil(F.col("n") / UNIT), "root").join(sets(many.select("node")), "node")
+    if many.isEmpty():
+        return links
+    held = sets(many.select("node"))
+    units = _units(many, F.ceil(F.col("n") / UNIT), "root").join(held, "node")
     matched = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(
         tidy(_whole_units(lambda t: _unit_matches(t, similarity), 2 * UNIT)), "a long, b long"
     )
-    return links.union(confirmed(pairs)).union(matched)
+    links = links.union(materialize(matched, "matched"))
+    for done in (left, held):
+        release(done)
+    return links
 
 
 def _labelled(rows: DataFrame, linked) -> DataFrame:
     """``rows(doc_id, text_key, node, fp)`` with ``component_id``; ``linked`` makes links of the
     distinct ``(node, fp)``, given them and their number."""
     least = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "prints")
-    roots = connected_components(linked(least.select("node", "fp"), least.count()))
+    roots = connected_components(linked(least.select("node", "fp"), least.count()), one_task=FEW_LINKS)
     rooted = least.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     # a table of its own, so that a large class joins by a skew join that Spark can split
     named = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
@@ -595,7 +694,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``text_key`` is a 64-bit hash of the text and ``root`` tells classes apart.  An empty table
     gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
     rows = materialize(
         docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), fingerprint_column(F.col(text_col)).alias("fp")),
         "simhash",
@@ -606,17 +704,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_SHINGLE,
                     similarity: float = SIMILARITY, lanes: int = SIMILAR_LANES) -> DataFrame:
     """As ``classes``, for near copies at a Jaccard similarity of word shingles; ``fp`` is binary."""
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(_ranks(docs, width))
-    shape = [wide_column(F.col("text"), width, lanes).alias("fp"), _shapes(F.col("text"), shared, width, similarity).alias("shape")]
-    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_key"), *shape), "simhash").withColumn("node", F.xxhash64("fp"))
-
-    def linked(prints: DataFrame, n: int) -> DataFrame:
-        sure = materialize(similar_pairs(prints, n, similarity, 64 * lanes), "sure")
-        return _exact_links(docs, rows, sure, width, similarity)
-
-    return _labelled(rows.drop("shape"), linked).select("doc_id", "text_key", "fp", "root", "component_id")
+    shaped = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _shapes(F.col("text"), shared, width, similarity, lanes).alias("shape"))
+    rows = materialize(
+        shaped.select("doc_id", "text_key", "shape.*").select(F.monotonically_increasing_id().alias("row"), F.xxhash64("fp").alias("node"), "*"), "shapes"
+    )
+    # one row stands for all rows of a node: equal set fingerprints
+    nodes = materialize(rows.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "nodes")
+    others = materialize(rows.select("node", "row").join(nodes.select("node", F.col("row").alias("first")), "node").filter("row <> first").select("row"), "others")
+    n, repeats = nodes.count(), others.count()
+    stand = rows.join(maybe_broadcast(others, repeats, 24), "row", "left_anti") if repeats else rows
+    sure = materialize(similar_pairs(stand.select("node", "fp"), n, similarity, 64 * lanes), "sure")
+    roots = materialize(connected_components(_exact_links(docs, rows, stand, sure, width, similarity), one_task=FEW_LINKS), "roots")
+    rooted = nodes.join(maybe_broadcast(roots, roots.count(), 40), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    named = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
+    rooted = materialize(rooted.select("node", "root").join(named, "root"), "rooted")
+    out = materialize(rows.select("doc_id", "text_key", "fp", "node").join(rooted, "node").select("doc_id", "text_key", "fp", "root", "component_id"), "classes")
+    for done in (rows, nodes, others, sure, roots, named, rooted):
+        release(done)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
