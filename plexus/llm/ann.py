@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product over robust-pruned graphs.
 
-Vectors are dealt to shards by the hash of their id.  A shard adds one coordinate to its vectors
+Vectors are dealt to shards by the hash of their id; a shard is a value of its own, so that the
+graphs depend on the vectors alone, however the rows are partitioned.  A shard adds one coordinate to its vectors
 that makes them equally long, which turns the largest inner product into the smallest distance, and
 builds a directed graph: for each batch of new vectors a greedy search of the graph so far
 proposes neighbours, pruning with a relaxed distance (``ALPHA``) keeps diverse edges, and reverse
@@ -10,7 +11,8 @@ best over all shards are returned.
 
 Every row is indexed.  Equal vectors share a node that lists their ids in order, so that a hot
 vector costs one node and ties still fall to the smaller id.  Queries go out in blocks of bounded
-size against all shards.  Vectors that are null, zero or hold null or non-finite components take no
+bytes against all shards, one block after the other; a task searches several shards and sends out
+the best of them all, so that what is sent grows with queries and tasks, not with shards.  Vectors that are null, zero or hold null or non-finite components take no
 part, as do null ids; a repeated id counts with its smallest vector, and vectors of another length than the
 first in a shard raise.  With fewer candidates than asked for, all that the graph reaches return.
 """
@@ -23,17 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexus.plans.tables import bounded_batches, materialize
+from plexus.plans.loops import Levels
+from plexus.plans.tables import materialize, release
+from plexus.plans.workers import tidy
 
 DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 112
 ALPHA = 1.2
 #: Shards: at least so many, and more once a shard would exceed the rows, up to which the beam
-#: reaches its recall.
-SHARDS, SHARD_ROWS = 12, 10_000
-#: Queries that a broadcast block holds.
-BLOCK = 16_384
+#: reaches its recall, or the bytes.
+SHARDS, SHARD_ROWS, SHARD_BYTES = 12, 10_000, 64 << 20
+#: Bytes of query vectors that a broadcast block holds, and search tasks for each core.
+BLOCK_BYTES, TASKS = 16 << 20, 4
 #: Queries that walk a graph together.
 WALK = 512
 
@@ -151,72 +155,101 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
+_FOUND = "query_id long, vec_id long, score double"
 _SHARD = "dim int, n long, points binary, node binary, ids binary, edges binary, start long"
 
 
-def _stack(batches) -> tuple[np.ndarray, np.ndarray]:
-    ids, rows = [], []
+def _by_shard(batches):
+    """``(ids, vectors)`` of each shard, from batches sorted by shard."""
+    held: list[tuple] = []
+    name = None
+
+    def shard():
+        width = {x.shape[1] for _, x in held}
+        if len(width) > 1:
+            raise ValueError("vectors differ in length")
+        return np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])
+
     for b in batches:
-        if b.num_rows:
-            ids.append(b["vec_id"].to_numpy())
-            flat, cut = b["vec"].flatten().to_numpy(), np.diff(b["vec"].offsets.to_numpy())
-            if len(set(cut.tolist())) > 1:
-                raise ValueError("vectors differ in length")
-            rows.append(flat.reshape(len(cut), -1))
-    if not ids:
-        return np.empty(0, np.int64), np.empty((0, 0))
-    return np.concatenate(ids), np.concatenate(rows)
-
-
-def _index_shard(batches):
-    ids, rows = _stack(batches)
-    if not len(ids):
-        return
-    distinct, node = np.unique(rows, axis=0, return_inverse=True)
-    length = (distinct * distinct).sum(axis=1)
-    level = np.sqrt(np.maximum(length.max() - length, 0))
-    edges, start = build_graph(np.column_stack((distinct, level)).astype(np.float32))
-    order = np.lexsort((ids, node))
-    yield pa.RecordBatch.from_pydict({
-        "dim": pa.array([rows.shape[1]], pa.int32()), "n": [len(ids)], "points": [distinct.tobytes()], "node": [node.ravel()[order].astype(np.int64).tobytes()],
-        "ids": [ids[order].tobytes()], "edges": [edges.astype(np.int32).tobytes()], "start": [start],
-    })
+        if not b.num_rows:
+            continue
+        ids, of, vec = b["vec_id"].to_numpy(), b["shard"].to_numpy(), b["vec"]
+        flat, cut = vec.flatten().to_numpy(), np.diff(vec.offsets.to_numpy())
+        if (cut != cut[0]).any():
+            raise ValueError("vectors differ in length")
+        rows = flat.reshape(len(cut), -1)
+        for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
+            if held and of[part[0]] != name:
+                yield shard()
+                held = []
+            name = of[part[0]]
+            held.append((ids[part], rows[part]))
+    if held:
+        yield shard()
+
+
+def _index_shards(batches):
+    for ids, rows in _by_shard(batches):
+        distinct, node = np.unique(rows, axis=0, return_inverse=True)
+        length = (distinct * distinct).sum(axis=1)
+        level = np.sqrt(np.maximum(length.max() - length, 0))
+        edges, start = build_graph(np.column_stack((distinct, level)).astype(np.float32))
+        order = np.lexsort((ids, node.ravel()))
+        yield pa.RecordBatch.from_pydict({
+            "dim": pa.array([rows.shape[1]], pa.int32()), "n": [len(ids)], "points": [distinct.tobytes()], "node": [node.ravel()[order].astype(np.int64).tobytes()],
+            "ids": [ids[order].tobytes()], "edges": [edges.astype(np.int32).tobytes()], "start": [start],
+        })
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", shards: int = SHARDS) -> DataFrame:
     """One row per shard with its vectors, their ids and the graph, in the shared folder."""
     rows = materialize(_usable(vectors, id_col, vec_col), "vectors")
-    n = max(shards, -(-rows.count() // SHARD_ROWS))
-    return materialize(rows.repartition(n, "vec_id").mapInArrow(_index_shard, _SHARD), "graph")
+    count, width = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+    n = max(shards, -(-count // max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * (width or 1))))))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    out = materialize(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(tidy(_index_shards), _SHARD), "graph")
+    release(rows)
+    return out
+
 
+def _search_shards(shared, k: int, beam: int):
+    """The best ``k`` of each query over all shards of a task."""
 
-def _search_shard(shared, k: int, beam: int):
     def run(batches):
         ask, q = shared.value
+        best: list[tuple] = [(np.empty(0, np.int64), np.empty(0))] * len(ask)
+        any_ = False
         for b in batches:
-            for r in b.to_pylist():
-                points = np.frombuffer(r["points"]).reshape(-1, r["dim"])
-                ids, node = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["node"], np.int64)
-                edges = np.frombuffer(r["edges"], np.int32).reshape(len(points), -1).astype(np.int64)
-                if q.shape[1] != r["dim"]:
+            for at in range(b.num_rows):
+                r = {c: b[c][at] for c in b.schema.names}
+                dim = r["dim"].as_py()
+                if q.shape[1] != dim:
                     raise ValueError("vectors differ in length")
+                points = np.frombuffer(r["points"].as_buffer()).reshape(-1, dim)
+                ids, node = np.frombuffer(r["ids"].as_buffer(), np.int64), np.frombuffer(r["node"].as_buffer(), np.int64)
+                edges = np.frombuffer(r["edges"].as_buffer(), np.int32).reshape(len(points), -1).astype(np.int64)
                 cut = np.searchsorted(node, np.arange(len(points) + 1))
                 length = (points * points).sum(axis=1)
                 level = np.sqrt(np.maximum(length.max() - length, 0))
                 flat = np.column_stack((points, level)).astype(np.float32)
-                met, _ = beam_search(flat, edges, r["start"], np.column_stack((q, np.zeros(len(q)))).astype(np.float32), beam)
-                out: list[tuple] = []
+                met, _ = beam_search(flat, edges, r["start"].as_py(), np.column_stack((q, np.zeros(len(q)))).astype(np.float32), beam)
+                any_ = True
                 for i, nodes in enumerate(met):
                     nodes = nodes[nodes >= 0]
                     score = (points[nodes] * q[i]).sum(axis=1)
                     # A node's k + 1 smallest ids are all that k results and the query's own id can need.
                     held = [ids[cut[x] : min(cut[x + 1], cut[x] + k + 1)] for x in nodes.tolist()]
-                    who, what = np.concatenate(held), np.repeat(score, list(map(len, held)))
+                    who, what = np.concatenate([best[i][0], *held]), np.concatenate((best[i][1], np.repeat(score, list(map(len, held)))))
                     other = who != ask[i]
                     who, what = who[other], what[other]
-                    best = np.lexsort((who, -what))[:k]
-                    out.append((np.full(len(best), ask[i]), who[best], what[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["query_id", "vec_id", "score"])
+                    top = np.lexsort((who, -what))[:k]
+                    best[i] = who[top], what[top]
+        if any_:
+            n = [len(who) for who, _ in best]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ask, n)), pa.array(np.concatenate([w for w, _ in best])), pa.array(np.concatenate([s for _, s in best]))],
+                ["query_id", "vec_id", "score"],
+            )
 
     return run
 
@@ -224,18 +257,25 @@ def _search_shard(shared, k: int, beam: int):
 def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest found, ranks from 1."""
     spark = index.sparkSession
-    bounded_batches(spark)
     asked = materialize(_usable(queries, id_col, vec_col), "queries")
-    n = -(-2 * asked.count() // BLOCK) if asked.count() > BLOCK else 1
-    found = None
+    count, width = asked.agg(F.count("*"), F.max(F.size("vec"))).first()
+    size = 8 * (width or 1) * count
+    n = -(-2 * size // BLOCK_BYTES) if size > BLOCK_BYTES else 1
+    tasks = max(1, min(index.count(), TASKS * spark.sparkContext.defaultParallelism))
+    many = Levels(spark.createDataFrame([], _FOUND), "found") if n > 1 else None
+    found = spark.createDataFrame([], _FOUND)
     for block in range(n):
         rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == block).orderBy("vec_id").collect()
         if not rows:
             continue
         shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), np.array([r["vec"] for r in rows], np.float64)))
-        part = index.repartition(index.count()).mapInArrow(_search_shard(shared, k, max(beam, k + 1)), "query_id long, vec_id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        part = index.repartition(tasks).mapInArrow(tidy(_search_shards(shared, k, max(beam, k + 1))), _FOUND)
+        if many is None:
+            found = part
+        else:
+            many.append(part)
+            shared.unpersist()
+    if many is not None:
+        found = many.all()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
