@@ -6,11 +6,15 @@ turn seen by one participant: its rendered piece, where the piece stands in the
 (characters, gapless from 0) and the part of it that a model learns from (the assistant's words
 and the closing mark; nothing elsewhere).  Joining the pieces by ``seq`` gives the whole rendering.
 
-Places are added up in two levels, over runs of ``RUN`` turns and then over the runs, so that a
-very long conversation is not one task.  Turns are ordered by number (null first), then role, then
-text, which also settles repeated rows.  A null role speaks as ``unknown``, a null text is empty, and
-conversations with a null id form one.  A conversation of system turns alone has no participant
-and no rows.  ``<|`` in a text is broken up so that no turn can forge a mark.
+Turns are ordered by number (null first), then role, then text; repeated rows are interchangeable.
+They are sorted once into ranges of about ``RUN`` rows, and places are added up in two levels, inside
+the ranges and then over them: a conversation of any length, rows without a turn number, rows that
+share one and repeated rows all spread over as many ranges as their number asks for.
+
+A null role speaks as ``unknown``, a null text is empty, and conversations with a null id form one.
+A conversation of system turns alone has no participant and no rows.  ``<|`` in a text is broken up,
+and ``|`` and line breaks in a speaker's name are replaced in the rendering, so that neither can
+forge a mark.  Texts of any length are rendered whole; extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plexus.plans.tables import materialize
+
 SYSTEM = "system"
-#: Turns in one run of places.
-RUN = 256
+#: Turns in one range of places; there are at most ``RANGES`` for each core.
+RUN, RANGES = 8192, 64
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -34,28 +40,33 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("speaker"),
         F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
+    # the last key parts rows that are equal in all others
+    rows = rows.withColumn("any", F.xxhash64(F.monotonically_increasing_id()))
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "speaker", "text", "any")]
+    ranges = max(1, min(-(-turns.count() // RUN), RANGES * turns.sparkSession.sparkContext.defaultParallelism))
+    rows = materialize(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "turns")
     cast = (
         rows.filter(F.col("speaker") != SYSTEM).groupBy(F.col("conv_id").alias("cast_of"))
         .agg(F.array_sort(F.collect_set("speaker")).alias("cast"))
     )
-    seen = rows.join(cast, F.col("conv_id").eqNullSafe(F.col("cast_of"))).select("conv_id", "turn", "speaker", "text", F.explode("cast").alias("perspective"))
+    seen = rows.join(cast, F.col("conv_id").eqNullSafe(F.col("cast_of"))).drop("cast_of").withColumn("perspective", F.explode("cast")).drop("cast")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
-    head = F.when(F.col("role") == "user", F.concat(F.lit("<|user:"), "speaker", F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), "role", F.lit("|>\n")))
+    name = F.translate("speaker", "|\n\r", "/  ")
+    head = F.when(F.col("role") == "user", F.concat(F.lit("<|user:"), name, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), "role", F.lit("|>\n")))
     pieces = (
         seen.withColumn("role", role).withColumn("head", head)
         .withColumn("piece", F.concat("head", "text", F.lit("<|end|>\n")))
         .withColumn("size", F.length("piece").cast("long"))
-        .withColumn("run", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 55))))
     )
     of = ["conv_id", "perspective"]
-    totals = pieces.groupBy(*of, "run").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    earlier = Window.partitionBy(*of).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = pieces.groupBy(*of, "range").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    earlier = Window.partitionBy(*of).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
-        F.col("conv_id").alias("__c"), F.col("perspective").alias("__p"), F.col("run").alias("__r"),
+        F.col("conv_id").alias("__c"), F.col("perspective").alias("__p"), F.col("range").alias("__r"),
         F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("nth"),
     )
-    same = F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("perspective") == F.col("__p")) & (F.col("run") == F.col("__r"))
-    inside = Window.partitionBy(*of, "run").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text")
+    same = F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("perspective") == F.col("__p")) & (F.col("range") == F.col("__r"))
+    inside = Window.partitionBy(*of, "range").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text", "any")
     stop = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("at")
     placed = pieces.join(before, same).withColumn("stop", stop).withColumn("seq", F.row_number().over(inside) - 1 + F.col("nth"))
     start = F.col("stop") - F.col("size")
@@ -82,7 +93,7 @@ cast_ as (select distinct conv_id as c, speaker as perspective from rows where s
 seen as (select conv_id, perspective, turn, speaker, text,
     case when speaker = '{SYSTEM}' then '{SYSTEM}' when speaker = perspective then 'assistant' else 'user' end as role
     from rows join cast_ on conv_id is not distinct from c),
-heads as (select *, case when role = 'user' then '<|user:' || speaker || '|>' || chr(10) else '<|' || role || '|>' || chr(10) end as head from seen),
+heads as (select *, case when role = 'user' then '<|user:' || translate(speaker, '|' || chr(10) || chr(13), '/  ') || '|>' || chr(10) else '<|' || role || '|>' || chr(10) end as head from seen),
 pieces as (select *, head || text || '<|end|>' || chr(10) as piece from heads),
 placed as (select *, sum(length(piece)) over w as stop, row_number() over w - 1 as seq from pieces
     window w as (partition by conv_id, perspective order by turn nulls first, speaker, text rows unbounded preceding))
