@@ -28,8 +28,7 @@ def op3_pruned_graph_search(spark, sf_dir):
 
 
 def op4_zip_warc(spark, sf_dir):
-    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
-    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_perspective_rotation(spark, sf_dir):
