@@ -10,13 +10,15 @@ nothing is shuffled but the word counts, one row per template word.
 
 Words are what ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` finds after A-Z are lower-cased.  Null and
 empty texts have no words, no labels, score 0 and null places.  Overlapping places all count.
-Rows are judged one by one, so repeated rows and extra columns change nothing.
+Rows are judged one by one, so repeated rows and extra columns change nothing; ``scan`` replaces
+columns called ``__words`` or ``__matches``.  The work in a row is linear in its words.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +85,11 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
+def _named(column: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _literal(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -101,17 +108,14 @@ def _posted(t: Template, weight: dict[str, float]) -> list[tuple[str, int]]:
     return sorted(places.items(), key=lambda p: (-weight[p[0]], p[1]))[:POSTED]
 
 
-def _met(word: str, at: int):
-    """Whether a posting of ``word`` agrees with a start."""
-    return lambda s: F.exists("__hits", lambda h: (h["w"] == word) & (h["i"] == s + at))
+def _starts(word: str, at: int) -> Column:
+    """Starts that a posting of a word tells, by the word's places."""
+    return F.transform(F.filter("__hits", lambda h: h["w"] == word), lambda h: h["i"] - at)
 
 
 def _matches(t: Template, postings: list[tuple[str, int]]) -> Column:
     """Matches of one template from the row's ``__array`` and ``__hits``."""
-    (rare, off), rest = postings[0], postings[1:]
-    starts = F.transform(F.filter("__hits", lambda h: h["w"] == rare), lambda h: h["i"] - off)
-    for word, at in rest:
-        starts = F.filter(starts, _met(word, at))
+    starts = reduce(F.array_intersect, [_starts(w, at) for w, at in postings])
 
     def verified(s: Column) -> Column:
         """Key phrases at their places; a notice's words before the first one may be cut off."""
@@ -137,11 +141,13 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     index = {t: _posted(t, weight) for t in every}
     rarest = sorted({p[0][0] for p in index.values()})
     posted = sorted({w for p in index.values() for w, _ in p})
-    rows = docs.select("*", word_array(F.col(text_col)).alias("__array"))
+    kept = [_named(c) for c in docs.columns if c not in ("__words", "__matches")]
+    # the columns travel as one, so that none of them can clash with those made here
+    rows = docs.select(F.struct(*kept).alias("__row"), word_array(_named(text_col)).alias("__array"))
     hits = F.filter(F.transform("__array", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(posted))
     rows = rows.withColumn("__hits", F.when(F.arrays_overlap("__array", _literal(rarest)), hits))
     found = F.flatten(F.array(*[_matches(t, p) for t, p in index.items()]))
-    return rows.select(*docs.columns, F.size("__array").cast("long").alias("__words"),
+    return rows.select("__row.*", F.size("__array").cast("long").alias("__words"),
                        F.when(F.col("__hits").isNotNull(), found).alias("__matches"))
 
 
