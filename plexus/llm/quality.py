@@ -8,9 +8,11 @@ weights follow FTRL-proximal with per-coordinate rates.  A score is the sparse d
 text's vector with the weights, through the logistic function.
 
 Training reads at most ``MAX_ROWS`` labelled rows, those with the smallest hash of their id; that
-bound is the only limit, and scoring covers every text whole.  Null and empty texts have an empty
-vector and score the intercept alone.  Rows with a null label or id are not learnt from; of several
-labels of one id the smallest counts.  Without any labelled row the model is empty: it scores 0.5
+bound is the only limit, and scoring covers every text whole, however long.  Null and empty texts
+have an empty vector and score the intercept alone.  Rows with a null label or id are not learnt
+from; of several labels of one id the smallest counts, and of several texts the one with the
+smallest hash is learnt from, so that repeated rows never add to the sample.  Repeated rows score
+alike, and the columns of ``docs`` keep their names and values whatever they are called.  Without any labelled row the model is empty: it scores 0.5
 and ``keep_good`` keeps every document.
 """
 
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from plexus.plans.tables import bounded_batches
 from plexus.plans.workers import give_back, tidy
 
 BITS = 18
@@ -169,24 +170,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         text_col: str = "text", bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights learnt from the labelled rows that are not held out.
 
-    The sample joins as at most ``max_rows`` ids, which bounds both the broadcast and the one
-    task that runs the sequential updates.
+    The sample joins as at most ``max_rows`` ids, and each id gives one text, which bounds both the
+    broadcast and the one task that runs the sequential updates.
     """
-    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = (
         known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("label"))
         .withColumn("rank", F.xxhash64("__id")).orderBy("rank", "__id").limit(max_rows)
     )
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
-    sparse = rows.select("rank", "label", "text").mapInArrow(tidy(_sparse(bits)), "rank long, label int, at binary, x binary")
+    one = F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("one")
+    rows = rows.groupBy("rank", "__id", "label").agg(one).select("rank", "label", F.col("one.text").alias("text"))
+    sparse = rows.mapInArrow(tidy(_sparse(bits)), "rank long, label int, at binary, x binary")
     found = sparse.repartition(1).mapInArrow(tidy(_train(bits, epochs)), "w binary").first()
     return np.frombuffer(found["w"], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
 def score_column(spark, weights: np.ndarray, text: Column) -> Column:
     """Score from 0 to 1 of a text column; the weights are of a fixed size and broadcast."""
-    bounded_batches(spark)
     bits, shared = (len(weights) - 1).bit_length() - 1, spark.sparkContext.broadcast(weights)
 
     def score(texts: pa.Array) -> pa.Array:
