@@ -9,35 +9,42 @@ nonnegative rate per document so that the expected domain token totals meet the
 with ``w`` a document's share of all tokens, ``x_k = sum_d w_d r_d p_dk``, ``b`` the totals at rate
 one.  In the metric of ``w`` the smooth part has a curvature of at most ``1 + ridge``, which fixes
 the step.  A round is one aggregate to as many sums as there are domains; rates never leave the
-executors.  A rate turns into copies: its whole part, and one more with the probability of the rest,
-decided by a hash of id and text.
-
-The table is counted on at most ``MAX_LABELLED`` documents (smallest id hash first) and keeps the
-``VOCABULARY`` most frequent words; those bounds hold for the model alone, while every document is
-scored whole.  Rows with a null label teach nothing; a null or wordless text has the prior as its
-posterior and no tokens.  Repeated rows share one posterior and count as often as they come.
-Targets for domains that no label names are ignored, and an empty table gives an empty result.
+executors.  Rounds go on until the shares stop moving; a fit that has not settled after ``ROUNDS``
+warns, and ``rates`` returns the shares reached.  A rate turns into copies: its whole part, and one
+more with the probability of the rest, decided by a hash of id and text.
+
+The table is counted on at most ``MAX_LABELLED`` documents (smallest id hash first; of several texts
+of one id the one with the smallest hash) and holds all their words.  That bound is for the model
+alone: every document is scored whole, over all its words.  A long text's words depend on each
+other, so the evidence of its words is averaged, and the average counts as ``EVIDENCE`` words.
+
+The domain is any labelled column.  A domain that no target names is fitted to a share of 0, and a
+target for a domain that no label names is ignored.  Rows with a null label teach nothing; a null or
+wordless text has the prior as its posterior and no tokens.  Repeated rows share one posterior and
+count as often as they come.  Columns of ``docs`` keep their names and values whatever they are
+called.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexus.plans.tables import materialize
+from plexus.plans.tables import materialize, maybe_broadcast, release
 
 MAX_LABELLED = 5_000
-VOCABULARY = 4_096
 MAX_DOMAINS = 64
-#: Words of evidence that a text is worth at most; keeps memberships of long texts soft.
+#: Words that the average evidence of a longer text counts for; keeps memberships soft.
 EVIDENCE = 24.0
 SMOOTH = 0.5
 RIDGE = 1e-3
-ROUNDS = 60
-TOLERANCE = 1e-7
+ROUNDS = 100
+#: Shares that move less in a round have settled.
+TOLERANCE = 2e-5
 #: Shares of all tokens that each language should have after mixing.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
@@ -52,7 +59,7 @@ def _words(text: Column) -> Column:
 
 
 def membership_table(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, label_col: str,
-                     max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> tuple[DataFrame, list[str], list[float]]:
+                     max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[str], list[float]]:
     """The table ``(word, ends, w0, w1, ...)``, its domains in order and their log priors.
 
     Words are 64-bit hashes, which join faster than strings.  The hash of the empty word marks the
@@ -61,13 +68,14 @@ def membership_table(docs: DataFrame, labelled: DataFrame, id_col: str, text_col
     ``labelled`` names the ids whose ``label_col`` in ``docs`` may be learnt from.
     """
     ids = labelled.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct()
-    known = docs.select(F.col(id_col).alias("__id"), F.col(label_col).cast("string").alias("domain"), F.col(text_col).alias("text"))
+    known = docs.select(F.col(id_col).alias("__id"), F.col(label_col).cast("string").alias("domain"), F.col(text_col).cast("string").alias("text"))
     chosen = F.broadcast(ids.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
+    one = F.min(F.struct(F.xxhash64("text", "domain").alias("key"), "domain", "text")).alias("one")
+    texts = known.filter("domain is not null").join(chosen, "__id").groupBy("__id").agg(one).select("one.*")
     counts = materialize(
-        known.filter("domain is not null").join(chosen, "__id").select("domain", F.explode(_words(F.col("text"))).alias("word"))
-        .groupBy("word", "domain").agg(F.count("*").alias("n")),
-        "words",
+        texts.select("domain", F.explode(_words(F.col("text"))).alias("word")).groupBy("word", "domain").agg(F.count("*").alias("n")), "words"
     )
+    vocabulary = counts.select("word").distinct().count()
     totals = sorted((r["domain"], r["n"]) for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).limit(MAX_DOMAINS + 1).collect())
     if len(totals) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
@@ -76,10 +84,11 @@ def membership_table(docs: DataFrame, labelled: DataFrame, id_col: str, text_col
         F.log((F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)) + SMOOTH) / (n + SMOOTH * vocabulary)).alias(f"w{k}")
         for k, (d, n) in enumerate(totals)
     ]
-    ranked = counts.groupBy("word").agg(F.sum("n").alias("n"), *weights).orderBy(F.desc("n"), "word").limit(vocabulary)
-    table = ranked.select(F.xxhash64("word").alias("word"), F.lit(0).alias("ends"), *[f"w{k}" for k in range(len(domains))])
+    table = counts.groupBy("word").agg(F.sum("n").alias("n"), *weights).select(F.xxhash64("word").alias("word"), F.lit(0).alias("ends"), *[f"w{k}" for k in range(len(domains))])
     end = docs.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("word"), F.lit(1).alias("ends"), *[F.lit(0.0).alias(f"w{k}") for k in range(len(domains))])
-    return table.union(end), domains, [math.log(n / every) for _, n in totals]
+    whole = materialize(table.union(end), "weights")
+    release(counts)
+    return whole, domains, [math.log(n / every) for _, n in totals]
 
 
 def memberships(docs: DataFrame, table: DataFrame, priors: list[float], id_col: str, text_col: str) -> DataFrame:
@@ -89,7 +98,7 @@ def memberships(docs: DataFrame, table: DataFrame, priors: list[float], id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), words.alias("words")).select(
         "id", "key", F.size("words").cast("long").alias("tokens"), F.explode(F.array_append("words", F.lit(""))).alias("word")
     ).withColumn("word", F.xxhash64("word"))
-    met = rows.join(F.broadcast(table), "word").groupBy("id", "key", "tokens").agg(
+    met = rows.join(maybe_broadcast(table, table.count(), 16 + 8 * size), "word").groupBy("id", "key", "tokens").agg(
         F.sum("ends").alias("copies"), F.count("*").alias("met"), *[F.sum(f"w{k}").alias(f"s{k}") for k in range(size)],
     ).withColumn("met", F.col("met") - F.col("copies"))
     worth = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("met"), F.lit(1)) * F.col("copies")) / F.col("copies")
@@ -129,6 +138,9 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, ridg
         reached = list(now)
         if moved < TOLERANCE:
             break
+    else:
+        if rounds:
+            warnings.warn(f"rates have not settled after {rounds} rounds: shares {reached} for {targets}", RuntimeWarning, stacklevel=2)
     return state.withColumn("rate", rate), reached
 
 
@@ -141,10 +153,12 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     """
     table, domains, priors = membership_table(docs, labelled, id_col, text_col, label_col)
     if not domains:
+        release(table)
         flat = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.size(_words(F.col(text_col))).cast("long").alias("tokens"))
         members = flat.groupBy("id", "key").agg(F.count("*").alias("copies"), F.min("tokens").alias("tokens"))
         return members.withColumn("rate", F.lit(1.0)).withColumn("take", F.lit(1).cast("long")), [], []
     members = materialize(memberships(docs, table, priors, id_col, text_col), "members")
+    release(table)
     mass = F.col("tokens") * F.col("copies")
     wanted = [float(targets.get(d, 0.0)) for d in domains]
     if not sum(wanted):
@@ -175,6 +189,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     """``docs`` mixed to the targets by repetition: every row comes at least once, columns as they were."""
     found, _, _ = rates(docs, labelled, targets, id_col, text_col, least=1.0, whole=True)
     told = materialize(found.filter("take <> 1").select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("take").alias("__take")), "take")
-    on = docs[id_col].eqNullSafe(told["__id"]) & (F.xxhash64(docs[text_col]) == told["__key"])
-    joined = docs.join(told, on, "left").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("__take", F.lit(1).cast("long")))))
-    return joined.select(*[F.col(c) for c in docs.columns])
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    # the columns travel as one, so that none of them can clash with those made here
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("key"))
+    on = F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))
+    joined = rows.join(maybe_broadcast(told, told.count(), 32), on, "left")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("__take", F.lit(1).cast("long"))))).select("row.*")
