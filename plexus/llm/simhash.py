@@ -54,9 +54,8 @@ SIMILAR_SHINGLE, SIMILARITY, SIMILAR_LANES, MEET, SLACK = 5, 0.8, 4, 0.98, 2.5
 BANDS = 6
 #: Documents sampled to order shingles by frequency, and shingles of the sample that are ranked.
 SAMPLE, RANKED = 20_000, 1 << 18
-#: Parities in the sketch of a set, and bytes of the sketch with the set's size.
+#: Least parities in the sketch of a set; larger sets have the next power of two of their size.
 ODD = 1024
-SKETCH = 8 + ODD // 8
 #: Shingles of prefixes that a bucket of the exact join holds on average, and that a task gathers
 #: before it sends them out.
 BUCKET, FLUSH = 1 << 19, 1 << 20
@@ -461,16 +460,18 @@ def _shapes(text: Column, shared, width: int, similarity: float, lanes: int) ->
     """A text's shingle set as ``(fp, sketch, early)``: fingerprint, sketch and prefix.
 
     The sketch is the set's size and, for each bucket of hashes, whether it holds an odd number.
-    Every shingle that only one of two sets has changes one such bit.
+    Every shingle that only one of two sets has changes one such bit; a longer sketch folds to a
+    shorter one.
     """
 
     def cut(texts: pa.Array) -> pa.Array:
         prints, sketches, early = [], [], []
         for t in texts:
             hashes = np.unique(_shingles(t.as_py(), width))
-            odd = np.bincount((hashes % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1
+            bits = max(ODD, 1 << (max(1, len(hashes)) - 1).bit_length())
+            odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
             prints.append(_majority(hashes, lanes))
-            sketches.append(np.int64(len(hashes)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes())
+            sketches.append(np.int64(len(hashes)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
             early.append(_prefix(hashes, *shared.value, similarity).tobytes())
         give_back()
         return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in (prints, sketches, early)], ["fp", "sketch", "early"])
@@ -480,15 +481,23 @@ def _shapes(text: Column, shared, width: int, similarity: float, lanes: int) ->
 
 def _possible(similarity: float):
     """Keep the rows ``(a, b, x, y)`` whose sketches do not exclude the similarity."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u8").reshape(-1, SKETCH // 8) for c in ("x", "y"))
-            m, n = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
-            fits = _apart(x[:, 1:], y[:, 1:]) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6
-            yield batch.select(["a", "b"]).filter(pa.array(fits & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6)))
+            x, y = ([np.frombuffer(v.as_buffer(), "<u8") for v in batch[c]] for c in ("x", "y"))
+            m, n = (np.array([v[0] for v in side]).astype(np.int64) for side in (x, y))
+            fits = np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6
+            for i in np.flatnonzero(fits).tolist():
+                words = min(len(x[i]), len(y[i])) - 1
+                gap = np.bitwise_count(folded(x[i][1:], words) ^ folded(y[i][1:], words)).sum(dtype=np.int64)
+                fits[i] = gap <= (m[i] + n[i]) * share + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     return run
 
@@ -518,7 +527,7 @@ def _early(shapes: DataFrame, similarity: float) -> DataFrame:
     hub; that one goes to the shard, and the others travel dealt out evenly as they are.
     """
     every = shapes.agg(F.sum(F.octet_length("early") / 8)).first()[0] or 0
-    buckets, window = max(8, math.ceil(every / BUCKET)), _size_window(similarity)
+    buckets = max(8, math.ceil(every / BUCKET))
 
     def send(held: list[tuple]) -> pa.RecordBatch:
         shingle, node, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -533,7 +542,7 @@ def _early(shapes: DataFrame, similarity: float) -> DataFrame:
         stay = many & ~lead
         apart = pa.RecordBatch.from_pydict({
             "shard": (bucket[stay] << np.uint64(32) | shingle[stay] & np.uint64(0xFFFFFFFF)).view(np.int64), "node": node[stay], "hub": hub[stay],
-            "size": size[stay].astype(np.int32), "place": place[stay].astype(np.int32),
+            "size": size[stay].astype(np.int32), "place": place[stay].astype(np.int32), "hub_size": np.repeat(size[first], n)[stay].astype(np.int32),
         })
         post = np.empty(int((~stay).sum()), _POST)
         post["low"], post["size"], post["place"], post["node"] = (x[~stay] for x in (shingle.astype(np.uint32), size, place, node))
@@ -576,18 +585,22 @@ def _early(shapes: DataFrame, similarity: float) -> DataFrame:
         if packed:
             post = np.concatenate([v for _, v in packed])
             shard = np.repeat(np.array([u for u, _ in packed], np.int64), [len(v) for _, v in packed]) << 32 | post["low"]
-            found.append(pa.table(_members(shard, post, window)))
+            found.append(pa.table(_members(shard, post, similarity)))
         return pa.concat_tables(found).combine_chunks().to_batches()[0] if sum(t.num_rows for t in found) else pa.RecordBatch.from_pylist([], _MEMBER)
 
     packed = shapes.mapInArrow(tidy(pack), "unit long, post binary, apart binary").repartition("unit").sortWithinPartitions("unit")
-    return packed.mapInArrow(tidy(_whole_units(meet, 512)), "shard long, node long, hub long, size int, place int")
+    return packed.mapInArrow(tidy(_whole_units(meet, 512)), "shard long, node long, hub long, size int, place int, hub_size int")
+
 
+_MEMBER = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("hub", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("hub_size", pa.int32())])
 
-_MEMBER = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("hub", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 
+def _members(shard: np.ndarray, post: np.ndarray, similarity: float) -> dict:
+    """Columns of the members that have a partner of fitting size in their shard or one that stands for others.
 
-def _members(shard: np.ndarray, post: np.ndarray, window: int) -> dict:
-    """Columns of the members that have a partner of fitting size in their shard or one that stands for others."""
+    Two members alone in a shard also have to fit by the shingle's places.
+    """
+    window = _size_window(similarity)
     order = np.lexsort((post["node"], post["size"], shard))
     shard, post = shard[order], post[order]
     node, size, place = post["node"].astype(np.int64), post["size"].astype(np.int64), post["place"].astype(np.int64)
@@ -596,12 +609,22 @@ def _members(shard: np.ndarray, post: np.ndarray, window: int) -> dict:
     keep = np.zeros(len(shard), bool)
     keep[1:] = fits
     keep[:-1] |= fits
-    keep |= np.isin(shard, shard[place >= _STANDS])
-    shard, node, size, place = shard[keep], node[keep], size[keep], place[keep] & (_STANDS - 1)
+    stands = np.isin(shard, shard[place >= _STANDS])
+    keep |= stands
+    shard, node, size, place, stands = shard[keep], node[keep], size[keep], place[keep] & (_STANDS - 1), stands[keep]
+    _, first, n = np.unique(shard, return_index=True, return_counts=True)
+    two = first[(n == 2) & ~stands[first]]
+    ratio = np.exp((size[two + 1] - size[two]) / SIZE_STEPS)
+    least = (1 + ratio) * similarity / (1 + similarity) * 0.998
+    far = two[(1 - place[two] / PLACE_STEPS < least) | (ratio * (1 - place[two + 1] / PLACE_STEPS) < least)]
+    keep = np.ones(len(shard), bool)
+    keep[far] = keep[far + 1] = False
+    shard, node, size, place = shard[keep], node[keep], size[keep], place[keep]
     order = np.lexsort((_mixed(node, shard.view(np.uint64)), shard))
     shard, node, size, place = shard[order], node[order], size[order], place[order]
     _, first, n = np.unique(shard, return_index=True, return_counts=True)
-    return {"shard": shard, "node": node, "hub": np.repeat(node[first], n), "size": size.astype(np.int32), "place": place.astype(np.int32)}
+    return {"shard": shard, "node": node, "hub": np.repeat(node[first], n), "size": size.astype(np.int32), "place": place.astype(np.int32),
+            "hub_size": np.repeat(size[first], n).astype(np.int32)}
 
 
 def _fitting(similarity: float) -> Column:
@@ -639,30 +662,57 @@ def _exact_links(docs: DataFrame, rows: DataFrame, stand: DataFrame, sure: DataF
         side = lambda c, v: table.select(F.col("node").alias(c), F.col(value).alias(v))
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        maybe = materialize(sided(pairs, sketches, "sketch").mapInArrow(tidy(_possible(similarity)), "a long, b long"), "maybe")
+    def checked(maybe: DataFrame) -> DataFrame:
         held = sets(maybe.select(F.col("a").alias("node")).union(maybe.select("b")))
         met = materialize(sided(maybe, held, "shingles").mapInArrow(tidy(_checked(similarity)), "a long, b long"), "met")
-        release(maybe)
         release(held)
         return met
 
+    def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        """The pairs whose ends the links leave in different classes."""
+        roots = materialize(connected_components(links, one_task=FEW_LINKS), "roots")
+        few = maybe_broadcast(roots, roots.count(), 40)
+        a, b = (few.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+        return pairs.join(a, "a", "left").join(b, "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+    def confirmed(pairs: DataFrame, links: DataFrame, likely: bool) -> DataFrame:
+        """``links`` and those of the pairs that reach the similarity and join what is apart.
+
+        Of ``likely`` pairs each node is checked against one partner first; that joins most, and what
+        it joins need not be checked again.
+        """
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        maybe = materialize(sided(pairs, sketches, "sketch").mapInArrow(tidy(_possible(similarity)), "a long, b long"), "maybe")
+        if not likely:
+            links = links.union(checked(maybe))
+            release(maybe)
+            return links
+        one = maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(maybe.groupBy("a").agg(F.min("b").alias("b")).select("a", "b"))
+        links = links.union(checked(materialize(one.distinct(), "first")))
+        links = links.union(checked(materialize(apart(maybe, links), "rest")))
+        release(maybe)
+        return links
+
     def rooted(table: DataFrame, links: DataFrame) -> DataFrame:
         roots = materialize(connected_components(links, one_task=FEW_LINKS), "roots")
         return table.join(maybe_broadcast(roots, roots.count(), 40), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    near = rooted(members, sure)
-    hubs = near.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shard")
-    links = sure.union(confirmed(members.join(hubs, "shard").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    def several(table: DataFrame) -> DataFrame:
+        """Shards with members of more than one class, and their number; a table of its own, so that a
+        hot shard joins by a skew join that Spark can split."""
+        seen = table.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
+        found = materialize(seen.filter("least <> most").select("shard", "n"), "shards")
+        return maybe_broadcast(found, found.count(), 32)
+
+    star = members.join(several(rooted(members, sure)).select("shard"), "shard").filter((F.col("node") != F.col("hub")) & (F.abs(F.col("size") - F.col("hub_size")) <= _size_window(similarity)))
+    links = confirmed(star.select(F.col("node").alias("a"), F.col("hub").alias("b")), sure, True)
     # a shard's pairs with its hub are checked; others may link where more than one class is left
     left = rooted(members, links)
-    open_ = left.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most and n > 2")
-    left = materialize(left.join(open_.select("shard", "n"), "shard").select("shard", "node", "root", "size", "place", "n"), "open")
+    left = materialize(left.join(several(left).filter("n > 2"), "shard").select("shard", "node", "root", "size", "place", "n"), "open")
     release(members)
     few = left.filter(F.col("n") <= LISTED)
     met = few.alias("p").join(few.alias("q"), (F.col("p.shard") == F.col("q.shard")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _fitting(similarity))
-    links = links.union(confirmed(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))))
+    links = confirmed(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), links, False)
     many = left.filter(F.col("n") > LISTED)
     if many.isEmpty():
         return links
