@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plexus import functions
 from plexus.operators import bfs, graph, keyed, markov, metrics, paths, search, sequences, sorting, spanning
 from plexus.plans.tables import materialize
 
@@ -123,6 +124,18 @@ def bfs_direction(spark, d):
     return bfs.bfs(e, _ids(spark, source), strategy="direction").select("v", "dist")
 
 
+@_query(f"with recursive {_PS}, seed as (select s as src_id from s), {_LEVELS} select v, d::int as dist from r")
+def bfs_surf(spark, d):
+    e, source = _ps_edges(spark, d)
+    return bfs.bfs(e, _ids(spark, source), strategy="surf").select("v", "dist")
+
+
+@_query(f"with recursive {_PS}, seed as (select s as src_id from s), {_LEVELS} select v, d::int as dist from r")
+def bfs_bitmap(spark, d):
+    e, source = _ps_edges(spark, d)
+    return bfs.bfs(e, _ids(spark, source), strategy="bitmap").select("v", "dist")
+
+
 @_query(f"with recursive {_PS}, seed as (select max(u) as src_id from ps union all select min(v) from ps), {_LEVELS} select v, d::int as dist from r")
 def bfs_multi_source(spark, d):
     e, _ = _ps_edges(spark, d)
@@ -192,7 +205,7 @@ def edge_normalise(spark, d):
 @_query(f"""with {_PS}, p as (select u, v, xor((u * 2654435761) & 4294967295, (v * 2246822519) & 4294967295) as h from ps)
 select u, v, (xor(h, h >> 16) % 9901 + 100) / 100.0::double as w from p""")
 def synth_weight(spark, d):
-    return part_supplier(spark, d).select("u", "v", graph.synth_weight(F.col("u"), F.col("v")).alias("w"))
+    return part_supplier(spark, d).select("u", "v", functions.synth_weight(F.col("u"), F.col("v")).alias("w"))
 
 
 @_query(f"with {_PS} select src, count(*) as n, min(dst) as first, max(dst) as last, sum(w)::bigint as total from e group by 1")
@@ -231,6 +244,21 @@ def sssp_adaptive(spark, d):
     return _sssp(spark, d, "adaptive")
 
 
+@_query(_SSSP_SQL)
+def sssp_learned(spark, d):
+    return _sssp(spark, d, "learned")
+
+
+@_query(_SSSP_SQL)
+def sssp_shuffled(spark, d):
+    return _sssp(spark, d, "shuffled")
+
+
+@_query(_SSSP_SQL)
+def sssp_potential(spark, d):
+    return _sssp(spark, d, "potential")
+
+
 @_query(_SSSP_SQL)
 def sssp_kernel(spark, d):
     return _sssp(spark, d, "kernel")
@@ -336,11 +364,48 @@ def mst_summary(spark, d):
     return spanning.summary(spanning.spanning_forest(e), n)
 
 
-@_query()
+#: Boruvka's rounds: nodes with their label (kind 0) and edges chosen (kind 1).
+_PS_FOREST = f"""with recursive {_PS}, ranked as (select least(u, v) as u, greatest(u, v) as v, w, row_number() over (order by w, least(u, v), greatest(u, v)) as k from ps),
+r(i, kind, a, b) as (select 0, 0, x, x from (select u as x from ps union select v from ps) union all
+(with lab as (select i, a as v, b as c from r where kind = 0),
+ends as (select x.c as cx, y.c as cy, k from ranked join lab x on x.v = u join lab y on y.v = ranked.v where x.c <> y.c),
+hooks as (select c, min(k) as k, arg_min(d, k) as d from (select cx as c, cy as d, k from ends union all select cy, cx, k from ends) group by c),
+low as (select c, min(m) as m from (select c, d as m from hooks union all select d, c from hooks) group by c)
+select lab.i + 1, 0, v, least(lab.c, coalesce(m, lab.c)) from lab left join low on low.c = lab.c where exists (select 1 from hooks)
+union all select (select max(i) + 1 from lab), 1, k, 0 from (select distinct k from hooks)))"""
+_PS_FOREST_SQL = f"{_PS_FOREST} select u, v, w from ranked where k in (select a from r where kind = 1)"
+
+
+@_query(_PS_FOREST_SQL)
 def mst_part_supplier(spark, d):
     return spanning.spanning_forest(part_supplier(spark, d))
 
 
+@_query(_PS_FOREST_SQL)
+def mst_part_supplier_strata(spark, d):
+    return spanning.spanning_forest(part_supplier(spark, d), "strata")
+
+
+@_query(_PS_FOREST_SQL)
+def mst_part_supplier_kruskal(spark, d):
+    return spanning.spanning_forest(part_supplier(spark, d), "kruskal")
+
+
+@_query(_PS_FOREST_SQL)
+def mst_part_supplier_fibonacci(spark, d):
+    return spanning.spanning_forest(part_supplier(spark, d), "prim_fibonacci")
+
+
+@_query(_MST_SQL)
+def mst_heap(spark, d):
+    return spanning.spanning_forest(nations_undirected(spark, d), "heap")
+
+
+@_query(_MST_SQL)
+def mst_prim_fibonacci(spark, d):
+    return spanning.spanning_forest(nations_undirected(spark, d), "prim_fibonacci")
+
+
 @_query(f"""with recursive {_MINIMAX}, cuts as (select unnest(quantile_cont(w, [0.25, 0.5, 0.75])) as c from un),
 s as (select un.*, (select count(*) from cuts where un.w > c)::int as stratum, mst.w is not null as tree from un left join mst on mst.u = un.u and mst.v = un.v)
 select stratum, min(w) as least, max(w) as most, count(*) as edges, count(*) filter (tree) as tree_edges, round(count(*) filter (tree) * 100.0::double / count(*), 4) as share from s group by 1""")
@@ -456,23 +521,55 @@ def landmark_bound(spark, d):
     return search.landmark_bounds(materialize(table, "landmarks"), _every_pair(e))
 
 
-@_query()
+_FARTHEST = """far(n, chosen) as ({first} union all
+select n + 1, list_append(any_value(chosen), arg_max(b, struct_pack(d := dd, v := -b)))
+from (select n, chosen, b, min(d) as dd from far join z on list_contains(chosen, a) where n < {k} and not list_contains(chosen, b) group by n, chosen, b) group by n)"""
+_ZERO = "z as (select a, b, d from m where a <> b union all select distinct src, src, 0 from sy)"
+_MARKS = "marks as (select chosen[i] as landmark, (i - 1)::int as nth from (select chosen, unnest(range(1, len(chosen) + 1)) as i from (select chosen from far order by n desc limit 1)))"
+
+
+def _farthest_sql(first: str, k: int) -> str:
+    return f"{_PAIRS_SQL}, {_ZERO}, {_FARTHEST.format(first=first, k=k)}, {_MARKS} select landmark, nth, b as v, d as dist from marks join z on a = landmark"
+
+
+@_query(_farthest_sql("select 1, [min(src)] from sy", search.LANDMARKS))
 def landmark_farthest(spark, d):
-    return search.farthest_landmarks(_symmetric_nations(spark, d), 6)
+    return search.farthest_landmarks(_symmetric_nations(spark, d))
 
 
-@_query()
+_COVERED = f"""select {search.LANDMARKS // 2}, list(b order by gain desc, b)[:{search.LANDMARKS // 2}] from (select x.b, sum(abs(x.d - y.d)) as gain
+from (select i // 2 as n, min(v) filter (i % 2 = 0) as s, min(v) filter (i % 2 = 1) as t
+    from (select v, row_number() over (order by (v * 2654435761 + 40503) % 4294967296, v) - 1 as i from (select distinct src as v from sy)) where i < {2 * search.SAMPLED_PAIRS}
+    group by 1 having count(*) = 2) join z x on x.a = s join z y on y.a = t and y.b = x.b group by 1)"""
+
+
+@_query(_farthest_sql(_COVERED, search.LANDMARKS))
 def landmark_covering(spark, d):
-    return search.covering_landmarks(_symmetric_nations(spark, d), 6)
+    return search.covering_landmarks(_symmetric_nations(spark, d))
 
 
-def _searched(spark, d, strategy):
+#: Places of nations, and arcs at least as long as the way between their ends.
+_PLACES = "pl as (select src as id, (src * 37 % 101) * 1000.0::double as x, (src * 53 % 103) * 1000.0::double as y from (select distinct src from sy))"
+_PLACED = f"""{_NT}, {_PLACES}, gy as (select src, dst, ceil(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))::bigint + w % 1000 as w from sy join pl a on a.id = src join pl b on b.id = dst)"""
+
+
+def _placed_nations(spark, d):
     e = _symmetric_nations(spark, d)
-    marks = search.farthest_landmarks(e, 6) if strategy.startswith("landmark") else None
-    return search.search(e, _every_pair(e), strategy, landmarks=marks), e
+    at = lambda c, m, n: (F.col(c) * m % n) * 1000.0
+    places = e.select(F.col("src").alias("id")).distinct().select("id", at("id", 37, 101).alias("x"), at("id", 53, 103).alias("y"))
+    gap = lambda m, n: at("src", m, n) - at("dst", m, n)
+    far = F.ceil(F.sqrt(gap(37, 101) * gap(37, 101) + gap(53, 103) * gap(53, 103))).cast("long")
+    return materialize(e.select("src", "dst", (far + F.col("w") % 1000).alias("w")), "placed"), places
+
+
+def _searched(spark, d, strategy):
+    e, places = _placed_nations(spark, d)
+    marks = search.farthest_landmarks(e) if strategy.startswith("landmark") else None
+    return search.search(e, _every_pair(e), strategy, places, marks), e
 
 
-_COST_SQL = f"{_PAIRS_SQL} select a as src, b as dst, d::double as cost from m"
+_PLACED_PAIRS = f"with recursive {_PLACED}, {_ALL.format(t='gy')}"
+_COST_SQL = f"{_PLACED_PAIRS} select a as src, b as dst, d::double as cost from m"
 
 
 @_query(_COST_SQL)
@@ -500,11 +597,36 @@ def landmark_two_sided_cost(spark, d):
     return _searched(spark, d, "landmark_two_sided")[0].select("src", "dst", "cost")
 
 
-@_query(f"{_PAIRS_SQL} select a as src, b as dst, true as within from m")
+@_query(f"{_PLACED_PAIRS} select a as src, b as dst, d::double as best, s.strategy, true as within from m, (values ('weighted_1.5'), ('weighted_2.0'), ('landmark_two_sided_1.1'), ('landmark_two_sided_1.5')) s(strategy)")
 def weighted_search_bound(spark, d):
-    found, e = _searched(spark, d, "landmark_two_sided_1.5")
-    best = paths.all_pairs(e).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("dist").alias("best"))
-    return found.join(best, ["src", "dst"]).select("src", "dst", ((F.col("cost") >= F.col("best")) & (F.col("cost") <= 1.5 * F.col("best"))).alias("within"))
+    e, places = _placed_nations(spark, d)
+    marks, pairs, out = search.farthest_landmarks(e), _every_pair(e), None
+    best = search.search(e, pairs, "astar", places).select("src", "dst", F.col("cost").alias("best"))
+    for name, factor in (("weighted_1.5", 1.5), ("weighted_2.0", 2.0), ("landmark_two_sided_1.1", 1.1), ("landmark_two_sided_1.5", 1.5)):
+        found = search.search(e, pairs, name, places, marks).join(best, ["src", "dst"])
+        one = found.select("src", "dst", "best", F.lit(name).alias("strategy"), ((F.col("cost") >= F.col("best")) & (F.col("cost") <= factor * F.col("best"))).alias("within"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@_query(f"{_PLACED_PAIRS} select a as src, b as dst, d::double as cost, true as fewer from m")
+def astar_expanded(spark, d):
+    """Costs, and whether the straight line spares expansions of a plain search."""
+    e, places = _placed_nations(spark, d)
+    plain = search.search(e, _every_pair(e), "astar").select("src", "dst", F.col("expanded").alias("all"))
+    found = search.search(e, _every_pair(e), "astar", places)
+    return found.join(plain, ["src", "dst"]).select("src", "dst", "cost", (F.col("expanded") <= F.col("all")).alias("fewer"))
+
+
+_BATCH = ["astar", "tie_break", "two_sided", "landmark", "landmark_two_sided", "landmark@covering", "landmark_two_sided@covering"]
+
+
+@_query(f"{_PLACED_PAIRS} select s.strategy, count(*) as pairs, round(avg(d), 6) as mean_cost, 1.0::double as worst_ratio, count(*) as optimal from m, (values {', '.join(f'({s!r})' for s in _BATCH)}) s(strategy) group by 1")
+def search_batch(spark, d):
+    e, places = _placed_nations(spark, d)
+    return search.batch_summary(e, _every_pair(e), _BATCH, places, search.farthest_landmarks(e), search.covering_landmarks(e)).select(
+        "strategy", "pairs", "mean_cost", "worst_ratio", "optimal"
+    )
 
 
 # --- sequences --------------------------------------------------------------------------------
@@ -519,12 +641,15 @@ select p_brand, arg_max(best, i)[{_CAPACITY + 1}] as best from k group by 1""")
 def knapsack_by_brand(spark, d):
     item = F.struct(F.col("p_size").alias("w"), F.expr("cast(round(p_retailprice * 100) as bigint)").alias("v"))
     packs = _table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(item).alias("items"))
-    return packs.select("p_brand", sequences.knapsack(F.col("items"), _CAPACITY).alias("best"))
+    return packs.select("p_brand", functions.knapsack(F.col("items"), _CAPACITY).alias("best"))
 
 
-@_query()
+@_query("""with recursive n as (select p_partkey, string_split(lower(p_name), '') as x, string_split(lower(p_type), '') as y from part),
+k(p_partkey, i, x, y, best) as (select p_partkey, 0::bigint, x, y, list_transform(range(len(y) + 1), lambda j: 0::bigint) from n union all
+select p_partkey, i + 1, x, y, list_transform(range(len(y) + 1), lambda j: list_max(list_transform(range(j + 1), lambda h: case when h > 0 and y[h] = x[i + 1] then best[h] + 1 else best[h + 1] end))) from k where i < len(x))
+select p_partkey, arg_max(best, i)[len(any_value(y)) + 1] as lcs from k group by 1""")
 def lcs_names(spark, d):
-    return _table(spark, d, "part").select("p_partkey", sequences.lcs_length(F.lower("p_name"), F.lower("p_type")).cast("long").alias("lcs"))
+    return _table(spark, d, "part").select("p_partkey", functions.lcs_length(F.lower("p_name"), F.lower("p_type")).cast("long").alias("lcs"))
 
 
 @_query("""with s as (select lang, unnest(regexp_extract_all(text, '(?s).')) as symbol from documents)
@@ -533,17 +658,22 @@ def symbol_freq(spark, d):
     return sequences.symbol_counts(_table(spark, d, "documents"), "lang", "text")
 
 
-@_query()
+@_query("""with recursive s as (select lang, unnest(regexp_extract_all(text, '(?s).')) as symbol from documents), c as (select lang, symbol, count(*) as n from s group by 1, 2),
+t as (select lang, count(*) as symbols, sum(n)::bigint as total, list_sort(list(n)) as heap from c group by 1),
+m(lang, heap, bits) as (select lang, heap, 0::hugeint from t union all select lang, list_sort(list_append(heap[3:], heap[1] + heap[2])), bits + heap[1] + heap[2] from m where len(heap) > 1),
+b as (select lang, max(bits) as bits from m group by 1)
+select t.lang, symbols, total * 8 as plain_bits, (case when symbols = 1 then total else bits end)::bigint as coded_bits,
+round((case when symbols = 1 then total else bits end) / (total * 8)::double, 6) as ratio, case when symbols = 1 then 0.5::double else 1.0::double end as kraft from t join b on b.lang is not distinct from t.lang""")
 def huffman_sizes(spark, d):
     return sequences.sizes(sequences.huffman(sequences.symbol_counts(_table(spark, d, "documents"), "lang", "text"), "lang"), "lang")
 
 
-@_query("select p_brand, count(*) as rows, count(*) as same from part group by 1")
+@_query("select p_partkey, p_name as decoded from part")
 def huffman_roundtrip(spark, d):
-    names = _table(spark, d, "part").select("p_brand", "p_name")
+    names = _table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
     book = materialize(sequences.huffman(sequences.symbol_counts(names, "p_brand", "p_name"), "p_brand"), "codes")
-    back = sequences.decode(sequences.encode(names, book, "p_brand", "p_name"), book, "p_brand")
-    return back.groupBy("p_brand").agg(F.count("*").alias("rows"), F.sum((F.col("decoded") == F.col("p_name")).cast("long")).alias("same"))
+    coded = sequences.encode(names, book, "p_brand", "p_name").select("p_partkey", "p_brand", "bits")
+    return sequences.decode(coded, book, "p_brand").select("p_partkey", "decoded")
 
 
 # --- chains -----------------------------------------------------------------------------------
@@ -594,10 +724,22 @@ def carre_du_champ(spark, d):
     return markov.carre_du_champ(chain, _function(chain)).select("i", r("tf"), r("gamma"), r("t_gamma"), r("gamma2"))
 
 
-@_query(f"with {_CARRE} select g.i, round(greatest(0, t_gamma / 2 - cr + 0.5 * gamma), 6) as residual from g join tg using (i) join cr using (i)")
+#: Least ratio of gamma2 to gamma over 40 test functions made from digests.
+_BOUND = """{chain}, tf as (select k, x, sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) as f from (select k, x,
+    (('0x' || substr(md5(x || ':' || k || ':0'), 1, 7))::bigint + 1) / 268435457.0::double as u0, (('0x' || substr(md5(x || ':' || k || ':1'), 1, 7))::bigint + 1) / 268435457.0::double as u1
+    from (select distinct x from (select i as x from q union all select j from q)), range(40) t(k))),
+qs as (select a.k, q.i, q.j, q.p, a.f as fi, b.f as fj from q join tf a on a.x = q.i join tf b on b.x = q.j and b.k = a.k),
+qg as (select k, i, sum(p * fj) as tf, sum(p * (fj - fi) * (fj - fi)) / 2 as gamma from qs group by 1, 2),
+qt as (select g.k, q.i, sum(p * gamma) as t_gamma from q join qg g on g.i = q.j group by 1, 2),
+qc as (select qs.k, qs.i, sum(p * (fj - fi) * (b.tf - a.tf)) / 2 as cr from qs join qg a on a.k = qs.k and a.i = qs.i join qg b on b.k = qs.k and b.i = qs.j group by 1, 2),
+kb as (select min((t_gamma / 2 - cr) / gamma) as k from qg join qt using (k, i) join qc using (k, i) where gamma >= 1e-12)"""
+_ONE_STEP, _TWO_STEPS = "q as (select i, j, p from p)", "q as (select a.i, b.j, sum(a.p * b.p) as p from p a join p b on a.j = b.i group by 1, 2)"
+
+
+@_query(f"with {_CARRE}, {_BOUND.format(chain=_ONE_STEP)} select g.i, round(greatest(0, t_gamma / 2 - cr.cr - (select k from kb) * gamma), 6) as residual from g join tg using (i) join cr using (i)")
 def gamma_residual(spark, d):
     chain = event_chain(spark, d)
-    return markov.residual(chain, _function(chain), -0.5).select("i", F.round("residual", 6).alias("residual"))
+    return markov.residual(chain, _function(chain), markov.curvature_bound(chain)).select("i", F.round("residual", 6).alias("residual"))
 
 
 @_query(f"with {_EV} select a.i, b.j, round(sum(a.p * b.p), 6) as p from p a join p b on a.j = b.i group by 1, 2")
@@ -611,7 +753,19 @@ def kl_states(spark, d):
     return markov.divergence(emit).select("a", "b", F.round("kl", 6).alias("kl"))
 
 
-@_query()
+def _flow_sql() -> str:
+    """The steps of the flow written out one after the other."""
+    parts = [_EV, "w0 as (select i, j, p as w from p)"]
+    for k in range(markov.FLOW_STEPS):
+        parts.append(f"""s{k} as (select i as x, sum(sqrt(w)) as r, sum(w) as s from w{k} group by 1),
+f{k} as (select e.i, e.j, e.w, case when e.w < 1e-12 then 0 else e.w * (case when a.s > 1e-12 then 1 / a.s else 0 end + case when coalesce(b.s, 0) > 1e-12 then 1 / b.s else 0 end)
+    - (a.r - sqrt(e.w) + coalesce(b.r, 0) - sqrt(coalesce(q.w, 0))) / sqrt(e.w) end as frc
+    from w{k} e join s{k} a on a.x = e.i left join s{k} b on b.x = e.j left join w{k} q on q.i = e.j and q.j = e.i),
+w{k + 1} as (select i, j, g / sum(g) over (partition by i) as w from (select i, j, w * exp({markov.FLOW_RATE} * frc) as g from f{k}))""")
+    return f"with {', '.join(parts)} select i, j, round(w, 6) as w from w{markov.FLOW_STEPS}"
+
+
+@_query(_flow_sql())
 def ricci_flow_edges(spark, d):
     return markov.ricci_flow(event_chain(spark, d)).select("i", "j", F.round("w", 6).alias("w"))
 
@@ -621,10 +775,36 @@ def transport_edges(spark, d):
     return markov.transport_curvature(event_chain(spark, d)).select("i", "j", F.round("orc", 6).alias("orc"))
 
 
-@_query()
+@_query(f"with {_EV}, {_BOUND.format(chain=_ONE_STEP)} select round(k, 6) as bound from kb")
 def curvature_bound(spark, d):
-    bound = markov.curvature_bound(event_chain(spark, d), 8)
-    return spark.createDataFrame([(round(bound, 6),)], "bound double")
+    return spark.createDataFrame([(round(markov.curvature_bound(event_chain(spark, d)), 6),)], "bound double")
+
+
+@_query(f"with {_EV}, {_BOUND.format(chain=_TWO_STEPS)} select round(k, 6) as bound from kb")
+def hop_bound(spark, d):
+    return spark.createDataFrame([(round(markov.hop_bound(event_chain(spark, d), 2), 6),)], "bound double")
+
+
+@_query(f"""with {_EV}, lead as (select length(i) % 2 as c, min(i) as i from (select distinct i from p) group by 1),
+e as (select c, j, p.p from p join lead using (i)) select round(greatest(1e-12, sum(a.p * ln(a.p / b.p))), 6) as kl from e a join e b on a.j = b.j and a.c = 0 and b.c = 1 where a.p > 1e-12""")
+def kl_communities(spark, d):
+    chain = event_chain(spark, d)
+    sides = chain.select(F.col("i").alias("state")).distinct().withColumn("community", F.length("state") % 2)
+    return markov.least_divergence(chain.select(F.col("i").alias("state"), F.col("j").alias("symbol"), "p"), sides).select(F.round("kl", 6).alias("kl"))
+
+
+_LENGTHS = [200, 400, 600, 800, 1200, 1600, 3200, 6400]
+
+
+@_query(f"""with l as (select unnest({_LENGTHS})::bigint as t), c as (select t, 0.25 * 0.4 * 0.15 / 8 * pow(t * 0.8 / 10, 2) * 0.09 as free, t * 0.2 / 10 * ln(360) as cap from l),
+g as (select t, 10 * least(free, cap) as gap, free >= cap as capped from c)
+select t, round(gap, 6) as gap, round(gap / first_value(gap) over (order by t), 6) as ratio, t * t / 40000.0::double as square, capped,
+round(ln(360) / 0.25 * sqrt(8 * ln(20) / t), 6) as threshold from g""")
+def scaling_table(spark, d):
+    lengths = spark.createDataFrame([(t,) for t in _LENGTHS], "t long")
+    rows = markov.scaling_table(lengths, 360, 0.25, -0.4, 0.3, 0.85, 0.2, 10)
+    limit = markov.sequence_threshold(360, 0.25, 0.05, F.col("t"))
+    return rows.select("t", F.round("gap", 6).alias("gap"), F.round("ratio", 6).alias("ratio"), "square", "capped", F.round(limit, 6).alias("threshold"))
 
 
 _BUCKET = "least(9, greatest(0, floor(value / 20)))"
@@ -658,7 +838,18 @@ def viterbi_score(spark, d):
     return markov.decode(seqs, m).groupBy("seq").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-@_query()
+def _path_sql(extra: str = "0.0", joins: str = "", more: str = "") -> str:
+    """Best states by step, ties to the smaller state, with ``extra`` on every transition."""
+    return f"""{_HMM_SQL.rpartition('vit(seq')[0]}{more}
+vit(seq, t, state, score, back) as (select seq, t, pr.state, lp + lb, null::varchar from o join pr on true join em on em.state = pr.state and em.symbol = o.symbol where t = 1
+union all select v.seq, v.t + 1, em.state, max(v.score + (ln(p.p) + {extra})) + any_value(em.lb), min_by(v.state, struct_pack(s := -(v.score + (ln(p.p) + {extra})), n := v.state))
+from vit v join o on o.seq = v.seq and o.t = v.t + 1 join p on p.i = v.state join em on em.state = p.j and em.symbol = o.symbol {joins} group by v.seq, v.t, em.state),
+l as (select seq, max(t) as t from o group by 1),
+way(seq, t, state) as (select vit.seq, vit.t, min_by(state, struct_pack(s := -score, n := state)) from vit join l on l.seq = vit.seq and l.t = vit.t group by 1, 2
+union all select w.seq, w.t - 1, back from way w join vit on vit.seq = w.seq and vit.t = w.t and vit.state = w.state where w.t > 1)"""
+
+
+@_query(f"with recursive {_path_sql()} select seq, t, state from way")
 def viterbi_path(spark, d):
     seqs, m, _ = _hmm(spark, d)
     return markov.decode(seqs, m).select("seq", "t", "state")
@@ -666,8 +857,15 @@ def viterbi_path(spark, d):
 
 @_query()
 def field_signal(spark, d):
-    seqs, m, _ = _hmm(spark, d)
-    return markov.decode(seqs, m, "field", 0.2, -0.5).select("seq", "t", "state", F.round("signal", 6).alias("signal"))
+    seqs, m, chain = _hmm(spark, d)
+    return markov.decode(seqs, m, "field", 0.2, markov.curvature_bound(chain)).select("seq", "t", "state", F.round("signal", 6).alias("signal"))
+
+
+@_query()
+def field_signal_two_hops(spark, d):
+    seqs, m, chain = _hmm(spark, d)
+    found = markov.decode(seqs, m, "field", 0.2, markov.hop_bound(chain, 2), hops=2, own_path=False)
+    return found.select("seq", "t", "state", F.round("signal", 6).alias("signal"))
 
 
 @_query()
@@ -677,7 +875,13 @@ def transport_signal(spark, d):
     return markov.decode(seqs, m, "edge", 0.2, edges=edges).select("seq", "t", "state", F.round("signal", 6).alias("signal"))
 
 
-@_query()
+_FORMAN = """fr as (select p.i, p.j, 2 * p.p - (a.r - sqrt(p.p) + coalesce(b.r, 0) - coalesce(sqrt(q.p), 0)) / sqrt(p.p) as frc
+from p join (select i, sum(sqrt(p)) as r from p group by 1) a on a.i = p.i left join (select i, sum(sqrt(p)) as r from p group by 1) b on b.i = p.j left join p q on q.i = p.j and q.j = p.i),
+sc as (select 1 / greatest(1.0::double, 2 * (select count(*) from p) / (select count(*) from pr)::double) as s),"""
+
+
+@_query(f"""with recursive {_path_sql('0.2 * fr.frc * sc.s', 'join fr on fr.i = p.i and fr.j = p.j cross join sc', _FORMAN)}
+select w.seq, w.t, w.state, round(coalesce(fr.frc * sc.s, 0.0), 6) as signal from way w left join way b on b.seq = w.seq and b.t = w.t - 1 left join fr on fr.i = b.state and fr.j = w.state cross join sc""")
 def forman_signal(spark, d):
     seqs, m, chain = _hmm(spark, d)
     scale = 1 / max(1.0, 2 * chain.count() / len(m.states))
@@ -759,3 +963,6 @@ def path_agreement(spark, d):
     rows = _table(spark, d, "events")
     before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return metrics.agreement(rows.select("event_id", F.col("event_type").alias("x")), rows.select("event_id", before.alias("x")), ["event_id"], "x")
+
+
+from plexus import catalog_more  # noqa: E402, F401  registers its queries

@@ -13,6 +13,10 @@ from plexus.plans.loops import Levels
 from plexus.plans.tables import materialize
 
 
+#: Edges up to which components are labelled in one task.
+ONE_TASK = 1 << 18
+
+
 @dataclass
 class Direction:
     """When a round looks from the unvisited side (pull) instead of the frontier's (push).
@@ -66,7 +70,7 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, stra
     parent is its smallest predecessor one level nearer.  Without sources ``ValueError`` is raised.
     """
     pairs = materialize(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
-    links = pairs.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    links, out = pairs.repartition("src").persist(StorageLevel.MEMORY_AND_DISK), None
     try:
         first = sources.select(F.col("id").alias("v")).distinct().withColumn("dist", F.lit(0)).withColumn("parent", F.lit(None).cast("long"))
         levels = Levels(first, "bfs")
@@ -95,6 +99,8 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, stra
         return levels.all()
     finally:
         links.unpersist()
+        if out is not None:
+            out.unpersist()
 
 
 def frontier_work(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def trace(tree: DataFrame, targets: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``(v, component)`` of an undirected graph; a component is named by its smallest node."""
-    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(
+    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), one_task=ONE_TASK).select(
         F.col("node").alias("v"), F.col("root").alias("component")
     )
     if nodes is None:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexus.functions import synth_weight  # noqa: F401  part of this module's interface
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -61,15 +63,3 @@ def hubs(edges: DataFrame, k: int = 1) -> DataFrame:
 def adjacency(edges: DataFrame) -> DataFrame:
     """``(src, neighbours)`` with neighbours ``(dst, w)`` in order."""
     return edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "w"))).alias("neighbours"))
-
-
-def synth_weight(u: Column, v: Column) -> Column:
-    """Deterministic weight of an edge without one: 32-bit mix of its ends, from 1.00 to 100.00.
-
-    Fixed values: the two multipliers, the shift, the modulus and the offset.
-    """
-    low = F.lit(0xFFFFFFFF)
-    product = lambda c, m: (c.bitwiseAND(low) * F.lit(m)).bitwiseAND(low)
-    h = product(u.cast("long"), 2654435761).bitwiseXOR(product(v.cast("long"), 2246822519))
-    h = h.bitwiseXOR(F.shiftright(h, 16))
-    return (h % 9901 + 100) / F.lit(100.0)

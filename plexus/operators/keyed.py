@@ -92,9 +92,39 @@ def stats(store: DataFrame) -> DataFrame:
 
 
 def probe_lengths(store: DataFrame, capacity: int) -> DataFrame:
-    """``(slot, n)``: keys by home slot of a power-of-two table under the multiplying hash."""
-    home = F.pmod(F.shiftrightunsigned(F.xxhash64("k"), 7), F.lit(capacity))
-    return store.groupBy(home.alias("slot")).agg(F.count("*").alias("n"))
+    """``(k, home, probe)``: how far each integer key lies from its home slot in a table of a power of
+    two of slots, probed slot by slot, where a key farther from home goes before a nearer one.
+
+    Keys then stand in the order of their homes, each at its home or one behind the key before it, so
+    a place is the key's number plus the largest ``home - number`` up to it.  The table is a ring:
+    the keys go around twice, and the second time counts.
+    """
+    from plexus.operators.sorting import rank_all, running_max
+
+    if capacity > 1 << 31:
+        raise ValueError("more slots than the hash reaches")
+    home = F.pmod(F.pmod(F.col("k").cast("long"), F.lit(capacity)) * F.lit(HASH_MULTIPLIER % capacity), F.lit(capacity))
+    laps = F.explode(F.array(F.lit(0), F.lit(1)))
+    keys = store.select("k", home.alias("home"), laps.alias("lap")).withColumn("at", F.col("home") + F.col("lap") * F.lit(capacity))
+    ranked = rank_all(keys, [F.col("at"), F.col("k")], "nth")
+    placed = running_max(ranked.withColumn("ahead", F.col("at") - F.col("nth")), [F.col("nth")], "ahead", "most")
+    return placed.filter("lap = 1").select("k", "home", (F.col("nth") + F.col("most") - F.col("at")).alias("probe"))
+
+
+def probe_stats(store: DataFrame) -> DataFrame:
+    """``stats`` with the longest and the mean probe."""
+    sizes = stats(store)
+    capacity = sizes.first()["capacity"]
+    probes = probe_lengths(store, capacity).agg(F.coalesce(F.max("probe"), F.lit(0)).cast("long").alias("max_probe"), F.round(F.coalesce(F.avg("probe"), F.lit(0.0)), 6).alias("mean_probe"))
+    return sizes.crossJoin(F.broadcast(probes))
+
+
+def shrunk(store: DataFrame, capacity: int) -> int:
+    """Capacity after deletions: halved while the load is below the lower limit."""
+    size = store.count()
+    while capacity > LEAST_CAPACITY and size / capacity < LOAD_MIN:
+        capacity //= 2
+    return capacity
 
 
 def encode(rows: DataFrame, col: str) -> DataFrame:

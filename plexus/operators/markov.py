@@ -90,20 +90,36 @@ def carre_du_champ(chain: DataFrame, f: DataFrame) -> DataFrame:
     )
 
 
+def _gauss(x: str, seed: Column) -> Column:
+    """A number of about unit variance from a digest of a state and a seed."""
+    digits = lambda k: F.substring(F.md5(F.concat_ws(":", F.col(x).cast("string"), seed.cast("string"), F.lit(str(k)))), 1, 7)
+    u = lambda k: (F.conv(digits(k), 16, 10).cast("long") + 1) / F.lit(float((1 << 28) + 1))
+    return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))
+
+
 def test_function(states: DataFrame, seed: int) -> DataFrame:
-    """A fixed function ``(x, f)`` of about unit variance on ``states(x)``, from a hash."""
-    u = lambda k: (F.pmod(F.xxhash64("x", F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    return states.select("x", (F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))).alias("f"))
+    """A fixed function ``(x, f)`` of about unit variance on ``states(x)``, from a digest."""
+    return states.select("x", _gauss("x", F.lit(seed)).alias("f"))
 
 
 def curvature_bound(chain: DataFrame, functions: int = 40) -> float:
     """Least ratio of ``gamma2`` to ``gamma`` over states and test functions; 0 if none has any."""
-    states = chain.select(F.col("i").alias("x")).union(chain.select(F.col("j").alias("x"))).distinct()
-    least = None
-    for k in range(functions):
-        ratio = carre_du_champ(chain, test_function(states, k)).filter(F.col("gamma") >= EPS).agg(F.min(F.col("gamma2") / F.col("gamma")).alias("r")).first()["r"]
-        least = ratio if least is None or (ratio is not None and ratio < least) else least
-    return least or 0.0
+    from plexus.plans.tables import materialize
+
+    chain = materialize(chain.select("i", "j", "p"), "chain")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(functions - 1))).alias("k")
+    states = chain.select(F.col("i").alias("x")).union(chain.select(F.col("j").alias("x"))).distinct().select("x", numbers)
+    # all functions at once: a state of the chain and the function's number make a state of their own
+    many = chain.select("*", numbers)
+    both = many.select(F.struct("k", F.col("i").alias("x")).alias("i"), F.struct("k", F.col("j").alias("x")).alias("j"), "p")
+    every = states.select(F.struct("k", "x").alias("x"), _gauss("x", F.col("k")).alias("f"))
+    found = carre_du_champ(both, every).filter(F.col("gamma") >= EPS)
+    return found.agg(F.min(F.col("gamma2") / F.col("gamma")).alias("r")).first()["r"] or 0.0
+
+
+def hop_bound(chain: DataFrame, k: int, functions: int = 40) -> float:
+    """``curvature_bound`` of the chain of ``k`` steps."""
+    return curvature_bound(power(chain, k), functions)
 
 
 def residual(chain: DataFrame, f: DataFrame, bound: float) -> DataFrame:
@@ -137,6 +153,35 @@ def divergence(emit: DataFrame) -> DataFrame:
     return a.join(b, "symbol").filter("a <> b and pa > 0 and pb > 0").groupBy("a", "b").agg(F.sum(F.col("pa") * F.log(F.col("pa") / F.col("pb"))).alias("kl"))
 
 
+def least_divergence(emit: DataFrame, communities: DataFrame) -> DataFrame:
+    """``(kl,)``: the least divergence from a community to a later one, by the rows of their smallest
+    states; ``communities(state, community)``.  Symbols below ``EPS`` are left out; at least ``EPS``."""
+    lead = communities.groupBy("community").agg(F.min("state").alias("state"))
+    rows = emit.join(lead, "state").select("community", "symbol", "p")
+    a = rows.select(F.col("community").alias("a"), "symbol", F.col("p").alias("pa"))
+    b = rows.select(F.col("community").alias("b"), "symbol", F.col("p").alias("pb"))
+    pairs = a.join(b, "symbol").filter((F.col("a") < F.col("b")) & (F.col("pa") > EPS))
+    kl = pairs.groupBy("a", "b").agg(F.sum(F.col("pa") * F.log(F.col("pa") / F.col("pb"))).alias("kl"))
+    return kl.agg(F.greatest(F.lit(EPS), F.min("kl")).alias("kl"))
+
+
+def scaling_table(lengths: DataFrame, n_states: int, strength: float, bound: float, kl: float, inside: float, rate: float, bursts: int) -> DataFrame:
+    """``(t, gap, ratio, square, capped)`` for ``lengths(t)``: the least gap of scores that ``bursts`` bursts make.
+
+    A burst follows ``t0 = T (1 - rate) / bursts`` quiet steps and has ``T rate / bursts`` of its own.  It adds
+    ``strength |bound| (1 - inside) / 8 t0^2 kl^2``, at most its steps times ``ln N``.  ``ratio`` is the
+    gap over that of the smallest length, ``square`` the square of the lengths' ratio.
+    """
+    t = F.col("t").cast("double")
+    quiet = t * (1 - rate) / bursts
+    free, cap = strength * abs(bound) * (1 - inside) / 8 * quiet * quiet * kl * kl, t * rate / bursts * math.log(n_states)
+    rows = lengths.select("t", (bursts * F.least(free, cap)).alias("gap"), (free >= cap).alias("capped"))
+    first = rows.agg(F.min("t").alias("t0"), F.min_by("gap", "t").alias("g0"))
+    return rows.crossJoin(F.broadcast(first)).select(
+        "t", "gap", (F.col("gap") / F.when(F.col("g0") > 0, F.col("g0")).otherwise(1.0)).alias("ratio"), (F.col("t") * F.col("t") / (F.col("t0") * F.col("t0"))).alias("square"), "capped"
+    )
+
+
 def sequence_threshold(n_states: int, strength: float, delta: float, t: Column) -> Column:
     """``(ln N / strength) sqrt(8 ln(1 / delta) / T)`` for a column of lengths."""
     return F.lit(math.log(n_states) / strength) * F.sqrt(F.lit(8 * math.log(1 / delta)) / t)
@@ -247,9 +292,9 @@ def _viterbi(m: Model, obs: np.ndarray, weights: np.ndarray, penalty=None) -> tu
     return path, float(best.max()), charged
 
 
-def _field_penalty(m: Model, bound: float, strength: float):
-    """The capped residual of the centred scores, and the charge that it makes on a transition."""
-    p, n = m.p, len(m.states)
+def _field_penalty(m: Model, bound: float, strength: float, hops: int = 1):
+    """The capped residual of the centred scores over ``hops`` steps, and the charge that it makes on a transition."""
+    p, n = np.linalg.matrix_power(m.p, hops), len(m.states)
     cap = math.log(n) / max(strength, EPS)
 
     def charge(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,11 +314,13 @@ def _field_penalty(m: Model, bound: float, strength: float):
     return charge
 
 
-def decode(sequences: DataFrame, m: Model, strategy: str = "plain", strength: float = 0.2, bound: float = 0.0, edges: dict | None = None) -> DataFrame:
+def decode(sequences: DataFrame, m: Model, strategy: str = "plain", strength: float = 0.2, bound: float = 0.0, edges: dict | None = None,
+           hops: int = 1, own_path: bool = True) -> DataFrame:
     """``(seq, t, state, score, signal)`` for ``sequences(seq, t, symbol)``.
 
     ``plain`` decodes; ``field`` charges the capped residual of the scores (bound ``bound``) and
-    signals the residual of the state before; ``edge`` adds ``strength`` times a curvature per
+    signals the residual of the state before, on its own path or else on that of ``plain``; its
+    geometry is that of the chain of ``hops`` steps, its transitions are single steps; ``edge`` adds ``strength`` times a curvature per
     transition, given as ``edges[(i, j)]`` with the default under ``None``, and signals it.
     """
     n = len(m.states)
@@ -294,8 +341,9 @@ def decode(sequences: DataFrame, m: Model, strategy: str = "plain", strength: fl
         frame = frame.sort_values("t", kind="stable")
         obs = frame.symbol.map(m.symbols).to_numpy()
         if strategy == "field":
-            path, score, charged = _viterbi(m, obs, m.lw, _field_penalty(m, bound, strength))
-            signal = np.concatenate(([0.0], charged[np.arange(len(path) - 1), path[:-1]]))
+            path, score, charged = _viterbi(m, obs, m.lw, _field_penalty(m, bound, strength, hops))
+            along = path if own_path else _viterbi(m, obs, m.lw)[0]
+            signal = np.concatenate(([0.0], charged[np.arange(len(path) - 1), along[:-1]]))
         elif strategy == "edge":
             path, score, _ = _viterbi(m, obs, m.lw + strength * extra)
             signal = np.concatenate(([0.0], extra[path[:-1], path[1:]]))

@@ -108,10 +108,10 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFr
 
 
 def bootstrap_auroc(rows: DataFrame, key: str, score: str, label: str, draws: int = 30, size: int = 4000) -> DataFrame:
-    """``(draw, auroc)`` over ``draws`` subsamples of ``size`` rows, each the smallest hashes of its draw."""
+    """``(draw, auroc)`` over ``draws`` subsamples of ``size`` rows, each the smallest digests of its draw."""
     out = None
     for k in range(draws):
-        some = rows.orderBy(F.xxhash64(F.col(key), F.lit(k)), key).limit(size)
+        some = rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(k)))), key).limit(size)
         one = auroc(some, score, label).select(F.lit(k).alias("draw"), "auroc")
         out = one if out is None else out.union(one)
     return out

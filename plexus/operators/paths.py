@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import time
 from collections import defaultdict
 
 import pandas as pd
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexus.operators.bfs import trace
-from plexus.plans.loops import iterate
+from plexus.plans.loops import Levels, iterate
 from plexus.plans.tables import materialize
 
 #: Edges that a single task may hold for a kernel strategy.
 KERNEL_EDGES = 5_000_000
+#: Strategies that relax in rounds.
+ROUNDS = ("full", "frontier", "adaptive", "learned", "shuffled", "potential")
 
 
 class NegativeCycle(ValueError):
@@ -31,8 +34,11 @@ def sssp(edges: DataFrame, source: int, strategy: str = "frontier", nodes: DataF
 
     ``prev`` is the smallest predecessor on a shortest path (null for the source).  Strategies:
     ``full`` relaxes every edge in each round, ``frontier`` those of the nodes that changed,
-    ``adaptive`` chooses by the share of edges that changed nodes have, ``kernel`` runs one task
-    over at most ``KERNEL_EDGES`` edges and needs weights that are not negative.  Negative weights
+    ``adaptive`` chooses by the share of edges that changed nodes have, ``learned`` sets that share
+    by the measured cost of an edge in either kind of round, ``shuffled`` relaxes changed nodes in
+    an order drawn by a hash, ``potential`` those first that gained most since they were last
+    relaxed, ``kernel`` runs one task over at most ``KERNEL_EDGES`` edges and needs weights that are
+    not negative.  Negative weights
     are allowed otherwise; a reachable negative cycle raises ``NegativeCycle``.  A source that
     neither ``nodes`` nor the edges hold raises ``KeyError``.
     """
@@ -60,37 +66,68 @@ def sssp_many(edges: DataFrame, sources: DataFrame, strategy: str = "frontier")
     return _rounds(materialize(_least_edges(edges), "edges"), sources.select("id").distinct(), strategy)
 
 
+#: Levels of changed rows that are read before they are merged into one.
+MERGE_AT = 8
+
+
 def _rounds(edges: DataFrame, sources: DataFrame, strategy: str) -> DataFrame:
+    """Relaxation in rounds; a round writes the rows that it changed and no others.
+
+    ``here`` are the rows that a round relaxes, out of those that changed and have not been relaxed
+    since; with ``shuffled`` and ``potential`` the others wait for the next round at most.
+    """
+    if strategy not in ROUNDS:
+        raise ValueError(f"unknown strategy {strategy}")
     kind = "bigint" if edges.schema["w"].dataType.simpleString() in ("int", "bigint") else "double"
     links = edges.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    m = edges.count() * sources.count() if strategy == "adaptive" else 0
+    switches = strategy in ("adaptive", "learned")
+    m = edges.count() * sources.count() if switches else 0
     n = edges.select("src").union(edges.select("dst")).distinct().count()
-
-    def step(state: DataFrame, k: int) -> DataFrame:
-        full = strategy == "full"
-        if strategy == "adaptive":
-            active = state.filter(F.col("changed") == k - 1).join(links, F.col("v") == F.col("src")).count()
-            full = 2 * active >= m
-        here = state if full else state.filter(F.col("changed") == k - 1)
-        offers = links.join(here.select("source", F.col("v").alias("src"), F.col("dist").alias("d")), "src").groupBy(
-            "source", F.col("dst").alias("v")
-        ).agg(F.min(F.col("d") + F.col("w")).alias("offer"))
-        better = F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist")))
-        return state.join(offers, ["source", "v"], "full").select(
-            "source", "v", F.when(better, F.col("offer")).otherwise(F.col("dist")).cast(kind).alias("dist"),
-            F.when(better, F.lit(k)).otherwise(F.col("changed")).alias("changed"),
-        )
-
+    # n - 1 rounds settle every distance, and twice as many where rows wait; a later change proves a cycle
+    most = (2 if strategy in ("shuffled", "potential") else 1) * (n + 1)
+    eta, spent = 2.0, {True: [0.0, 0.0], False: [0.0, 0.0]}
+    at = F.col("id").cast("long")
+    start = sources.select(at.alias("source"), at.alias("v"), F.lit(0).cast(kind).alias("dist"))
+    known = Levels(start, "sssp")
     try:
-        at = F.col("id").cast("long")
-        start = sources.select(at.alias("source"), at.alias("v"), F.lit(0).cast(kind).alias("dist"), F.lit(0).alias("changed"))
-        # n - 1 rounds settle every distance; a change in the n-th proves a cycle.
-        found, _, settled = iterate(start, step, lambda s, k: s.filter(F.col("changed") == k).isEmpty(), n + 1, "sssp")
+        pending = known.append(start).withColumn("gain", F.lit(None).cast(kind))
+        for k in range(1, most + 1):
+            state = known.all().groupBy("source", "v").agg(F.min("dist").alias("dist"))
+            here, wait, full, active, began = pending, None, strategy == "full", m, time.perf_counter()
+            if switches:
+                active = pending.join(links, F.col("v") == F.col("src")).count()
+                full = eta * active >= m
+            if strategy == "shuffled":
+                now = F.pmod(F.xxhash64("v") + k, F.lit(2)) == 0
+                here, wait = pending.filter(now), pending.filter(~now)
+            elif strategy == "potential" and k % 2:
+                # rows that gained most since they were last relaxed go first, new ones before all
+                mean = pending.agg(F.avg("gain")).first()[0]
+                late = F.col("gain") < F.lit(mean) if mean is not None else F.lit(False)
+                here, wait = pending.filter(~F.coalesce(late, F.lit(False))), pending.filter(F.coalesce(late, F.lit(False)))
+            here = (state if full else here).select("source", F.col("v").alias("src"), F.col("dist").alias("d"))
+            offers = links.join(here, "src").groupBy("source", F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("w")).cast(kind).alias("offer"))
+            better = offers.join(state, ["source", "v"], "left").filter("offer is not null and (dist is null or offer < dist)")
+            changed = materialize(better.select("source", "v", F.col("offer").alias("dist"), (F.col("dist") - F.col("offer")).alias("gain")), "changed")
+            if switches:
+                spent[full] = [spent[full][0] + time.perf_counter() - began, spent[full][1] + (m if full else active)]
+                if strategy == "learned" and min(spent[True][1], spent[False][1]) > 0:
+                    cost = {side: t / arcs for side, (t, arcs) in spent.items()}
+                    eta = min(8.0, max(1.0, cost[False] / cost[True]))
+            after = changed
+            if wait is not None:
+                after = materialize(changed.union(wait.join(changed.select("source", "v"), ["source", "v"], "left_anti")), "pending")
+            if after.isEmpty():
+                break
+            known.append(changed.select("source", "v", "dist"))
+            if known.n >= MERGE_AT:
+                known = known.merged(lambda rows: rows.groupBy("source", "v").agg(F.min("dist").alias("dist")))
+            pending = after
+        else:
+            raise NegativeCycle("a negative cycle is reachable from the source")
     finally:
         links.unpersist()
-    if not settled:
-        raise NegativeCycle("a negative cycle is reachable from the source")
-    return found.select("source", "v", "dist")
+    return known.all().groupBy("source", "v").agg(F.min("dist").alias("dist"))
 
 
 def dijkstra(arcs: dict, source, target=None) -> dict:

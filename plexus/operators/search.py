@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexus.operators.paths import KERNEL_EDGES, sssp, sssp_many
+from plexus.operators.paths import KERNEL_EDGES, dijkstra, sssp, sssp_many
 from plexus.plans.loops import Levels
 from plexus.plans.tables import materialize
 
@@ -30,6 +30,8 @@ def farthest_landmarks(edges: DataFrame, k: int = LANDMARKS) -> DataFrame:
     farthest from all before it (ties to the smaller id); fewer if the reached nodes run out."""
     pairs = materialize(edges.select("src", "dst", "w"), "edges")
     first = pairs.agg(F.min(F.least("src", "dst"))).first()[0]
+    if _in_one_task(pairs):
+        return _landmark_kernel(pairs, [first], k)
     out, at = None, first
     for nth in range(k):
         found = sssp(pairs, at).select(F.lit(at).cast("long").alias("landmark"), F.lit(nth).alias("nth"), "v", "dist")
@@ -52,13 +54,16 @@ def covering_landmarks(edges: DataFrame, k: int = LANDMARKS, seed: int = 1) -> D
     """
     pairs = materialize(edges.select("src", "dst", "w"), "edges")
     nodes = pairs.select(F.col("src").alias("v")).distinct()
-    drawn = [r["v"] for r in nodes.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(2 * SAMPLED_PAIRS).collect()]
+    mixed = F.pmod(F.pmod(F.col("v"), F.lit(1 << 31)) * 2654435761 + seed * 40503, F.lit(1 << 32))
+    drawn = [r["v"] for r in nodes.orderBy(mixed, "v").limit(2 * SAMPLED_PAIRS).collect()]
     spark = edges.sparkSession
     ends = spark.createDataFrame([(n, s, t) for n, (s, t) in enumerate(zip(drawn[::2], drawn[1::2], strict=False))], "n long, s long, t long")
     far = materialize(sssp_many(pairs, ends.select(F.col("s").alias("id")).union(ends.select("t"))), "ends")
     a, b = (far.select(F.col("source").alias(x), "v", F.col("dist").alias(f"d{x}")) for x in ("s", "t"))
     gain = ends.join(a, "s").join(b, ["t", "v"]).groupBy("v").agg(F.sum(F.abs(F.col("ds") - F.col("dt"))).alias("gain"))
     chosen = [r["v"] for r in gain.orderBy(F.desc("gain"), "v").limit(max(1, k // 2)).collect()]
+    if _in_one_task(pairs):
+        return _landmark_kernel(pairs, chosen, k)
     out = None
     for nth in range(k):
         if nth >= len(chosen):
@@ -74,6 +79,37 @@ def covering_landmarks(edges: DataFrame, k: int = LANDMARKS, seed: int = 1) -> D
     return out.all()
 
 
+def _in_one_task(edges: DataFrame) -> bool:
+    return edges.count() <= KERNEL_EDGES and edges.filter("w < 0").isEmpty()
+
+
+def _landmark_kernel(edges: DataFrame, chosen: list, k: int) -> DataFrame:
+    """``(landmark, nth, v, dist)``: the chosen nodes, then the farthest ones, in one task."""
+    kind = edges.schema["w"].dataType.simpleString()
+
+    def run(frames):
+        arcs = defaultdict(list)
+        for f in frames:
+            for u, v, w in zip(f.src.tolist(), f.dst.tolist(), f.w.tolist(), strict=True):
+                arcs[u].append((v, w))
+        near: dict = {}
+        for nth in range(k):
+            if nth < len(chosen):
+                at = chosen[nth]
+            else:
+                rest = [(-d, v) for v, d in near.items() if v not in used]
+                if not rest:
+                    break
+                at = min(rest)[1]
+            used = {at} if not nth else used | {at}
+            found = dijkstra(arcs, at)
+            for v, d in found.items():
+                near[v] = min(d, near.get(v, d))
+            yield pd.DataFrame({"landmark": at, "nth": nth, "v": list(found), "dist": list(found.values())})
+
+    return materialize(edges.coalesce(1).mapInPandas(run, f"landmark long, nth int, v long, dist {kind}"), "landmarks")
+
+
 def landmark_bounds(landmarks: DataFrame, queries: DataFrame, active: int | None = None) -> DataFrame:
     """``(src, dst, bound)``: the largest ``|d(L, src) - d(L, dst)|``, a lower bound of the distance
     in a symmetric graph; with ``active`` over that many best landmarks, which is the same."""
@@ -168,24 +204,23 @@ def search(edges: DataFrame, queries: DataFrame, strategy: str = "astar", points
 
     ``points(id, x, y)`` give the straight-line bound (zero without them, which is a plain search);
     ``landmarks`` as made above serve the landmark strategies, ``ACTIVE`` of them for each query.
-    The graph may have at most ``KERNEL_EDGES`` edges.
+    The graph, the points and the landmarks' distances may have at most ``KERNEL_EDGES`` rows each.
     """
     kind, weight, tie, both = STRATEGIES[strategy]
-    if edges.count() > KERNEL_EDGES:
-        raise ValueError("too many edges for a task; use paths.sssp")
-    arcs, back = defaultdict(list), defaultdict(list)
-    for r in edges.select("src", "dst", "w").collect():
-        arcs[r["src"]].append((r["dst"], r["w"]))
-        back[r["dst"]].append((r["src"], r["w"]))
-    place = {r["id"]: (r["x"], r["y"]) for r in points.collect()} if points is not None else {}
-    table: dict = defaultdict(dict)
-    if kind == "landmark":
-        for r in landmarks.select("landmark", "v", "dist").collect():
-            table[r["landmark"]][r["v"]] = r["dist"]
-    shared = edges.sparkSession.sparkContext.broadcast((dict(arcs), dict(back), place, dict(table)))
+    shared = edges.sparkSession.sparkContext.broadcast((
+        _columns(edges, "src", "dst", "w"), _columns(points, "id", "x", "y") if points is not None else None,
+        _columns(landmarks, "landmark", "v", "dist") if kind == "landmark" else None,
+    ))
 
     def run(frames):
-        arcs, back, place, table = shared.value
+        links, spots, marked = shared.value
+        arcs, back, table = defaultdict(list), defaultdict(list), defaultdict(dict)
+        for s, t, w in zip(*(c.tolist() for c in links), strict=True):
+            arcs[s].append((t, w))
+            back[t].append((s, w))
+        place = {i: (x, y) for i, x, y in zip(*(c.tolist() for c in spots), strict=True)} if spots else {}
+        for name, v, d in zip(*(c.tolist() for c in marked), strict=True) if marked else ():
+            table[name][v] = d
 
         def plane(goal):
             gx, gy = place.get(goal, (0.0, 0.0))
@@ -207,6 +242,36 @@ def search(edges: DataFrame, queries: DataFrame, strategy: str = "astar", points
     return queries.select("src", "dst").mapInPandas(run, "src long, dst long, cost double, expanded long, generated long")
 
 
+def _columns(rows: DataFrame, *names: str) -> list:
+    """Columns as arrays, their number of rows checked before they come to the driver."""
+    if rows.count() > KERNEL_EDGES:
+        raise ValueError("too many rows for a task; use paths.sssp")
+    table = rows.select(*names).toArrow()
+    return [table[c].to_numpy() for c in names]
+
+
+def batch_summary(edges: DataFrame, queries: DataFrame, strategies: list[str], points: DataFrame | None = None,
+                  landmarks: DataFrame | None = None, covering: DataFrame | None = None) -> DataFrame:
+    """``(strategy, pairs, mean_cost, mean_expanded, mean_generated, worst_ratio, optimal)`` over a batch of queries.
+
+    A name that ends in ``@covering`` runs its strategy on the landmarks chosen by cover.
+    """
+    best, out = None, None
+    for name in ["astar", *[s for s in strategies if s != "astar"]]:
+        plain, _, other = name.partition("@")
+        found = materialize(search(edges, queries, plain, points, covering if other else landmarks), "batch")
+        if best is None:
+            best = found.select("src", "dst", F.col("cost").alias("best"))
+        ratio = F.coalesce(F.col("cost") / F.nullif(F.col("best"), F.lit(0.0)), F.lit(1.0))
+        one = found.join(best, ["src", "dst"]).agg(
+            F.count("*").alias("pairs"), F.round(F.avg("cost"), 6).alias("mean_cost"), F.round(F.avg("expanded"), 6).alias("mean_expanded"),
+            F.round(F.avg("generated"), 6).alias("mean_generated"), F.round(F.max(ratio), 6).alias("worst_ratio"), F.sum((ratio <= 1.001).cast("long")).alias("optimal"),
+        ).select(F.lit(name).alias("strategy"), "*")
+        if name in strategies:
+            out = one if out is None else out.union(one)
+    return out
+
+
 def suboptimality(results: DataFrame, optimum: DataFrame) -> DataFrame:
     """``(src, dst, ratio, optimal)`` against ``optimum(src, dst, best)``; optimal up to 0.1 %."""
     both = results.join(optimum, ["src", "dst"])

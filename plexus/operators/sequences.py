@@ -1,51 +1,19 @@
 """Sequence dynamic programs and entropy coding.
 
-Knapsack and longest common subsequence are single expressions over arrays; Huffman trees are built
+Knapsack and longest common subsequence are expressions of ``plexus.functions``; Huffman trees are built
 per group from its symbol counts, which are aggregated first, so a group costs its alphabet only.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def knapsack(items: Column, capacity: int) -> Column:
-    """Best value of a 0-1 knapsack over an array of ``(w, v)`` structs, for one row.
-
-    The state is the best value for every capacity up to the limit.
-    """
-    zeros = F.array_repeat(F.lit(0).cast("long"), capacity + 1)
-
-    def take(best: Column, item: Column) -> Column:
-        with_item = lambda b, c: F.when(
-            c >= item["w"], F.greatest(b, F.get(best, (c - item["w"]).cast("int")) + item["v"])
-        ).otherwise(b)
-        return F.transform(best, with_item)
-
-    return F.element_at(F.aggregate(items, zeros, take), -1)
-
-
-def lcs_length(x: Column, y: Column) -> Column:
-    """Length of the longest common subsequence of two strings, for one row."""
-    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-    ys = chars(y)
-    start = F.array_repeat(F.lit(0), F.length(y) + 1)
-
-    def row(best: Column, c: Column) -> Column:
-        # state: the new row so far; best[j] is the old row
-        grown = F.aggregate(
-            F.sequence(F.lit(1), F.length(y)), F.array(F.lit(0)),
-            lambda made, j: F.concat(made, F.array(F.when(
-                F.get(ys, j - 1) == c, F.get(best, j - 1) + 1
-            ).otherwise(F.greatest(F.get(best, j), F.get(made, j - 1))))),
-        )
-        return F.when(F.length(y) > 0, grown).otherwise(best)
-
-    return F.element_at(F.aggregate(chars(x), start, row), -1)
+from plexus.functions import knapsack, lcs_length  # noqa: F401  part of this module's interface
 
 
 def symbol_counts(texts: DataFrame, group: str, text: str) -> DataFrame:
@@ -90,25 +58,29 @@ def encode(texts: DataFrame, table: DataFrame, group: str, text: str) -> DataFra
 
 
 def decode(coded: DataFrame, table: DataFrame, group: str) -> DataFrame:
-    """``coded`` with ``decoded``: the text that the bits stand for, by walking them once."""
-    kind = {f.name: f.dataType.simpleString() for f in coded.schema}
-
-    def walk(key, bits: pd.DataFrame, book: pd.DataFrame) -> pd.DataFrame:
-        back = dict(zip(book.code, book.symbol, strict=True))
+    """``coded`` with ``decoded``: the text that the bits stand for, by walking them once.
 
-        def read(line: str) -> str:
-            out, held = [], ""
-            for bit in line:
-                held += bit
-                if held in back:
-                    out.append(back[held])
-                    held = ""
-            return "".join(out)
-
-        return bits.assign(decoded=bits.bits.map(read))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in kind.items()) + ", decoded string"
-    return coded.groupBy(group).cogroup(table.groupBy(group)).applyInPandas(walk, schema)
+    Rows are decoded where they stand, with their group's code joined to them; no group comes together.
+    """
+    book = table.groupBy(group).agg(F.collect_list(F.struct("code", "symbol")).alias("book"))
+    joined = coded.join(book, group, "left")
+
+    def walk(lines: pd.Series, books: pd.Series) -> pd.Series:
+        held: dict = {}
+        out = []
+        for line, entries in zip(lines, books, strict=True):
+            if line is None:
+                out.append(None)
+                continue
+            key = tuple((e["code"], e["symbol"]) for e in entries) if entries is not None else ()
+            if key not in held:
+                held[key] = re.compile("|".join(c for c, _ in key)), dict(key)
+            cut, symbol = held[key]
+            # codes are free of prefixes, so the first that fits is the only one
+            out.append("".join([symbol[c] for c in cut.findall(line)]) if key else "")
+        return pd.Series(out, dtype="object")
+
+    return joined.withColumn("decoded", F.pandas_udf(walk, "string")(F.col("bits"), F.col("book"))).drop("book")
 
 
 def sizes(table: DataFrame, group: str) -> DataFrame:

@@ -122,7 +122,94 @@ def _prim(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-_KERNELS = {"kruskal": _kruskal, "heap": _kruskal_heap, "prim": _prim}
+class FibonacciHeap:
+    """Keys with handles: trees of heaps that are only put in order when the least one leaves.
+
+    A node is ``[key, item, parent, children, marked]``.
+    """
+
+    def __init__(self) -> None:
+        self.roots: set[int] = set()
+        self.nodes: dict[int, list] = {}
+
+    def push(self, item, key) -> None:
+        """Insert the item, or lower its key if the new one is smaller."""
+        node = self.nodes.get(item)
+        if node is None:
+            self.nodes[item] = [key, item, None, set(), False]
+            self.roots.add(item)
+        elif key < node[0]:
+            node[0] = key
+            up = node[2]
+            if up is not None and key < self.nodes[up][0]:
+                self._cut(item)
+
+    def _cut(self, item) -> None:
+        """Move a node to the roots, and with it every ancestor that has lost a child before."""
+        while True:
+            node = self.nodes[item]
+            up = node[2]
+            node[2], node[4] = None, False
+            self.roots.add(item)
+            if up is None:
+                return
+            self.nodes[up][3].discard(item)
+            if self.nodes[up][2] is None:
+                return
+            if not self.nodes[up][4]:
+                self.nodes[up][4] = True
+                return
+            item = up
+
+    def pop(self):
+        """``(key, item)`` of the least key; its children become roots, and roots of a rank unite."""
+        least = min(self.roots, key=lambda i: self.nodes[i][0])
+        key, _, _, children, _ = self.nodes.pop(least)
+        self.roots.discard(least)
+        for c in children:
+            self.nodes[c][2] = None
+            self.roots.add(c)
+        ranks: dict[int, int] = {}
+        for root in list(self.roots):
+            rank = len(self.nodes[root][3])
+            while rank in ranks:
+                other = ranks.pop(rank)
+                if self.nodes[other][0] < self.nodes[root][0]:
+                    root, other = other, root
+                self.nodes[other][2] = root
+                self.nodes[root][3].add(other)
+                rank += 1
+            ranks[rank] = root
+        self.roots = set(ranks.values())
+        return key, least
+
+    def __bool__(self) -> bool:
+        return bool(self.nodes)
+
+
+def _prim_fibonacci(rows: list[tuple]) -> list[tuple]:
+    arcs: dict = {}
+    for w, u, v in rows:
+        arcs.setdefault(u, []).append(((w, u, v), v))
+        arcs.setdefault(v, []).append(((w, u, v), u))
+    seen, out = set(), []
+    for start in sorted(arcs):
+        if start in seen:
+            continue
+        heap = FibonacciHeap()
+        heap.push(start, (float("-inf"), start, start))
+        while heap:
+            (w, u, v), at = heap.pop()
+            seen.add(at)
+            if u != v:
+                out.append((u, v, w))
+            for edge, to in arcs[at]:
+                if to not in seen:
+                    heap.push(to, edge)
+    return out
+
+
+_KERNELS = {"kruskal": _kruskal, "heap": _kruskal_heap, "prim": _prim, "prim_fibonacci": _prim_fibonacci}
 STRATEGIES = ("boruvka", "contract", "strata", *_KERNELS)
 
 

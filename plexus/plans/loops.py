@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexus.plans.tables import materialize, release, shared_root
+from plexus.plans.tables import materialize, release, remove, shared_root
 
 
 class Levels:
@@ -25,6 +25,13 @@ class Levels:
         self.n += 1
         return self.spark.read.schema(self.schema).parquet(path)
 
+    def merged(self, how: Callable[[DataFrame], DataFrame]) -> Levels:
+        """A table of one level that holds ``how`` of all; the old levels are deleted."""
+        out = Levels(self.all(), "merged")
+        out.append(how(self.all()))
+        remove(self.spark, self.root)
+        return out
+
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{k}" for k in range(self.n)])
 

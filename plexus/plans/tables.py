@@ -49,11 +49,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def release(df: DataFrame | None) -> None:
     """Delete a materialized table that no later plan reads."""
     path = getattr(df, "_plexus_path", None)
-    if path is None:
-        return
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+    if path is not None:
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -63,9 +66,3 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
-
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lower the Arrow batch size so that a batch of long texts stays within a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexus.operators.graph import normalise, symmetric, synth_weight
+from plexus.functions import synth_weight
+from plexus.operators.graph import normalise, symmetric
 from plexus.operators.sorting import rank_all, top_by_count
 
 # Hubs kept of a transfer file, the clamp of its weights, the rating of no trust at all.
@@ -40,6 +41,11 @@ def snap(spark: SparkSession, path: str) -> DataFrame:
     return symmetric(e.filter("u is not null and v is not null and u <> v"))
 
 
+def snap_road(spark: SparkSession, path: str) -> DataFrame:
+    """Road network as ``u v``: undirected edges ``(u, v, w)`` of weight 1, each once."""
+    return normalise(snap(spark, path).select(F.col("src").alias("u"), F.col("dst").alias("v"), "w"))
+
+
 def snap_weighted(spark: SparkSession, path: str) -> DataFrame:
     """Undirected edges ``(u, v, w)`` of ``u v [w [time]]``: the least ``|w|`` of parallels, and a
     weight made from the ends where there is none or it is 0."""
@@ -177,7 +183,7 @@ def dense_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.join(a, "src").join(b, "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "w"), names
 
 
-FORMATS = {"snap": snap, "snap_weighted": snap_weighted, "matrix_market": matrix_market, "signed_trust": signed_trust, "transfers": transfers}
+FORMATS = {"snap": snap, "snap_road": snap_road, "snap_weighted": snap_weighted, "matrix_market": matrix_market, "signed_trust": signed_trust, "transfers": transfers}
 
 
 def load(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -186,6 +192,9 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
         kind = "matrix_market" if path.endswith(".mtx") else "signed_trust" if path.endswith(".csv") else "snap_weighted"
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target):
+        raise FileNotFoundError(path)
     return FORMATS[kind](spark, path)
 
 
