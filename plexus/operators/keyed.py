@@ -92,6 +92,12 @@ def stats(store: DataFrame) -> DataFrame:
 
 
 def probe_lengths(store: DataFrame, capacity: int) -> DataFrame:
+    """``(slot, n)``: keys of any type by home slot of a power-of-two table."""
+    home = F.pmod(F.shiftrightunsigned(F.xxhash64("k"), 7), F.lit(capacity))
+    return store.groupBy(home.alias("slot")).agg(F.count("*").alias("n"))
+
+
+def probes(store: DataFrame, capacity: int) -> DataFrame:
     """``(k, home, probe)``: how far each integer key lies from its home slot in a table of a power of
     two of slots, probed slot by slot, where a key farther from home goes before a nearer one.
 
@@ -115,8 +121,8 @@ def probe_stats(store: DataFrame) -> DataFrame:
     """``stats`` with the longest and the mean probe."""
     sizes = stats(store)
     capacity = sizes.first()["capacity"]
-    probes = probe_lengths(store, capacity).agg(F.coalesce(F.max("probe"), F.lit(0)).cast("long").alias("max_probe"), F.round(F.coalesce(F.avg("probe"), F.lit(0.0)), 6).alias("mean_probe"))
-    return sizes.crossJoin(F.broadcast(probes))
+    found = probes(store, capacity).agg(F.coalesce(F.max("probe"), F.lit(0)).cast("long").alias("max_probe"), F.round(F.coalesce(F.avg("probe"), F.lit(0.0)), 6).alias("mean_probe"))
+    return sizes.crossJoin(F.broadcast(found))
 
 
 def shrunk(store: DataFrame, capacity: int) -> int:

@@ -104,17 +104,17 @@ def top_per_group(rows: DataFrame, group: str, k: int, *keys: Column) -> DataFra
 KNN_BLOCK_BYTES, KNN_CELLS = 8 << 20, 1 << 21
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, block_bytes: int = KNN_BLOCK_BYTES) -> DataFrame:
+def knn(points: DataFrame, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """Exact ``k`` nearest ``points(id, x)`` of each of ``queries(id, x)`` by squared distance.
 
     Returns ``(query_id, rank, id, dist)``, ties to the smaller id, a point itself left out.  Queries
-    go out in blocks of bounded bytes, one block after the other.  A task finds the candidates of a
+    go out in blocks of bounded bytes, or of about ``block`` queries, one block after the other.  A task finds the candidates of a
     batch of points by a matrix product, measures those exactly, and sends ``k`` rows for each query.
     """
     asked = materialize(queries.select(F.col("id").cast("long").alias("query_id"), F.col("x").cast("array<double>").alias("q")), "asked")
     n, width = asked.agg(F.count("*"), F.max(F.size("q"))).first()
     spark, size = points.sparkSession, 8 * (width or 1) * n
-    blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
+    blocks = -(-n // block) if block else 1 if size <= KNN_BLOCK_BYTES else -(-2 * size // KNN_BLOCK_BYTES)
     base = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")).filter("x is not null")
     kind = "query_id long, id long, dist double"
     found = Levels(spark.createDataFrame([], kind), "knn")
