@@ -230,6 +230,12 @@ def _hits(block: Phrases, seg: Segment) -> dict[int, tuple[list, list]]:
     return out
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch one at a time, so that one segment at once is copied."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 def _report(shared):
     """A row per document of each segment: its hit words, the items it holds and the hit spans of words."""
 
@@ -238,7 +244,7 @@ def _report(shared):
             kind = b.schema.field("ids").type.value_type
             schema = pa.schema([("doc_id", kind), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
                                 ("items", pa.list_(pa.string())), ("spans", _SPANS_ARROW)])
-            for row in b.to_pylist():
+            for row in _rows(b):
                 found, out = _hits(shared.value, Segment(row)), []
                 for d, (i, k, n) in enumerate(zip(row["ids"], row["keys"], row["n_words"], strict=True)):
                     spans, items = found.get(d, ([], []))
@@ -254,7 +260,7 @@ def _only_hits(shared):
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 found = _hits(shared.value, Segment(row)).items()
                 yield pa.RecordBatch.from_pylist([{"segment": row["segment"], "nth": d, "spans": s, "items": i} for d, (s, i) in found], schema=schema)
 
