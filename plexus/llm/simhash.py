@@ -40,7 +40,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, LongType
 
 from plexus.operators.components import connected_components
-from plexus.plans.tables import materialize, maybe_broadcast, release
+from plexus.plans.tables import drop_shuffles, materialize, maybe_broadcast, release
 from plexus.plans.workers import give_back, tidy
 
 RADIUS = 3
@@ -69,6 +69,8 @@ FEW_LINKS = 1 << 18
 LISTED = 32
 #: Members that one search unit takes from a shard; larger shards split into pairs of groups.
 UNIT = 4096
+#: Pairs of members, or words of their sketches, that a task compares at once.
+PARTNERS = 1 << 20
 #: Frontier entries (query, tree node) that a search step holds at once.
 FRONTIER = 1 << 20
 
@@ -424,6 +426,74 @@ def _unit_matches(table: pa.Table, similarity: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch's bits, or those of several in rows, folded to so many words."""
+    return np.bitwise_xor.reduce(sketch.reshape(*sketch.shape[:-1], -1, words), axis=-2)
+
+
+def _short(sketch: Column) -> Column:
+    """The sketch folded to a bit for each shingle at least, the size left in front."""
+
+    def cut(sketches: pa.Array) -> pa.Array:
+        out = []
+        for v in sketches:
+            x = np.frombuffer(v.as_buffer(), "<u8")
+            words = min(len(x) - 1, max(1, (1 << (max(1, int(x[0])) - 1).bit_length()) // 64))
+            out.append(x[:1].tobytes() + _fold(x[1:], words).tobytes())
+        return pa.array(out, pa.binary())
+
+    return arrow_udf(cut, BinaryType())(sketch)
+
+
+def _pairs_of(unit: np.ndarray):
+    """Yield (earlier, later) row numbers of all pairs within the units of sorted rows, bounded numbers at once."""
+    lead = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    long = np.diff(np.append(lead, len(unit)))
+    after = np.repeat(lead + long, long) - np.arange(len(unit)) - 1
+    load, start = np.cumsum(after), 0
+    while start < len(unit):
+        stop = max(start + 1, int(np.searchsorted(load, (load[start - 1] if start else 0) + PARTNERS, "right")))
+        n = after[start:stop]
+        p = np.repeat(np.arange(start, stop), n)
+        yield p, p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+        start = stop
+
+
+def _fit(size: np.ndarray, place: np.ndarray, p: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
+    """As ``_fitting``, of rows ``p`` and ``q``."""
+    ratio = np.exp((size[q] - size[p]) / SIZE_STEPS)
+    least = (1 + ratio) * (similarity / (1 + similarity) * 0.998)
+    near = np.abs(size[q] - size[p]) <= _size_window(similarity)
+    return near & (1 - place[p] / PLACE_STEPS >= least) & (ratio * (1 - place[q] / PLACE_STEPS) >= least)
+
+
+def _unit_partners(table: pa.Table, similarity: float) -> pa.RecordBatch:
+    """The rows (unit, side, node, root, size, place, n) that have a partner of another root in their
+    unit which sizes, places of the shared shingle and sketches allow."""
+    unit, side, node, root, size, place = (table[c].to_numpy() for c in ("unit", "side", "node", "root", "size", "place"))
+    sketches = [np.frombuffer(v.as_buffer(), "<u8") for c in table["sketch"].chunks for v in c]
+    exact, width = np.array([v[0] for v in sketches], np.float64), np.array([len(v) - 1 for v in sketches])
+    flat, first = np.concatenate([v[1:] for v in sketches]), np.cumsum(width) - width
+    share = (1 - similarity) / (1 + similarity)
+    two, keep = np.isin(unit, unit[side == 1]), np.zeros(len(unit), bool)
+    for p, q in _pairs_of(unit):
+        met = (root[p] != root[q]) & ((side[p] != side[q]) | ~two[p])
+        p, q = p[met], q[met]
+        met = _fit(size, place, p, q, similarity)
+        p, q = p[met], q[met]
+        p, q = np.where(width[p] <= width[q], p, q), np.where(width[p] <= width[q], q, p)
+        kind = np.stack((width[p], width[q]), axis=1)
+        for low, high in np.unique(kind, axis=0).tolist():
+            some = np.flatnonzero((kind == (low, high)).all(axis=1))
+            for at in range(0, len(some), max(1, PARTNERS // high)):
+                i, j = (x[some[at : at + max(1, PARTNERS // high)]] for x in (p, q))
+                wide = _fold(flat[first[j][:, None] + np.arange(high)], low)
+                gap = np.bitwise_count(flat[first[i][:, None] + np.arange(low)] ^ wide).sum(axis=1, dtype=np.int64)
+                near = gap <= (exact[i] + exact[j]) * share + 1e-6
+                keep[i[near]] = keep[j[near]] = True
+    return pa.RecordBatch.from_pydict({c: table[c].to_numpy()[keep] for c in ("unit", "side", "node", "root", "size", "place", "n")})
+
+
 def _ranks(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a bounded sample of the documents, ascending, and how often."""
     part = min(1 << 20, math.ceil((SAMPLE << 20) / max(1, docs.count())))
@@ -483,9 +553,6 @@ def _possible(similarity: float):
     """Keep the rows ``(a, b, x, y)`` whose sketches do not exclude the similarity."""
     share = (1 - similarity) / (1 + similarity)
 
-    def folded(sketch: np.ndarray, words: int) -> np.ndarray:
-        return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
-
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -495,7 +562,7 @@ def _possible(similarity: float):
             fits = np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6
             for i in np.flatnonzero(fits).tolist():
                 words = min(len(x[i]), len(y[i])) - 1
-                gap = np.bitwise_count(folded(x[i][1:], words) ^ folded(y[i][1:], words)).sum(dtype=np.int64)
+                gap = np.bitwise_count(_fold(x[i][1:], words) ^ _fold(y[i][1:], words)).sum(dtype=np.int64)
                 fits[i] = gap <= (m[i] + n[i]) * share + 1e-6
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
@@ -598,7 +665,7 @@ _MEMBER = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("hub", pa.int
 def _members(shard: np.ndarray, post: np.ndarray, similarity: float) -> dict:
     """Columns of the members that have a partner of fitting size in their shard or one that stands for others.
 
-    Two members alone in a shard also have to fit by the shingle's places.
+    In shards of few members the partner also has to fit by the shingle's places.
     """
     window = _size_window(similarity)
     order = np.lexsort((post["node"], post["size"], shard))
@@ -612,14 +679,16 @@ def _members(shard: np.ndarray, post: np.ndarray, similarity: float) -> dict:
     stands = np.isin(shard, shard[place >= _STANDS])
     keep |= stands
     shard, node, size, place, stands = shard[keep], node[keep], size[keep], place[keep] & (_STANDS - 1), stands[keep]
-    _, first, n = np.unique(shard, return_index=True, return_counts=True)
-    two = first[(n == 2) & ~stands[first]]
-    ratio = np.exp((size[two + 1] - size[two]) / SIZE_STEPS)
-    least = (1 + ratio) * similarity / (1 + similarity) * 0.998
-    far = two[(1 - place[two] / PLACE_STEPS < least) | (ratio * (1 - place[two + 1] / PLACE_STEPS) < least)]
-    keep = np.ones(len(shard), bool)
-    keep[far] = keep[far + 1] = False
-    shard, node, size, place = shard[keep], node[keep], size[keep], place[keep]
+    if len(shard):
+        _, at, n = np.unique(shard, return_inverse=True, return_counts=True)
+        listed = np.flatnonzero((n[at] <= LISTED) & ~stands)
+        keep = np.ones(len(shard), bool)
+        keep[listed] = False
+        for p, q in _pairs_of(shard[listed]) if len(listed) else ():
+            p, q = listed[p], listed[q]
+            met = _fit(size, place, p, q, similarity) & (node[p] != node[q])
+            keep[p[met]] = keep[q[met]] = True
+        shard, node, size, place = shard[keep], node[keep], size[keep], place[keep]
     order = np.lexsort((_mixed(node, shard.view(np.uint64)), shard))
     shard, node, size, place = shard[order], node[order], size[order], place[order]
     _, first, n = np.unique(shard, return_index=True, return_counts=True)
@@ -646,7 +715,8 @@ def _exact_links(docs: DataFrame, rows: DataFrame, stand: DataFrame, sure: DataF
     ``stand`` has one row ``(node, doc_id, text_key, sketch, early)`` for each node; ``docs`` the texts.
     """
     members = materialize(_early(stand.select("node", "sketch", "early"), similarity), "members")
-    sketches = stand.select("node", "sketch")
+    drop_shuffles(docs.sparkSession)
+    sketches = materialize(stand.select("node", _short(F.col("sketch")).alias("sketch")), "sketches")
 
     def sets(asked: DataFrame) -> DataFrame:
         asked = asked.distinct()
@@ -710,20 +780,26 @@ def _exact_links(docs: DataFrame, rows: DataFrame, stand: DataFrame, sure: DataF
     left = rooted(members, links)
     left = materialize(left.join(several(left).filter("n > 2"), "shard").select("shard", "node", "root", "size", "place", "n"), "open")
     release(members)
-    few = left.filter(F.col("n") <= LISTED)
-    met = few.alias("p").join(few.alias("q"), (F.col("p.shard") == F.col("q.shard")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _fitting(similarity))
+    drop_shuffles(docs.sparkSession)
+    # at size such shards hold most texts many times: sketches, dealt by member, say who needs a check there
+    units = _units(left.join(sketches, "node"), F.ceil(F.col("n") / UNIT), "root", "size", "place", "n", "sketch")
+    asked = materialize(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(
+        tidy(_whole_units(lambda t: _unit_partners(t, similarity), 2 * UNIT)), "unit long, side int, node long, root long, size int, place int, n long"
+    ), "asked")
+    release(left)
+    drop_shuffles(docs.sparkSession)
+    few = asked.filter(F.col("n") <= LISTED)
+    met = few.alias("p").join(few.alias("q"), (F.col("p.unit") == F.col("q.unit")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _fitting(similarity))
     links = confirmed(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")), links, False)
-    many = left.filter(F.col("n") > LISTED)
-    if many.isEmpty():
-        return links
-    held = sets(many.select("node"))
-    units = _units(many, F.ceil(F.col("n") / UNIT), "root").join(held, "node")
-    matched = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(
-        tidy(_whole_units(lambda t: _unit_matches(t, similarity), 2 * UNIT)), "a long, b long"
-    )
-    links = links.union(materialize(matched, "matched"))
-    for done in (left, held):
-        release(done)
+    many = asked.filter(F.col("n") > LISTED).select("unit", "side", "node", "root")
+    if not many.isEmpty():
+        held = sets(many.select("node"))
+        matched = many.join(held, "node").repartition("unit").sortWithinPartitions("unit").mapInArrow(
+            tidy(_whole_units(lambda t: _unit_matches(t, similarity), 2 * UNIT)), "a long, b long"
+        )
+        links = links.union(materialize(matched, "matched"))
+        release(held)
+    release(asked)
     return links
 
 
@@ -766,6 +842,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, repeats = nodes.count(), others.count()
     stand = rows.join(maybe_broadcast(others, repeats, 24), "row", "left_anti") if repeats else rows
     sure = materialize(similar_pairs(stand.select("node", "fp"), n, similarity, 64 * lanes), "sure")
+    drop_shuffles(docs.sparkSession)
     roots = materialize(connected_components(_exact_links(docs, rows, stand, sure, width, similarity), one_task=FEW_LINKS), "roots")
     rooted = nodes.join(maybe_broadcast(roots, roots.count(), 40), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     named = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")

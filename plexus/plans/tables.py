@@ -7,6 +7,7 @@ by ``spark.checkpoint.dir``.  A lost executor then costs a re-read, never a lost
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -59,6 +60,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now.
+
+    It deletes them when the driver's collector finds the plans unused, which on a driver with
+    little to do may be after the disks of a long query are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only while ``rows * row_bytes`` stays under the bound.
 
