@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +17,12 @@ from plexus.operators.graph import normalise
 from plexus.operators.paths import KERNEL_EDGES
 from plexus.plans.loops import Levels
 from plexus.plans.tables import materialize, release
-
+from plexus.plans.workers import tidy
 
 #: Hooking edges of a round that one task labels; more are contracted in rounds.
 HOOKS_IN_ONE_TASK = 500_000
+#: Edges of a part whose forest a kernel leaves, on average, where a graph is too large for one task.
+PART_EDGES = 500_000
 
 
 class UnionFind:
@@ -54,13 +57,21 @@ class UnionFind:
 
 
 def _boruvka(edges: DataFrame, contract: bool) -> DataFrame:
+    """The forest of ``edges`` by rounds of hooking until no edge is left."""
+    chosen, state = _hooked(edges, contract, 0)
+    release(state)
+    return chosen.all() if chosen.n else edges.select("u", "v", "w").limit(0)
+
+
+def _hooked(edges: DataFrame, contract: bool, rest: int) -> tuple[Levels, DataFrame]:
     """Every component hooks to the other end of its least edge at once; then edges are renamed.
 
-    With ``contract`` only the least of the edges between two components is carried on.
+    With ``contract`` only the least of the edges between two components is carried on.  Returns the
+    edges chosen and, once they are at most ``rest``, those between components, ``(a, b, w, u, v)``.
     """
     state = materialize(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", "u", "v"), "mst")
     chosen = Levels(edges.select("u", "v", "w"), "forest")
-    while not state.isEmpty():
+    while state.count() > rest:
         key = F.struct("w", "u", "v")
         ends = state.select(F.col("a").alias("c"), key.alias("e")).union(state.select(F.col("b").alias("c"), key.alias("e")))
         least = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
@@ -78,7 +89,7 @@ def _boruvka(edges: DataFrame, contract: bool) -> DataFrame:
         release(state)
         release(root)
         state = after
-    return chosen.all() if chosen.n else edges.select("u", "v", "w").limit(0)
+    return chosen, state
 
 
 def _kruskal(rows: list[tuple]) -> list[tuple]:
@@ -213,16 +224,55 @@ _KERNELS = {"kruskal": _kruskal, "heap": _kruskal_heap, "prim": _prim, "prim_fib
 STRATEGIES = ("boruvka", "contract", "strata", *_KERNELS)
 
 
-def _one_task(edges: DataFrame, strategy: str) -> DataFrame:
-    size, pick = edges.count(), _KERNELS[strategy]
-    if size > KERNEL_EDGES:
-        raise ValueError(f"{size} edges are too many for one task; use boruvka or contract")
+def _forest_of(table: pa.Table, strategy: str) -> pa.RecordBatch:
+    """The forest of rows ``(a, b, w, u, v)`` between ``a`` and ``b``, by a kernel on ranks and dense ids."""
+    w, u, v = (table[c].to_numpy() for c in ("w", "u", "v"))
+    order = np.lexsort((v, u, w))
+    _, at = np.unique(np.concatenate((table["a"].to_numpy()[order], table["b"].to_numpy()[order])), return_inverse=True)
+    a, b = at[: len(order)].tolist(), at[len(order) :].tolist()
+    kept = order[np.array([k for _, _, k in _KERNELS[strategy](list(zip(range(len(order)), a, b, strict=True)))], np.int64)]
+    return table.take(pa.array(kept)).combine_chunks().to_batches()[0]
+
 
-    def run(frames):
-        rows = [r for f in frames for r in zip(f.w.tolist(), f.u.tolist(), f.v.tolist(), strict=True)]
-        yield pd.DataFrame(pick(rows), columns=["u", "v", "w"])
+def _kernel_parts(edges: DataFrame, strategy: str, parts: int) -> DataFrame:
+    """The forests of so many parts of ``(a, b, w, u, v)``; an edge outside its part's is in no forest of all."""
 
-    return edges.select("u", "v", "w").coalesce(1).mapInPandas(run, edges.select("u", "v", "w").schema)
+    columns = edges.columns
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield _forest_of(pa.Table.from_batches(held), strategy).select(columns)
+
+    if parts == 1:
+        return edges.coalesce(1).mapInArrow(tidy(run), edges.schema)
+    # all edges of few nodes leave a small forest; the side with more nodes has fewer edges at each
+    ends = edges.agg(F.approx_count_distinct("a").alias("a"), F.approx_count_distinct("b").alias("b")).first()
+    keys = ("a", "b") if ends["a"] >= ends["b"] else ("b", "a")
+    return edges.repartitionByRange(parts, *keys).mapInArrow(tidy(run), edges.schema)
+
+
+def _one_task(edges: DataFrame, strategy: str, most: int | None = None) -> DataFrame:
+    """The forest by a kernel that holds at most ``most`` edges.
+
+    Of more edges the kernel first leaves the forests of parts, in rounds while they shrink.  What is
+    still too much has its components hooked until the rest fits.
+    """
+    most = most or KERNEL_EDGES
+    rows = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", "u", "v")
+    chosen, size = None, edges.count()
+    while size > most:
+        fewer = materialize(_kernel_parts(rows, strategy, -(-size // min(most, PART_EDGES))), "forests")
+        release(rows)
+        before, rows, size = size, fewer, fewer.count()
+        if size > most and 2 * size > before:
+            chosen, rest = _hooked(rows.select("u", "v", "w"), True, most)
+            release(rows)
+            rows, size = rest, rest.count()
+    if not size:
+        return chosen.all() if chosen else edges.select("u", "v", "w")
+    last = _kernel_parts(rows, strategy, 1).select(*edges.columns)
+    return chosen.all().union(last) if chosen else last
 
 
 def strata(edges: DataFrame, least: int = 200) -> tuple[DataFrame, int]:

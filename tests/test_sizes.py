@@ -21,3 +21,16 @@ def test_geometric_meets_cells_once_without_broadcast(spark):
     want = {(u, v) for u, ux, uy in at for v, vx, vy in at if u < v and ((ux - vx) ** 2 + (uy - vy) ** 2) ** 0.5 <= 0.15}
     rows = [(r["u"], r["v"]) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+@pytest.mark.parametrize("strategy", ["kruskal", "heap", "prim", "prim_fibonacci"])
+@pytest.mark.parametrize("nodes, most", [(40, 100), (400, 100)])
+def test_forests_of_more_edges_than_a_task_holds(spark, monkeypatch, strategy, nodes, most):
+    """Parts alone suffice for 40 nodes; 400 have a forest that is larger than a task's edges itself."""
+    monkeypatch.setattr(spanning, "KERNEL_EDGES", most)
+    edges = generators.random_graph(spark, nodes, 900, 3, "clustered", False)
+    edges = edges.union(edges.select(F.col("u") + 1000, F.col("v") + 1000, F.col("w") % 7))
+    found = spanning.spanning_forest(edges, strategy)
+    assert found.columns == ["u", "v", "w"]
+    rows = [(r["w"], min(r["u"], r["v"]), max(r["u"], r["v"])) for r in edges.collect()]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(spanning._kruskal(rows))
