@@ -11,12 +11,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexus.operators.bfs import trace
+from plexus.operators.bfs import bfs, trace
 from plexus.plans.loops import Levels, iterate
 from plexus.plans.tables import materialize
 
 #: Edges that a single task may hold for a kernel strategy.
 KERNEL_EDGES = 5_000_000
+#: Edges of a block, on average, where more are reached than that.
+BLOCK_EDGES = 500_000
 #: Strategies that relax in rounds.
 ROUNDS = ("full", "frontier", "adaptive", "learned", "shuffled", "potential")
 
@@ -37,8 +39,8 @@ def sssp(edges: DataFrame, source: int, strategy: str = "frontier", nodes: DataF
     ``adaptive`` chooses by the share of edges that changed nodes have, ``learned`` sets that share
     by the measured cost of an edge in either kind of round, ``shuffled`` relaxes changed nodes in
     an order drawn by a hash, ``potential`` those first that gained most since they were last
-    relaxed, ``kernel`` runs one task over at most ``KERNEL_EDGES`` edges and needs weights that are
-    not negative.  Negative weights
+    relaxed, ``kernel`` runs one task over at most ``KERNEL_EDGES`` edges, or tasks over blocks of more,
+    and needs weights that are not negative.  Negative weights
     are allowed otherwise; a reachable negative cycle raises ``NegativeCycle``.  A source that
     neither ``nodes`` nor the edges hold raises ``KeyError``.
     """
@@ -130,9 +132,14 @@ def _rounds(edges: DataFrame, sources: DataFrame, strategy: str) -> DataFrame:
     return known.all().groupBy("source", "v").agg(F.min("dist").alias("dist"))
 
 
-def dijkstra(arcs: dict, source, target=None) -> dict:
-    """Distances by the binary heap; with a target it stops there, and others are upper bounds."""
-    dist, heap, settled = {source: 0}, [(0, source)], set()
+def dijkstra(arcs: dict, source, target=None, known: dict | None = None) -> dict:
+    """Distances by the binary heap; with a target it stops there, and others are upper bounds.
+
+    ``known`` distances are started from instead of the source.
+    """
+    dist = {source: 0} if known is None else dict(known)
+    heap, settled = [(d, u) for u, d in dist.items()], set()
+    heapq.heapify(heap)
     while heap:
         d, u = heapq.heappop(heap)
         if u in settled:
@@ -148,11 +155,18 @@ def dijkstra(arcs: dict, source, target=None) -> dict:
 
 
 def _kernel(edges: DataFrame, source: int) -> DataFrame:
-    size = edges.count()
-    if size > KERNEL_EDGES:
-        raise ValueError(f"{size} edges are too many for one task; use a strategy of rounds")
+    """Dijkstra's algorithm in one task, over what the source reaches if all edges are too many, or
+    else over blocks of edges."""
     if not edges.filter("w < 0").isEmpty():
         raise ValueError("negative edge weight")
+    size = edges.count()
+    if size > KERNEL_EDGES:
+        start = edges.sparkSession.createDataFrame([(source,)], "id long")
+        reached = bfs(edges.select("src", "dst"), start).select(F.col("v").alias("src"))
+        edges = materialize(edges.join(reached, "src", "left_semi"), "reached")
+        size = edges.count()
+    if size > KERNEL_EDGES:
+        return _blocks(edges, source, -(-size // BLOCK_EDGES))
     kind = edges.schema["w"].dataType.simpleString()
 
     def run(frames):
@@ -166,6 +180,34 @@ def _kernel(edges: DataFrame, source: int) -> DataFrame:
     return edges.coalesce(1).mapInPandas(run, f"v long, dist {kind}")
 
 
+def _blocks(edges: DataFrame, source: int, blocks: int) -> DataFrame:
+    """Distances by Dijkstra's algorithm inside blocks of nodes, from all that changed, until nothing does."""
+    kind = edges.schema["w"].dataType.simpleString()
+    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(blocks)).alias("block")
+    arcs = materialize(edges.select(block("src"), F.col("src").cast("long"), F.col("dst").cast("long"), "w"), "blocks")
+
+    def run(held, changed):
+        out: dict = {}
+        if len(held) and len(changed):
+            ways = defaultdict(list)
+            for u, v, w in zip(held.src.tolist(), held.dst.tolist(), held.w.tolist(), strict=True):
+                ways[u].append((v, w))
+            start = dict(zip(changed.v.tolist(), changed.dist.tolist(), strict=True))
+            found = dijkstra(ways, None, known=start)
+            out = {v: d for v, d in found.items() if v not in start or d < start[v]}
+        return pd.DataFrame({"v": list(out), "dist": list(out.values())})
+
+    first = edges.sparkSession.createDataFrame([(source,)], "v long").select("v", F.lit(0).cast(kind).alias("dist"))
+    known = Levels(first, "sssp")
+    changed = known.append(first)
+    while not changed.isEmpty():
+        offers = arcs.groupBy("block").cogroup(changed.withColumn("block", block("v")).groupBy("block")).applyInPandas(run, f"v long, dist {kind}")
+        state = known.all().groupBy("v").agg(F.min("dist").alias("best"))
+        better = offers.groupBy("v").agg(F.min("dist").alias("dist")).join(state, "v", "left").filter("best is null or dist < best")
+        changed = known.append(better.select("v", "dist"))
+    return known.all().groupBy("v").agg(F.min("dist").alias("dist"))
+
+
 def has_negative_cycle(edges: DataFrame, source: int) -> bool:
     """Whether a negative cycle is reachable; exact, by one round more than a path can have edges."""
     try:

@@ -34,3 +34,14 @@ def test_forests_of_more_edges_than_a_task_holds(spark, monkeypatch, strategy, n
     assert found.columns == ["u", "v", "w"]
     rows = [(r["w"], min(r["u"], r["v"]), max(r["u"], r["v"])) for r in edges.collect()]
     assert sorted(tuple(r) for r in found.collect()) == sorted(spanning._kruskal(rows))
+
+
+@pytest.mark.parametrize("most", [700, 50])
+def test_kernel_of_more_edges_than_a_task_holds(spark, monkeypatch, most):
+    """Two graphs side by side: what the source reaches fits a task, or is cut into blocks."""
+    monkeypatch.setattr(paths, "KERNEL_EDGES", most)
+    monkeypatch.setattr(paths, "BLOCK_EDGES", 100)
+    one = generators.random_graph(spark, 60, 250, 3)
+    e = one.union(one.select(F.col("u") + 100, F.col("v") + 100, "w"))
+    both = e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").union(e.select("v", "u", "w"))
+    assert sorted(paths.sssp(both, 0, "kernel").collect()) == sorted(paths.sssp(both, 0, "frontier").collect())
