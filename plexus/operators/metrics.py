@@ -96,7 +96,8 @@ def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
     d = running_sums(d.withColumn("both", F.col("up") + F.col("down")), [F.col("size")], {"below": "both"}, inclusive=False)
     ranked = d.select("up", "down", (F.col("below") + (F.col("up") + F.col("down") + 1) / 2).alias("r"))
     s = ranked.agg(F.sum(F.col("up") + F.col("down")).alias("n"), F.sum(F.col("up") * F.col("r")).alias("w_plus"), F.sum(F.col("down") * F.col("r")).alias("w_minus"))
-    n, gap = F.col("n"), F.col("w_plus") - F.col("w_minus")
+    # in double precision: the product leaves the longs at 1.7 million differences
+    n, gap = F.col("n").cast("double"), F.col("w_plus") - F.col("w_minus")
     z = F.signum(gap) * F.greatest(F.lit(0.0), F.abs(gap) / 2 - 0.5) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0)
     return s.select("n", F.round("w_plus", 6).alias("w_plus"), F.round("w_minus", 6).alias("w_minus"), F.round(F.when(n >= 5, z), 6).alias("z"))
 

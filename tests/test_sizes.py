@@ -45,3 +45,18 @@ def test_kernel_of_more_edges_than_a_task_holds(spark, monkeypatch, most):
     e = one.union(one.select(F.col("u") + 100, F.col("v") + 100, "w"))
     both = e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "w").union(e.select("v", "u", "w"))
     assert sorted(paths.sssp(both, 0, "kernel").collect()) == sorted(paths.sssp(both, 0, "frontier").collect())
+
+
+def test_wilcoxon_of_millions_of_differences(spark):
+    rows = spark.range(1_800_000).select(F.lit(0).cast("long").alias("a"), (F.col("id") % 7 - 2).alias("b"))
+    got = metrics.wilcoxon(rows, "a", "b").first()
+    n = rows.filter("b <> 0").count()
+    up, down = {1: 257143, 2: 257143, 3: 257143, 4: 257142}, {1: 257143, 2: 257143}
+    up = {k: rows.filter(F.col("b") == k).count() for k in up}
+    down = {k: rows.filter(F.col("b") == -k).count() for k in down}
+    below = plus = minus = 0
+    for k in sorted(up):
+        rank = below + (up[k] + down.get(k, 0) + 1) / 2
+        plus, minus, below = plus + up[k] * rank, minus + down.get(k, 0) * rank, below + up[k] + down.get(k, 0)
+    z = (abs(plus - minus) / 2 - 0.5) / (n * (n + 1) * (2 * n + 1) / 24) ** 0.5
+    assert (got["n"], got["w_plus"], got["w_minus"]) == (n, plus, minus) and got["z"] == pytest.approx(z, abs=1e-6)
