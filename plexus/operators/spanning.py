@@ -287,18 +287,31 @@ def strata(edges: DataFrame, least: int = 200) -> tuple[DataFrame, int]:
     if k == 1:
         return edges.withColumn("stratum", F.lit(0)), 1
     cuts = sorted(set(edges.stat.approxQuantile("w", [i / k for i in range(1, k)], 0.25 / k)))
-    number = F.lit(0)
-    for c in cuts:
-        number = number + (F.col("w") > F.lit(c)).cast("int")
-    return edges.withColumn("stratum", number), len(cuts) + 1
+    return _numbered(edges, cuts), len(cuts) + 1
+
+
+def _numbered(edges: DataFrame, cuts: list[float]) -> DataFrame:
+    """``edges`` with the number of cuts below their weight as ``stratum``, found by a binary search."""
+    from pyspark.ml.feature import Bucketizer
+
+    # buckets hold their lower end, strata their upper one
+    splits = [float("-inf"), *[-c for c in reversed(cuts)], float("inf")]
+    turned = edges.withColumn("__turned", -F.col("w").cast("double"))
+    found = Bucketizer(splits=splits, inputCol="__turned", outputCol="__bucket", handleInvalid="keep").transform(turned)
+    number = F.when(F.isnan("__turned"), len(cuts)).when(F.col("w").isNotNull(), len(cuts) - F.col("__bucket").cast("int"))
+    return found.withColumn("stratum", number).drop("__turned", "__bucket")
 
 
 def _by_strata(edges: DataFrame, batch: int = 8) -> DataFrame:
-    """Forests of the lightest strata first; heavier edges inside a component never come in."""
+    """Forests of the lightest strata first; heavier edges inside a component never come in.
+
+    Each round takes twice the strata of the one before.
+    """
     cut, n = strata(edges)
     cut = materialize(cut, "strata")
     forest, total = None, cut.select("u").union(cut.select("v")).distinct().count()
-    for low in range(0, n, batch):
+    low = 0
+    while low < n:
         part = cut.filter((F.col("stratum") >= low) & (F.col("stratum") < low + batch)).select("u", "v", "w")
         if forest is not None:
             root = materialize(connected_components(forest.select(F.col("u").alias("a"), F.col("v").alias("b")), one_task=HOOKS_IN_ONE_TASK), "roots")
@@ -308,6 +321,7 @@ def _by_strata(edges: DataFrame, batch: int = 8) -> DataFrame:
                 .filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v", "w")
             )
             part = part.union(forest)
+        low, batch = low + batch, 2 * batch
         forest = materialize(_boruvka(part, True), "forest")
         if forest.count() == total - 1:
             break

@@ -60,3 +60,23 @@ def test_wilcoxon_of_millions_of_differences(spark):
         plus, minus, below = plus + up[k] * rank, minus + down.get(k, 0) * rank, below + up[k] + down.get(k, 0)
     z = (abs(plus - minus) / 2 - 0.5) / (n * (n + 1) * (2 * n + 1) / 24) ** 0.5
     assert (got["n"], got["w_plus"], got["w_minus"]) == (n, plus, minus) and got["z"] == pytest.approx(z, abs=1e-6)
+
+
+def test_hundreds_of_strata(spark):
+    edges = generators.random_graph(spark, 300, 4000, 3).withColumn("w", (F.xxhash64("u", "v") % 100_000).cast("long"))
+    edges = edges.union(spark.createDataFrame([(1, 2, None)], edges.schema))
+    cuts = [float(c) for c in range(-99_000, 99_000, 330)]
+    got = spanning._numbered(edges, cuts).collect()
+    assert all(r["stratum"] == (None if r["w"] is None else sum(r["w"] > c for c in cuts)) for r in got)
+
+
+def test_strata_come_in_doubling_rounds(spark, monkeypatch):
+    """A graph of two components never spans, so every stratum is looked at."""
+    edges = generators.random_graph(spark, 100, 2000, 3, "power", False)
+    edges = edges.union(edges.select(F.col("u") + 1000, F.col("v") + 1000, F.col("w")))
+    rounds, one = [], spanning._boruvka
+    monkeypatch.setattr(spanning, "strata", lambda e: (spanning._numbered(e, [float(c) for c in range(10, 50)]), 41))
+    monkeypatch.setattr(spanning, "_boruvka", lambda *a: rounds.append(1) or one(*a))
+    found = sorted(tuple(r) for r in spanning.spanning_forest(edges, "strata").collect())
+    rows = [(r["w"], min(r["u"], r["v"]), max(r["u"], r["v"])) for r in edges.collect()]
+    assert found == sorted(spanning._kruskal(rows)) and len(rounds) == 3
