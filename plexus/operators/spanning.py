@@ -6,6 +6,8 @@ Edges are ordered by ``(w, u, v)``, which makes the forest unique whatever the s
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,14 @@ from plexus.plans.workers import tidy
 
 #: Hooking edges of a round that one task labels; more are contracted in rounds.
 HOOKS_IN_ONE_TASK = 500_000
+#: Edges that one task's kernel may hold beside its executor's heap; more go through the forests of parts.
+FOREST_EDGES = 2_000_000
+#: Rows of a batch that a kernel sends back.
+OUT_ROWS = 50_000
 #: Edges of a part whose forest a kernel leaves, on average, where a graph is too large for one task.
 PART_EDGES = 500_000
+#: Parents of a root and of an item outside a Fibonacci heap; the latter ends lists of children, too.
+_ROOT, _OUT = -1, -2
 
 
 class UnionFind:
@@ -136,102 +144,144 @@ def _prim(rows: list[tuple]) -> list[tuple]:
 class FibonacciHeap:
     """Keys with handles: trees of heaps that are only put in order when the least one leaves.
 
-    A node is ``[key, item, parent, children, marked]``.
+    Items are whole numbers from 0; arrays of links have a place for each up to the largest.
     """
 
-    def __init__(self) -> None:
-        self.roots: set[int] = set()
-        self.nodes: dict[int, list] = {}
-
-    def push(self, item, key) -> None:
+    def __init__(self, size: int = 0) -> None:
+        self.roots: list[int] = []
+        self.keys: list = []
+        # the parent is _ROOT for roots and _OUT for items that the heap does not hold
+        self.parent, self.child, self.left, self.right = (array("i") for _ in range(4))
+        self.rank, self.marked = bytearray(), bytearray()
+        self.n = 0
+        self._grow(size)
+
+    def _grow(self, size: int) -> None:
+        more = size - len(self.keys)
+        if more > 0:
+            self.keys.extend([None] * more)
+            for links in (self.parent, self.child, self.left, self.right):
+                links.extend(array("i", [_OUT]) * more)
+            self.rank.extend(bytes(more))
+            self.marked.extend(bytes(more))
+
+    def push(self, item: int, key) -> None:
         """Insert the item, or lower its key if the new one is smaller."""
-        node = self.nodes.get(item)
-        if node is None:
-            self.nodes[item] = [key, item, None, set(), False]
-            self.roots.add(item)
-        elif key < node[0]:
-            node[0] = key
-            up = node[2]
-            if up is not None and key < self.nodes[up][0]:
+        if item >= len(self.keys):
+            self._grow(max(item + 1, 2 * len(self.keys)))
+        up = self.parent[item]
+        if up == _OUT:
+            self.keys[item], self.parent[item], self.child[item] = key, _ROOT, _OUT
+            self.rank[item] = self.marked[item] = 0
+            self.roots.append(item)
+            self.n += 1
+        elif key < self.keys[item]:
+            self.keys[item] = key
+            if up >= 0 and key < self.keys[up]:
                 self._cut(item)
 
-    def _cut(self, item) -> None:
+    def _cut(self, item: int) -> None:
         """Move a node to the roots, and with it every ancestor that has lost a child before."""
         while True:
-            node = self.nodes[item]
-            up = node[2]
-            node[2], node[4] = None, False
-            self.roots.add(item)
-            if up is None:
-                return
-            self.nodes[up][3].discard(item)
-            if self.nodes[up][2] is None:
+            up, left, right = self.parent[item], self.left[item], self.right[item]
+            if left >= 0:
+                self.right[left] = right
+            else:
+                self.child[up] = right
+            if right >= 0:
+                self.left[right] = left
+            self.rank[up] -= 1
+            self.parent[item], self.marked[item] = _ROOT, 0
+            self.roots.append(item)
+            if self.parent[up] == _ROOT:
                 return
-            if not self.nodes[up][4]:
-                self.nodes[up][4] = True
+            if not self.marked[up]:
+                self.marked[up] = 1
                 return
             item = up
 
     def pop(self):
         """``(key, item)`` of the least key; its children become roots, and roots of a rank unite."""
-        least = min(self.roots, key=lambda i: self.nodes[i][0])
-        key, _, _, children, _ = self.nodes.pop(least)
-        self.roots.discard(least)
-        for c in children:
-            self.nodes[c][2] = None
-            self.roots.add(c)
-        ranks: dict[int, int] = {}
-        for root in list(self.roots):
-            rank = len(self.nodes[root][3])
-            while rank in ranks:
-                other = ranks.pop(rank)
-                if self.nodes[other][0] < self.nodes[root][0]:
+        keys, parent, child, left, right, ranks = self.keys, self.parent, self.child, self.left, self.right, self.rank
+        least = min(self.roots, key=keys.__getitem__)
+        roots = self.roots
+        roots.remove(least)
+        c = child[least]
+        while c >= 0:
+            parent[c], self.marked[c] = _ROOT, 0
+            roots.append(c)
+            c = right[c]
+        by_rank: dict[int, int] = {}
+        for root in roots:
+            rank = ranks[root]
+            while rank in by_rank:
+                other = by_rank.pop(rank)
+                if keys[other] < keys[root]:
                     root, other = other, root
-                self.nodes[other][2] = root
-                self.nodes[root][3].add(other)
+                c = child[root]
+                parent[other], left[other], right[other], child[root] = root, _OUT, c, other
+                if c >= 0:
+                    left[c] = other
                 rank += 1
-            ranks[rank] = root
-        self.roots = set(ranks.values())
+                ranks[root] = rank
+            by_rank[rank] = root
+        self.roots = list(by_rank.values())
+        key, keys[least], parent[least] = keys[least], None, _OUT
+        self.n -= 1
         return key, least
 
     def __bool__(self) -> bool:
-        return bool(self.nodes)
+        return self.n > 0
 
 
-def _prim_fibonacci(rows: list[tuple]) -> list[tuple]:
-    arcs: dict = {}
-    for w, u, v in rows:
-        arcs.setdefault(u, []).append(((w, u, v), v))
-        arcs.setdefault(v, []).append(((w, u, v), u))
-    seen, out = set(), []
-    for start in sorted(arcs):
-        if start in seen:
+def _prim_fibonacci(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The forest's ranks, of edges between dense ids ``a`` and ``b`` in the order of their ranks.
+
+    Arcs lie in arrays by the node they leave, 8 bytes each.
+    """
+    n = int(max(a.max(), b.max())) + 1 if len(a) else 0
+    ends = np.concatenate((a, b))
+    first = memoryview(np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=n)))))
+    order = np.argsort(ends, kind="stable").astype(np.int32)
+    del ends
+    to = memoryview(np.concatenate((b, a))[order])
+    order[order >= len(a)] -= len(a)
+    rank = memoryview(order)
+    # the least rank that leads to a node from the tree, -1 inside it
+    best, heap, out = array("i", [len(a)]) * n, FibonacciHeap(n), []
+    for start in range(n):
+        if best[start] < 0:
             continue
-        heap = FibonacciHeap()
-        heap.push(start, (float("-inf"), start, start))
+        heap.push(start, -1)
         while heap:
-            (w, u, v), at = heap.pop()
-            seen.add(at)
-            if u != v:
-                out.append((u, v, w))
-            for edge, to in arcs[at]:
-                if to not in seen:
-                    heap.push(to, edge)
+            k, at = heap.pop()
+            best[at] = -1
+            if k >= 0:
+                out.append(k)
+            low, high = first[at], first[at + 1]
+            for k, other in zip(rank[low:high].tolist(), to[low:high].tolist(), strict=True):
+                if k < best[other]:
+                    best[other] = k
+                    heap.push(other, k)
     return out
 
 
-_KERNELS = {"kruskal": _kruskal, "heap": _kruskal_heap, "prim": _prim, "prim_fibonacci": _prim_fibonacci}
+def _on_ranks(kernel: Callable[[list[tuple]], list[tuple]]) -> Callable[[np.ndarray, np.ndarray], list[int]]:
+    """The kernel on tuples as one on the ends of edges in the order of their ranks."""
+    return lambda a, b: [k for _, _, k in kernel(list(zip(range(len(a)), a.tolist(), b.tolist(), strict=True)))]
+
+
+_KERNELS = {"kruskal": _on_ranks(_kruskal), "heap": _on_ranks(_kruskal_heap), "prim": _on_ranks(_prim), "prim_fibonacci": _prim_fibonacci}
 STRATEGIES = ("boruvka", "contract", "strata", *_KERNELS)
 
 
-def _forest_of(table: pa.Table, strategy: str) -> pa.RecordBatch:
+def _forest_of(table: pa.Table, strategy: str) -> pa.Table:
     """The forest of rows ``(a, b, w, u, v)`` between ``a`` and ``b``, by a kernel on ranks and dense ids."""
-    w, u, v = (table[c].to_numpy() for c in ("w", "u", "v"))
-    order = np.lexsort((v, u, w))
-    _, at = np.unique(np.concatenate((table["a"].to_numpy()[order], table["b"].to_numpy()[order])), return_inverse=True)
-    a, b = at[: len(order)].tolist(), at[len(order) :].tolist()
-    kept = order[np.array([k for _, _, k in _KERNELS[strategy](list(zip(range(len(order)), a, b, strict=True)))], np.int64)]
-    return table.take(pa.array(kept)).combine_chunks().to_batches()[0]
+    order = np.lexsort([table[c].to_numpy() for c in ("v", "u", "w")])
+    nodes = np.unique(np.concatenate([table[c].to_numpy() for c in ("a", "b")]))
+    a, b = (np.searchsorted(nodes, table[c].to_numpy()).astype(np.int32)[order] for c in ("a", "b"))
+    del nodes
+    return table.take(pa.array(order[np.array(_KERNELS[strategy](a, b), np.int64)]))
 
 
 def _kernel_parts(edges: DataFrame, strategy: str, parts: int) -> DataFrame:
@@ -242,7 +292,7 @@ def _kernel_parts(edges: DataFrame, strategy: str, parts: int) -> DataFrame:
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if held:
-            yield _forest_of(pa.Table.from_batches(held), strategy).select(columns)
+            yield from _forest_of(pa.Table.from_batches(held), strategy).select(columns).combine_chunks().to_batches(OUT_ROWS)
 
     if parts == 1:
         return edges.coalesce(1).mapInArrow(tidy(run), edges.schema)
@@ -258,7 +308,7 @@ def _one_task(edges: DataFrame, strategy: str, most: int | None = None) -> DataF
     Of more edges the kernel first leaves the forests of parts, in rounds while they shrink.  What is
     still too much has its components hooked until the rest fits.
     """
-    most = most or KERNEL_EDGES
+    most = most or min(KERNEL_EDGES, FOREST_EDGES)
     rows = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", "u", "v")
     chosen, size = None, edges.count()
     while size > most:

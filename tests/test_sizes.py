@@ -2,7 +2,10 @@
 
 import contextlib
 import io
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +39,32 @@ def test_forests_of_more_edges_than_a_task_holds(spark, monkeypatch, strategy, n
     assert sorted(tuple(r) for r in found.collect()) == sorted(spanning._kruskal(rows))
 
 
+def test_prim_with_a_fibonacci_heap_holds_few_bytes_an_edge():
+    """Two graphs side by side, with parallel edges and equal weights."""
+    rng = np.random.default_rng(3)
+    u = rng.integers(0, 3000, 40_000)
+    v = u // 1500 * 1000 + rng.integers(10_000, 11_000, 40_000)
+    w = rng.integers(0, 5000, 40_000)
+    table = pa.table({"a": u, "b": v, "w": w, "u": u, "v": v})
+    tracemalloc.start()
+    found = spanning._forest_of(table, "prim_fibonacci")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * table.num_rows
+    got = sorted(zip(*(found[c].to_pylist() for c in "uvw"), strict=True))
+    assert got == sorted(spanning._kruskal(list(zip(w.tolist(), u.tolist(), v.tolist(), strict=True))))
+
+
+def test_forests_past_their_own_bound_go_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(spanning, "FOREST_EDGES", 300, raising=False)
+    parts, one = [], spanning._kernel_parts
+    monkeypatch.setattr(spanning, "_kernel_parts", lambda e, s, n: parts.append(n) or one(e, s, n))
+    edges = generators.random_graph(spark, 60, 900, 3, "clustered", False)
+    rows = [(r["w"], min(r["u"], r["v"]), max(r["u"], r["v"])) for r in edges.collect()]
+    assert sorted(tuple(r) for r in spanning.spanning_forest(edges, "prim_fibonacci").collect()) == sorted(spanning._kruskal(rows))
+    assert parts[0] > 1 and parts[-1] == 1
+
+
 @pytest.mark.parametrize("most", [700, 50])
 def test_kernel_of_more_edges_than_a_task_holds(spark, monkeypatch, most):
     """Two graphs side by side: what the source reaches fits a task, or is cut into blocks."""
