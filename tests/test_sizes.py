@@ -26,6 +26,21 @@ def test_geometric_meets_cells_once_without_broadcast(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_geometric_takes_tasks_by_pairs_and_cuts_full_cells(spark, monkeypatch):
+    """200 points in one cell and some outside: few bytes, so no plan gives them tasks by itself."""
+    monkeypatch.setattr(generators, "SLICE_POINTS", 40, raising=False)
+    monkeypatch.setattr(generators, "TASK_PAIRS", 10_000, raising=False)
+    near = generators.points(spark, 200, 5).select("id", (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y"))
+    spots = near.union(generators.points(spark, 60, 6).select(F.col("id") + 200, "x", "y"))
+    found = generators.geometric(spots, 0.15)
+    at = [tuple(r) for r in spots.collect()]
+    want = {(u, v) for u, ux, uy in at for v, vx, vy in at if u < v and ((ux - vx) ** 2 + (uy - vy) ** 2) ** 0.5 <= 0.15}
+    sizes = [n for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    rows = [(r["u"], r["v"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert found.rdd.getNumPartitions() >= 18 and max(sizes) < len(rows) / 2
+
+
 @pytest.mark.parametrize("strategy", ["kruskal", "heap", "prim", "prim_fibonacci"])
 @pytest.mark.parametrize("nodes, most", [(40, 100), (400, 100)])
 def test_forests_of_more_edges_than_a_task_holds(spark, monkeypatch, strategy, nodes, most):
