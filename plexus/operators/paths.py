@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import heapq
 import time
-from collections import defaultdict
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexus.operators.bfs import bfs, trace
+from plexus.operators.bfs import trace
 from plexus.plans.loops import Levels, iterate
-from plexus.plans.tables import materialize
+from plexus.plans.tables import materialize, maybe_broadcast
+from plexus.plans.workers import tidy
 
 #: Edges that a single task may hold for a kernel strategy.
 KERNEL_EDGES = 5_000_000
-#: Edges of a block, on average, where more are reached than that.
-BLOCK_EDGES = 500_000
+#: Edges of the block of lightest ones that the task takes where the graph has more than that.
+BLOCK_EDGES = 3_000_000
+#: Bytes of a node's row in a broadcast, and rounds between merges of the distances' levels.
+NODE_BYTES, MERGE_ROUNDS = 48, 8
 #: Strategies that relax in rounds.
 ROUNDS = ("full", "frontier", "adaptive", "learned", "shuffled", "potential")
 
@@ -39,21 +42,19 @@ def sssp(edges: DataFrame, source: int, strategy: str = "frontier", nodes: DataF
     ``adaptive`` chooses by the share of edges that changed nodes have, ``learned`` sets that share
     by the measured cost of an edge in either kind of round, ``shuffled`` relaxes changed nodes in
     an order drawn by a hash, ``potential`` those first that gained most since they were last
-    relaxed, ``kernel`` runs one task over at most ``KERNEL_EDGES`` edges, or tasks over blocks of more,
-    and needs weights that are not negative.  Negative weights
+    relaxed, ``kernel`` runs Dijkstra's algorithm in one task over at most ``KERNEL_EDGES`` edges, or over the
+    lightest of more and then relaxes the others, and needs weights that are not negative.  Negative weights
     are allowed otherwise; a reachable negative cycle raises ``NegativeCycle``.  A source that
     neither ``nodes`` nor the edges hold raises ``KeyError``.
     """
+    if strategy == "kernel":
+        return _with_prev(materialize(kernel(edges, source, nodes), "sssp"), _least_edges(edges), source)
     least = materialize(_least_edges(edges), "edges")
     known = least.filter((F.col("src") == source) | (F.col("dst") == source))
     if known.isEmpty() and (nodes is None or nodes.filter(F.col("id") == source).isEmpty()):
         raise KeyError(source)
-    if strategy == "kernel":
-        found = _kernel(least, source)
-    else:
-        start = edges.sparkSession.createDataFrame([(source,)], "id long")
-        found = _rounds(least, start, strategy).select("v", "dist")
-    return _with_prev(found, least, source)
+    start = edges.sparkSession.createDataFrame([(source,)], "id long")
+    return _with_prev(_rounds(least, start, strategy).select("v", "dist"), least, source)
 
 
 def _with_prev(found: DataFrame, edges: DataFrame, source: int) -> DataFrame:
@@ -154,58 +155,105 @@ def dijkstra(arcs: dict, source, target=None, known: dict | None = None) -> dict
     return dist
 
 
-def _kernel(edges: DataFrame, source: int) -> DataFrame:
-    """Dijkstra's algorithm in one task, over what the source reaches if all edges are too many, or
-    else over blocks of edges."""
-    if not edges.filter("w < 0").isEmpty():
+def _settle(src: np.ndarray, dst: np.ndarray, w: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and distances that Dijkstra's algorithm finds or shortens from the known ones ``start``
+    at distances ``at``; arcs stay in arrays, by source."""
+    names, code = np.unique(np.concatenate([src, dst, start]), return_inverse=True)
+    m = len(src)
+    order = np.argsort(code[:m], kind="stable")
+    first = np.searchsorted(code[:m][order], np.arange(len(names) + 1)).tolist()
+    to, weight = code[m : 2 * m][order], w[order]
+    dist: list = [None] * len(names)
+    for u, d in zip(code[2 * m :].tolist(), at.tolist(), strict=True):
+        dist[u] = d if dist[u] is None else min(d, dist[u])
+    was, done = list(dist), bytearray(len(names))
+    heap = [(d, u) for u, d in enumerate(dist) if d is not None]
+    heapq.heapify(heap)
+    while heap:
+        d, u = heapq.heappop(heap)
+        if done[u]:
+            continue
+        done[u] = 1
+        i, j = first[u], first[u + 1]
+        for v, x in zip(to[i:j].tolist(), weight[i:j].tolist(), strict=True):
+            if dist[v] is None or d + x < dist[v]:
+                dist[v] = d + x
+                heapq.heappush(heap, (d + x, v))
+    new = [u for u, d in enumerate(dist) if d is not None and (was[u] is None or d < was[u])]
+    return names[np.array(new, dtype=np.int64)], np.array([dist[u] for u in new], dtype=w.dtype)
+
+
+def _in_one_task(arcs: DataFrame, known: DataFrame, kind: str) -> DataFrame:
+    """``(v, dist)`` that Dijkstra's algorithm adds to or shortens of ``known``, in one task."""
+
+    def run(batches):
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        src, dst, w, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
+        v, dist = _settle(src[~start], dst[~start], w[~start], dst[start], w[start])
+        for i in range(0, len(v), 100_000):
+            yield pa.record_batch({"v": v[i : i + 100_000], "dist": dist[i : i + 100_000]})
+
+    rows = arcs.select("src", "dst", "w", F.lit(False)).union(known.select("v", "v", "dist", F.lit(True)))
+    # a coalesce would read and filter all edges in that one task
+    return rows.repartition(1).mapInArrow(tidy(run), f"v long, dist {kind}")
+
+
+def kernel(edges: DataFrame, source: int, nodes: DataFrame | None = None, stored: bool = False) -> DataFrame:
+    """``(v, dist)`` as ``sssp`` has them, by Dijkstra's algorithm in one task.
+
+    ``edges`` are read several times, and written first unless they are ``stored``.
+
+    Of more than ``KERNEL_EDGES`` edges the task takes the lightest, which hold most of the shortest
+    paths.  Its distances are upper bounds, so all edges are then relaxed, and those of changed nodes
+    again, until nothing changes.  Where a round changes more rows than the one before, the task
+    goes on from there.
+    """
+    spark = edges.sparkSession
+    kept = edges if stored else materialize(edges.select("src", "dst", "w"), "arcs")
+    kind = "bigint" if kept.schema["w"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "double"
+    here = (F.col("src") == source) | (F.col("dst") == source)
+    arcs = kept.filter("src is not null and dst is not null").select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast(kind))
+    size, at, below = arcs.agg(F.count("w"), F.count_if(here), F.count_if(F.col("w") < 0)).first()
+    if not at and (nodes is None or nodes.filter(F.col("id") == source).isEmpty()):
+        raise KeyError(source)
+    if below:
         raise ValueError("negative edge weight")
-    size = edges.count()
-    if size > KERNEL_EDGES:
-        start = edges.sparkSession.createDataFrame([(source,)], "id long")
-        reached = bfs(edges.select("src", "dst"), start).select(F.col("v").alias("src"))
-        edges = materialize(edges.join(reached, "src", "left_semi"), "reached")
-        size = edges.count()
-    if size > KERNEL_EDGES:
-        return _blocks(edges, source, -(-size // BLOCK_EDGES))
-    kind = edges.schema["w"].dataType.simpleString()
-
-    def run(frames):
-        arcs = defaultdict(list)
-        for f in frames:
-            for u, v, w in zip(f.src.tolist(), f.dst.tolist(), f.w.tolist(), strict=True):
-                arcs[u].append((v, w))
-        found = dijkstra(arcs, source)
-        yield pd.DataFrame({"v": list(found), "dist": list(found.values())})
-
-    return edges.coalesce(1).mapInPandas(run, f"v long, dist {kind}")
-
-
-def _blocks(edges: DataFrame, source: int, blocks: int) -> DataFrame:
-    """Distances by Dijkstra's algorithm inside blocks of nodes, from all that changed, until nothing does."""
-    kind = edges.schema["w"].dataType.simpleString()
-    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(blocks)).alias("block")
-    arcs = materialize(edges.select(block("src"), F.col("src").cast("long"), F.col("dst").cast("long"), "w"), "blocks")
-
-    def run(held, changed):
-        out: dict = {}
-        if len(held) and len(changed):
-            ways = defaultdict(list)
-            for u, v, w in zip(held.src.tolist(), held.dst.tolist(), held.w.tolist(), strict=True):
-                ways[u].append((v, w))
-            start = dict(zip(changed.v.tolist(), changed.dist.tolist(), strict=True))
-            found = dijkstra(ways, None, known=start)
-            out = {v: d for v, d in found.items() if v not in start or d < start[v]}
-        return pd.DataFrame({"v": list(out), "dist": list(out.values())})
-
-    first = edges.sparkSession.createDataFrame([(source,)], "v long").select("v", F.lit(0).cast(kind).alias("dist"))
+    arcs = arcs.filter("w is not null")
+    first = spark.createDataFrame([(source,)], "v long").select("v", F.lit(0).cast(kind).alias("dist"))
+    least = lambda rows: rows.groupBy("v").agg(F.min("dist").alias("dist"))
+    if size <= KERNEL_EDGES:
+        return least(first.union(_in_one_task(arcs, first, kind)))
+    # any weight gives the same distances, so that of some million edges by a hash will do
+    some = arcs.filter(F.pmod(F.xxhash64("src", "dst", "w"), F.lit(max(1, size // 1_000_000))) == 0)
+    cut = some.agg(F.percentile_approx("w", F.lit(BLOCK_EDGES / size), F.lit(1000))).first()[0]
+    lighter, equal = arcs.agg(F.count_if(F.col("w") < cut), F.count_if(F.col("w") == cut)).first()
+    # of equal weights a share drawn by a hash, else a graph of one weight would all be taken
+    share = F.pmod(F.xxhash64("src", "dst"), F.lit(1 << 20)) < int((1 << 20) * max(0, BLOCK_EDGES - lighter) / max(1, equal))
+    light = arcs.filter((F.col("w") < cut) | ((F.col("w") == cut) & share) | (here if at <= BLOCK_EDGES else F.lit(False)))
     known = Levels(first, "sssp")
-    changed = known.append(first)
-    while not changed.isEmpty():
-        offers = arcs.groupBy("block").cogroup(changed.withColumn("block", block("v")).groupBy("block")).applyInPandas(run, f"v long, dist {kind}")
-        state = known.all().groupBy("v").agg(F.min("dist").alias("best"))
-        better = offers.groupBy("v").agg(F.min("dist").alias("dist")).join(state, "v", "left").filter("best is null or dist < best")
-        changed = known.append(better.select("v", "dist"))
-    return known.all().groupBy("v").agg(F.min("dist").alias("dist"))
+    known.append(first)
+    known.append(_in_one_task(light, first, kind))
+    changed = least(known.all())
+    before = moved = changed.count()
+    held = moved
+    while moved:
+        state = least(known.all())
+        offers = arcs.join(maybe_broadcast(changed.select(F.col("v").alias("src"), F.col("dist").alias("d")), moved, NODE_BYTES), "src")
+        best = maybe_broadcast(state.select(F.col("v").alias("dst"), F.col("dist").alias("best")), held, NODE_BYTES)
+        better = offers.join(best, "dst", "left").filter("best is null or d + w < best").select(F.col("dst").alias("v"), (F.col("d") + F.col("w")).alias("dist"))
+        changed = known.append(least(better))
+        moved = changed.count()
+        if moved > before:
+            more = known.append(_in_one_task(light, least(known.all()), kind))
+            changed = materialize(least(changed.union(more)), "changed")
+            moved = changed.count()
+        before = moved
+        held += moved
+        if known.n >= MERGE_ROUNDS:
+            known = known.merged(least)
+            held = known.all().count()
+    return least(known.all())
 
 
 def has_negative_cycle(edges: DataFrame, source: int) -> bool:

@@ -91,6 +91,19 @@ def test_kernel_of_more_edges_than_a_task_holds(spark, monkeypatch, most):
     assert sorted(paths.sssp(both, 0, "kernel").collect()) == sorted(paths.sssp(both, 0, "frontier").collect())
 
 
+def test_kernel_settles_long_ways_of_light_edges_in_one_task(spark, monkeypatch):
+    """A chain of light edges among heavy ones: as many hops as nodes, but few rounds over all edges."""
+    monkeypatch.setattr(paths, "KERNEL_EDGES", 50)
+    monkeypatch.setattr(paths, "BLOCK_EDGES", 100)
+    levels, one = [], paths.Levels.append
+    monkeypatch.setattr(paths.Levels, "append", lambda self, rows: levels.append(1) or one(self, rows))
+    light = [(i, i + 1, 1) for i in range(40)]
+    heavy = [(i, (7 * i + k) % 41, 1000 + i) for i in range(41) for k in (3, 11)]
+    e = spark.createDataFrame([(u, v, w) for a, b, w in light + heavy for u, v in ((a, b), (b, a))], "src long, dst long, w long")
+    assert sorted(tuple(r)[:2] for r in paths.sssp(e, 0, "kernel").collect()) == [(i, i) for i in range(41)]
+    assert len(levels) < 8
+
+
 def test_wilcoxon_of_millions_of_differences(spark):
     rows = spark.range(1_800_000).select(F.lit(0).cast("long").alias("a"), (F.col("id") % 7 - 2).alias("b"))
     got = metrics.wilcoxon(rows, "a", "b").first()
